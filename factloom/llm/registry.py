@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from factloom.llm.decontamination import op9_simhash_decontamination
+from factloom.llm.licences import op6_licence_digests
+from factloom.llm.media import op7_media_columns
+from factloom.llm.near_dups import op4_tensored_minhash
 from factloom.llm.packing import op10_best_fit_packing
+from factloom.llm.quality import op8_attention_quality
+from factloom.llm.secrets import op3_secret_scan
 from factloom.llm.sharding import op2_hash_tree_shards
 from factloom.llm.token_files import op1_token_files
+from factloom.llm.url_filter import op5_host_reputation
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_hash_tree_shards": op2_hash_tree_shards,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_tensored_minhash": op4_tensored_minhash,
+    "op5_host_reputation": op5_host_reputation,
+    "op6_licence_digests": op6_licence_digests,
+    "op7_media_columns": op7_media_columns,
+    "op8_attention_quality": op8_attention_quality,
+    "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
