@@ -17,25 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.segments import SegmentEncoder, chunks
+from factloom.llm.segments import chunks, encoder
 from factloom.llm.workspace import gapless_rank, write_table
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = CAPACITY, fold: bool = False) -> DataFrame:
     """Pieces of every document's ids plus ``end_id``: only documents longer than ``capacity`` are cut.
 
-    Null texts count as empty (one piece with the end id alone). Every row is a document of its own.
+    fold: the tokenizer lower-cases. Null texts count as empty (one piece with the end id alone). Every row is a document of its own.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SegmentEncoder(tokenizer_file)
+        coder = encoder(tokenizer_file, fold)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts, map(len, texts), 2_000_000):
-                ids, sizes = encoder.encode(texts[a:b])
+                ids, sizes = coder.encode(texts[a:b])
                 stops = np.cumsum(sizes)
                 rows = []
                 for name, stop, size in zip(names[a:b], stops.tolist(), sizes.tolist()):
@@ -125,13 +125,13 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = CAPACITY, fold: bool = False) -> DataFrame:
     """Pieces of ``docs`` (columns doc_id, text) with their places; an empty table gives no rows."""
-    return place_pieces(write_table(token_pieces(docs, tokenizer_file, end_id, capacity), "pieces")[0], capacity)
+    return place_pieces(write_table(token_pieces(docs, tokenizer_file, end_id, capacity, fold), "pieces")[0], capacity)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into sequences of at most 4096 tokens of word_bpe_49k, end id 1."""
     import public_tokenizers
 
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 1)
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 1, fold=True)
