@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -17,6 +19,17 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+_PLAIN = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def cut(text: str) -> list[str]:
+    """The segments of a text. Where white space is single spaces and line feeds inside of words, a
+    plain split gives the same."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or _PLAIN.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
+
+
 class _Slots(dict):
     """Gives each new key the next number and remembers it as pending."""
 
@@ -34,62 +47,94 @@ class _Pool:
 
     def __init__(self, prefix: str) -> None:
         self.prefix, self.slots = prefix, _Slots()
-        self.cores: dict[str, list[int]] = {}
         self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
 
-    def settle(self, tokenizer, tails: dict[str, list[int]]) -> None:
+    def settle(self, tokenizer, tails: dict[str, bytes], fold: bool) -> None:
         """Encode what is pending. No token spans a letter or digit and the ASCII mark behind it, so a
         segment's closing marks are encoded apart, and words that differ in them share their work.
         """
         if not (new := self.slots.pending):
             return
-        parts = []
+        plain, joined = [], []
         for s in new:
             core = s.rstrip(_MARKS)
-            parts.append((core, s[len(core) :]) if core and core[-1].isalnum() else (s, ""))
-        for known, prefix, wanted in ((self.cores, self.prefix, {c for c, _ in parts}), (tails, "", {t for _, t in parts})):
-            unseen = [x for x in wanted if x not in known]
-            for x, e in zip(unseen, tokenizer.encode_batch_fast([prefix + x for x in unseen], add_special_tokens=False)):
-                known[x] = e.ids
-        found = [self.cores[c] + tails[t] for c, t in parts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        starts = len(self.ids) + np.cumsum(sizes) - sizes
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        self.ids, self.starts, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+            if not core or not core[-1].isalnum() or not "0" <= core[-1] < "\u0250" or core[-1] == "\u0130":
+                core = s  # beyond Latin, and for the dotted I, normalising may leave a mark at the end
+            base = core.lower() if fold and core.isascii() else core
+            if base is s or base == s:
+                plain.append(s)
+            else:
+                joined.append((s, base, s[len(core) :]))
+        slot = self.slots.__getitem__
+        count = len(new)
+        for _, base, _ in joined:
+            slot(base)  # a base that is new gets a slot of its own behind the others
+        plain += new[count:]
+        ends = {t for _, _, t in joined if t not in tails}
+        for t, e in zip(ends, tokenizer.encode_batch_fast(list(ends), add_special_tokens=False)):
+            tails[t] = np.array(e.ids, np.uint32).tobytes()
+        found: list[bytes] = [b""] * len(new)
+        first = len(self.sizes)
+        for s, e in zip(plain, tokenizer.encode_batch_fast([self.prefix + s for s in plain], add_special_tokens=False)):
+            found[slot(s) - first] = array("I", e.ids).tobytes()
+        for s, base, t in joined:
+            at = slot(base)
+            own = found[at - first] if at >= first else self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tobytes()
+            found[slot(s) - first] = own + tails[t]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(found), np.int64)])
         self.slots.pending = []
 
+    def thin(self) -> None:
+        """Forget the segments that were met only once."""
+        keep = self.uses > 1
+        slots = _Slots()
+        for key, kept in zip(list(self.slots), keep.tolist()):
+            if kept:
+                slots[key]
+        slots.pending = []
+        sizes = self.sizes[keep]
+        self.ids = self.ids[np.repeat(self.starts[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.slots = slots
+        self.sizes, self.starts, self.uses = sizes, np.cumsum(sizes) - sizes, np.ones(len(sizes), np.int64)
+
 
 class SegmentEncoder:
     """Encodes lists of texts with one tokenizer file.
 
-    capacity: distinct segments that a worker remembers before it starts afresh; bounds its memory.
+    capacity: distinct segments that a worker remembers before it forgets those met once; bounds its
+    memory. fold: whether the tokenizer lower-cases, so that ASCII words may be shared in lower case.
     """
 
-    def __init__(self, tokenizer_file: str, capacity: int = 800_000) -> None:
+    def __init__(self, tokenizer_file: str, fold: bool = False, capacity: int = 800_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.capacity = capacity
-        self._fresh()
-
-    def _fresh(self) -> None:
+        self.fold, self.capacity = fold, capacity
         self.first, self.rest = _Pool(""), _Pool(" ")
-        self.tails: dict[str, list[int]] = {"": []}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and the number of ids of each text."""
         if len(self.rest.slots) + len(self.first.slots) > self.capacity:
-            self._fresh()
+            for pool in (self.first, self.rest):
+                pool.thin()
+            if len(self.rest.slots) + len(self.first.slots) > self.capacity // 2:
+                self.first, self.rest = _Pool(""), _Pool(" ")
         heads, tails = [], []
         first, rest = self.first.slots.__getitem__, self.rest.slots.__getitem__
         for text in texts:
-            head, *tail = _CUT.split(text)
+            head, *tail = cut(text)
             heads.append(first(head))
-            tails.append(np.array(list(map(rest, tail)), np.int64))
-        self.first.settle(self.tokenizer, self.tails)
-        self.rest.settle(self.tokenizer, self.tails)
+            tails.append(np.fromiter(map(rest, tail), np.int64, len(tail)))
+        self.first.settle(self.tokenizer, self.tails, self.fold)
+        self.rest.settle(self.tokenizer, self.tails, self.fold)
         counts = np.array([1 + len(t) for t in tails], np.int64)
         ends = np.cumsum(counts)
         slots = np.concatenate([np.zeros(0, np.int64), *(x for h, t in zip(heads, tails) for x in ([h], t))]).astype(np.int64)
@@ -100,6 +145,7 @@ class SegmentEncoder:
         for mask, pool, add in ((at_head, self.first, 0), (~at_head, self.rest, shift)):
             own = slots[mask]
             sizes[mask], starts[mask] = pool.sizes[own], pool.starts[own] + add
+            pool.uses += np.bincount(own, minlength=len(pool.uses))
         stops = np.cumsum(sizes)
         where = np.repeat(starts - (stops - sizes), sizes) + np.arange(int(sizes.sum()))
         ids = np.concatenate([self.first.ids, self.rest.ids])[where]
@@ -107,6 +153,12 @@ class SegmentEncoder:
         return ids, filled[ends] - filled[ends - counts]
 
 
+@lru_cache(maxsize=2)
+def encoder(tokenizer_file: str, fold: bool = False) -> SegmentEncoder:
+    """The worker's encoder, which the tasks it runs one after another share."""
+    return SegmentEncoder(tokenizer_file, fold)
+
+
 def chunks(values: list, sizes, most: int):
     """Runs of ``values`` whose sizes sum to about ``most``: (first, last) index pairs."""
     at, total = 0, 0

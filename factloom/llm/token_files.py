@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.segments import SegmentEncoder, chunks
+from factloom.llm.segments import chunks, encoder
 from factloom.llm.workspace import write_table
 
 BLOCK_SCHEMA = "part int, base long, doc_ids array<bigint>, lengths array<bigint>, ranked binary, control binary, data binary"
@@ -59,11 +59,12 @@ def unpack_values(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def rank_by_frequency(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids by falling count (ties: smaller id first), and the rank of every id."""
-    found, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((found, -counts))
-    ranks = np.empty(len(order), np.uint32)
+    counts = np.bincount(ids)  # as long as the vocabulary, at most
+    found = np.flatnonzero(counts)
+    order = found[np.lexsort((found, -counts[found]))].astype(np.uint32)
+    ranks = np.zeros(len(counts), np.uint32)
     ranks[order] = np.arange(len(order), dtype=np.uint32)
-    return found[order].astype(np.uint32), ranks[inverse]
+    return order, ranks[ids]
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, block_tokens: int = 1 << 20) -> DataFrame:
@@ -75,7 +76,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, block_t
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, base = SegmentEncoder(tokenizer_file), TaskContext.get().partitionId(), 0
+        coder, part, base = encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         held_ids: list[np.ndarray] = []
         held_docs: list[int | None] = []
         held_sizes: list[int] = []
@@ -96,7 +97,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, block_t
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts, map(len, texts), 2_000_000):
-                ids, sizes = encoder.encode(texts[a:b])
+                ids, sizes = coder.encode(texts[a:b])
                 ends = np.cumsum(sizes)
                 for name, stop, size in zip(names[a:b], ends.tolist(), sizes.tolist()):
                     held_ids += (ids[stop - size : stop], np.array([end_id], np.uint32))
