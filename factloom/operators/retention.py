@@ -17,12 +17,11 @@ MOST_FACTS, MOST_PARTS, MOST_ALIASES = 32, 24, 16
 SUBTYPES = ("preference", "decision", "configuration", "project_state", "procedure", "event", "troubleshooting", "relationship", "fact", "directive")
 PREDICATE = r"^[A-Za-z0-9_.:-]{1,80}$"
 
-# All leaves are strings: a wrong type must drop a value, not the whole payload.
-EXTRACTION = (
-    "memories array<struct<content:string,memory_type:string,subtype:string,confidence:string,importance:string,event_time:string,durable:string,"
-    "entities:array<struct<name:string,entity_type:string,role:string,aliases:array<string>>>,"
-    "relationships:array<struct<subject:string,predicate:string,object:string,confidence:string>>>>"
-)
+# Lists hold the text of their items, and leaves are strings: a value of a wrong type drops itself alone.
+PAYLOAD = "memories array<string>"
+FACT = "content string, memory_type string, subtype string, confidence string, importance string, event_time string, durable string, entities array<string>, relationships array<string>"
+ENTITY = "name string, entity_type string, role string, aliases array<string>"
+EDGE = "subject string, predicate string, object string, confidence string"
 
 
 def pair_turns(conversations: DataFrame) -> DataFrame:
@@ -47,14 +46,15 @@ def parse_extractions(payloads: DataFrame, column: str = "payload") -> DataFrame
     secret or an unknown type are dropped; an unknown subtype becomes "fact". Entities and relationships
     (the first 24 each) with bad names or predicates are dropped, as are aliases that equal the name.
     """
-    parsed = payloads.withColumn("__x", F.from_json(column, EXTRACTION))
-    each = parsed.select(*[c for c in payloads.columns if c != column], F.posexplode(F.slice("__x.memories", 1, MOST_FACTS)).alias("seq", "m"))
+    parsed = payloads.withColumn("__x", F.from_json(column, PAYLOAD))
+    each = parsed.select(*[c for c in payloads.columns if c != column], F.posexplode(F.slice("__x.memories", 1, MOST_FACTS)).alias("seq", "m")).withColumn("m", F.from_json("m", FACT))
     content = collapse(F.coalesce("m.content", F.lit("")))
     kind = F.lower(F.trim(F.coalesce("m.memory_type", F.lit("world"))))
     subtype = F.lower(F.trim("m.subtype"))
     subtype = F.when(subtype.isNull() | (subtype == ""), subtype).when(subtype.isin(*SUBTYPES), subtype).otherwise("fact")
 
-    def entity(e: Column) -> Column:
+    def entity(text: Column) -> Column:
+        e = F.from_json(text, ENTITY)
         name = clean_name(e["name"])
         aliases = F.transform(F.slice(F.coalesce(e["aliases"], F.array().cast("array<string>")), 1, MOST_ALIASES), clean_name)
         aliases = F.array_distinct(F.filter(aliases, lambda a: a.isNotNull() & (normalize(a) != normalize(name))))
@@ -62,7 +62,8 @@ def parse_extractions(payloads: DataFrame, column: str = "payload") -> DataFrame
         etype = F.substring(F.trim(F.coalesce(e["entity_type"], F.lit(""))), 1, 80)
         return F.struct(name.alias("name"), F.when(etype != "", etype).alias("entity_type"), F.when(role == "", "mentioned").otherwise(role).alias("role"), aliases.alias("aliases"))
 
-    def relationship(r: Column) -> Column:
+    def relationship(text: Column) -> Column:
+        r = F.from_json(text, EDGE)
         predicate = F.trim(r["predicate"])
         return F.struct(clean_name(r["subject"]).alias("subject"), F.when(predicate.rlike(PREDICATE), predicate).alias("predicate"), clean_name(r["object"]).alias("object"), clamp01(r["confidence"]).alias("confidence"))
 
