@@ -79,14 +79,18 @@ def parse_extractions(payloads: DataFrame, column: str = "payload") -> DataFrame
     return rows.filter(F.length("content").between(1, 10_000) & known & ~looks_sensitive("content"))
 
 
-def exclusive_conflicts(store: Snapshot, incoming: DataFrame) -> DataFrame:
-    """new_id and old_id: active facts whose single-valued statement an incoming one (memory_id,
+def contradicted_edges(store: Snapshot, incoming: DataFrame) -> DataFrame:
+    """new_id and relationship_id: edges whose single-valued statement an incoming one (memory_id,
     subject_entity_id, predicate, object_entity_id) contradicts, that is, gives another object."""
     own = incoming.filter(is_single_valued("predicate"))
     names = store.entities.select(F.col("id").alias("object_entity_id"), normalize("canonical_name").alias("object_key"))
     new = own.join(names, "object_entity_id").select(F.col("memory_id").alias("new_id"), "subject_entity_id", "predicate", F.col("object_key").alias("new_key"))
     old = store.relationships.join(names, "object_entity_id").select(F.col("id").alias("relationship_id"), "subject_entity_id", "predicate", F.col("object_key").alias("old_key"))
-    apart = new.join(old, ["subject_entity_id", "predicate"]).filter("new_key <> old_key").select("new_id", "relationship_id")
-    linked = apart.join(store.memory_relationships, "relationship_id").select("new_id", F.col("memory_id").alias("old_id"))
+    return new.join(old, ["subject_entity_id", "predicate"]).filter("new_key <> old_key").select("new_id", "relationship_id").distinct()
+
+
+def exclusive_conflicts(store: Snapshot, incoming: DataFrame) -> DataFrame:
+    """new_id and old_id: the active facts that hold a contradicted edge."""
+    linked = contradicted_edges(store, incoming).join(store.memory_relationships, "relationship_id").select("new_id", F.col("memory_id").alias("old_id"))
     active = store.memories.filter("status = 'active'").select(F.col("id").alias("old_id"))
     return linked.join(active, "old_id", "left_semi").select("new_id", "old_id").distinct()

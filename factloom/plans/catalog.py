@@ -285,12 +285,25 @@ def semantic_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    clauses("memories", "entities", "relationships", "memory_relationships", "incoming")
-    + "select distinct i.memory_id as new_id, m.id as old_id from incoming i join relationships r on r.subject_entity_id = i.subject_entity_id and r.predicate = i.predicate join entities a on a.id = i.object_entity_id join entities b on b.id = r.object_entity_id join memory_relationships mr on mr.relationship_id = r.id join memories m on m.id = mr.memory_id where m.status = 'active' and i.predicate in ('lives_in') and lower(a.canonical_name) <> lower(b.canonical_name)"
+    clauses("entities", "relationships", "incoming")
+    + "select distinct i.memory_id as new_id, r.id as relationship_id from incoming i join relationships r on r.subject_entity_id = i.subject_entity_id and r.predicate = i.predicate join entities a on a.id = i.object_entity_id join entities b on b.id = r.object_entity_id where i.predicate in ('lives_in') and lower(a.canonical_name) <> lower(b.canonical_name)"
 )
 def exclusive_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.contradicted_edges(snapshot(spark, sf_dir, "entities", "relationships"), project(spark, sf_dir, "incoming"))
+
+
+# Facts behind the contradicted edges, had every incoming statement been about a customer that facts mention.
+MENTIONED = "select concat('mem_new_',cast(c_custkey as string)) as memory_id, concat('ent_c',cast(c_custkey as string)) as subject_entity_id, 'lives_in' as predicate, concat('ent_n',cast((c_nationkey + 1) % 25 as string)) as object_entity_id from {customer} where c_custkey % 3 = 0"
+
+
+@query(
+    clauses("memories", "memory_relationships")
+    + "select concat('mem_new_', substr(relationship_id, 7)) as new_id, memory_id as old_id from memory_relationships where memory_id in (select id from memories where status = 'active') and cast(substr(relationship_id, 7) as int) in (select c_custkey from customer)"
+)
+def conflicting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = snapshot(spark, sf_dir, "memories", "entities", "relationships", "memory_relationships")
-    return retention.exclusive_conflicts(store, project(spark, sf_dir, "incoming"))
+    incoming = spark.sql(MENTIONED, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return retention.exclusive_conflicts(store, incoming)
 
 
 @query(clauses("turns") + "select conv_id, turn, md5(concat('User: ', substr(trim(user_text), 1, 100000), chr(10), 'Assistant (context only): ', substr(trim(assistant_text), 1, 1500))) as text_md5 from turns where len(regexp_extract_all(lower(user_text), '[\\p{L}\\p{N}]+')) > 0 and not starts_with(ltrim(user_text), '/') and not (len(regexp_extract_all(lower(user_text), '[\\p{L}\\p{N}]+')) <= 5 and len(list_filter(regexp_extract_all(lower(user_text), '[\\p{L}\\p{N}]+'), lambda w: not list_contains(" + strings(sorted(text.ACKNOWLEDGEMENTS)) + ", w))) = 0)")

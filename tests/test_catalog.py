@@ -6,7 +6,6 @@ import pytest
 from factloom.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-EMPTY = {"exclusive_conflicts"}  # at the smallest scale
 
 
 def canonical(rows, columns):
@@ -30,7 +29,7 @@ def test_query_equals_oracle(spark, duck, sf, name):
     columns = [c[0] for c in wanted.description]
     assert sorted(df.columns) == sorted(columns)
     assert canonical(rows, df.columns) == canonical(wanted.fetchall(), columns)
-    assert rows or name in EMPTY
+    assert rows
 
 
 def test_entry_and_registries(spark):
