@@ -98,7 +98,7 @@ class _Group:
 
 
 class Index:
-    """Item texts, ready to be looked for. Short items, of fewer words than a shingle, match whole."""
+    """Item texts, ready to be looked for. Items of fewer words than a shingle match whole."""
 
     def __init__(self, items: list[tuple[int, str]], rule: Rule) -> None:
         self.rule = rule
@@ -106,7 +106,7 @@ class Index:
         self.shingles = [weighted(w, rule.size) for w in self.words]
         by_width: dict[int, list[int]] = {}
         for k, words in enumerate(self.words):
-            if words:
+            if len(words) > 1:
                 by_width.setdefault(self._width(len(words)), []).append(k)
         self.groups = []
         for width, own in sorted(by_width.items()):
@@ -168,7 +168,9 @@ def find(texts: list[str], index: Index) -> list[tuple[int, int, float]]:
         for item, at in found:
             n = len(index.words[item])
             wanted = index.shingles[item]
-            if not any(" ".join(words[k : k + rule.size]) in wanted for k in range(max(at - rule.slack, 0), max(min(at + n + rule.slack, len(words)) - rule.size + 1, 1))):
+            size = min(rule.size, n)
+            last = min(at + n + rule.slack, len(words)) - size
+            if not any(" ".join(words[k : k + size]) in wanted for k in range(max(at - rule.slack, 0), last + 1)):
                 continue
             for start in range(max(at - rule.slack, 0), max(at + rule.slack, 0) + 1):
                 s = similarity(wanted, weighted(words[start : start + n], rule.size))
@@ -183,7 +185,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) ->
     ``benchmark`` has item_id and text. It is taken to the executors in blocks of ``item_bytes`` of
     text at most, each a pass over ``docs``; a null or blank item matches nothing, and neither does a
     null or empty document. Rows keep all their columns; columns named item_ids or similarity are
-    replaced. An item of fewer words than a shingle has its whole sequence as its single shingle.
+    replaced. An item of fewer words than a shingle has its whole sequence as its single shingle; an item of
+    a single word says too little and matches nothing.
     """
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -54,13 +54,13 @@ def test_lookup_finds_all_within_the_radius():
 
 
 def test_edges_and_blocks(spark, edge, make_docs):
-    bench = spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, "x"), (3, ""), (4, "word")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, "x"), (3, ""), (4, "word"), (5, "no id at")], "item_id long, text string")
     docs = edge.selectExpr("*", "'old' as item_ids", "0 as similarity", "1 as score")
     for rule in (Rule(), Rule(item_bytes=10)):
         rows = contaminated(docs, bench, rule).collect()
         assert len(rows) == edge.count()
-        assert [r.item_ids for r in rows if r.doc_id in (5, 8)] == [[1]] * 3 and [r.item_ids for r in rows if r.doc_id == 4] == [[4]]
-        assert all(r.item_ids == [] and r.similarity is None for r in rows if r.doc_id in (1, 2, 3, None))
+        assert [r.item_ids for r in rows if r.doc_id in (5, 8)] == [[1]] * 3 and [r.item_ids for r in rows if r.doc_id is None] == [[5]]
+        assert all(r.item_ids == [] and r.similarity is None for r in rows if r.doc_id in (1, 2, 3, 4))
     assert contaminated(make_docs([]), bench).count() == 0
     assert all(r.item_ids == [] for r in contaminated(edge, bench.limit(0)).collect())
 
