@@ -10,10 +10,11 @@ Links are confirmed on whole shingle sets:
 1. Documents with equal sets form one class; all further work is on classes.
 2. Bands that no other class has are dropped before keys are formed; keys of one class are dropped.
 3. Each class is compared with the smallest class of each of its keys. In keys that then still hold more
-   than one component, and have few members, all pairs that are not connected yet are compared. In
-   larger keys each member is compared with its neighbour in an order by another band, anew each round,
-   until two rounds in a row find no link. So a group of n near copies costs O(n) comparisons, not n
-   squared.
+   than one component, and have few members, all pairs that are not connected yet are compared.
+   The members of larger keys meet in blocks inside tasks, all pairs of different components against
+   the bound of step 4: first each member goes on with its likeliest partner, until that finds no more
+   links; then every pair goes on that the bound lets pass. So a group of n near copies costs O(n) rows,
+   and no pair with a shared key is left out.
 4. A parity bitmap of each set gives an upper bound of the overlap; only pairs that the bound lets pass
    are compared on their texts. The bound is exact, so it drops no link.
 """
@@ -26,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
@@ -112,6 +113,53 @@ def _may_link(percent: int):
     return check
 
 
+def _folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of one length as rows of words, folded to ``width`` bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1, width // 8), 1)
+
+
+def _may_link_within(percent: int, every: bool):
+    """Of two blocks of a key, the pairs of different components that the bound lets pass; if not ``every``,
+    only each member's likeliest."""
+
+    def check(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rep, component, n, block = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "block"))
+        bits = table.column("bits").to_pylist()
+        length = np.array([len(x) for x in bits])
+        i, j = key[1].as_py(), key[2].as_py()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for long_a in np.unique(length[block == i]).tolist():
+            rows = np.flatnonzero((block == i) & (length == long_a))
+            for long_b in np.unique(length[block == j]).tolist():
+                cols = np.flatnonzero((block == j) & (length == long_b))
+                if 100 * min(n[rows].max(), n[cols].max()) < percent * max(n[rows].min(), n[cols].min()):
+                    continue
+                width = min(long_a, long_b)
+                x, y = _folded([bits[k] for k in rows], width), _folded([bits[k] for k in cols], width)
+                step = max(1, 8_000_000 // (width * len(cols)))
+                for at in range(0, len(rows), step):
+                    own = rows[at : at + step]
+                    least, most = np.minimum(n[own][:, None], n[cols]), np.maximum(n[own][:, None], n[cols])
+                    fits = (component[own][:, None] != component[cols]) & (100 * least >= percent * most)
+                    if i == j:
+                        fits &= own[:, None] < cols
+                    p, q = np.nonzero(fits)
+                    differing = np.bitwise_count(x[at + p] ^ y[q]).sum(1, dtype=np.int64)
+                    both = least[p, q] + most[p, q]
+                    over = np.minimum(least[p, q], (both - differing) // 2)
+                    passed = np.flatnonzero(100 * over >= percent * (both - over))
+                    found.append((own[p[passed]], cols[q[passed]], over[passed] / (both - over)[passed]))
+        a, b, likely = (np.concatenate(part) for part in zip(*found))
+        if not every:
+            ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((-likely[pair], ends))
+            chosen = np.unique(pair[order[np.unique(ends[order], return_index=True)[1]]])
+            a, b = a[chosen], b[chosen]
+        return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
+
+    return check
+
+
 def shingle_set(text: str, size: int) -> frozenset[str]:
     words = words_of(text)
     return frozenset(" ".join(words[k : k + size]) for k in range(max(len(words) - size + 1, 1))) if words else frozenset()
@@ -143,15 +191,14 @@ def shared_keys(classes: DataFrame, tensor: Tensor) -> DataFrame:
     return keyed.join(held, "key")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor = Tensor(), most_rounds: int = 12, part: int = 8, spread: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor = Tensor(), part: int = 8, spread: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; others are ignored).
 
     Links hold where 100 x intersection >= ``percent`` x union of the sets of ``size``-word shingles. A
     text of fewer words counts as one shingle; a null, empty or blank text has none and links with
     nothing. A null doc_id links with nothing and has a null component. Rows that repeat a doc_id are
-    documents of their own and share the id's component where their sets do. Keys of at most ``part``
-    members are compared completely; the members of larger ones, in parts of about ``spread``, with their
-    neighbours in up to ``most_rounds`` orders.
+    documents of their own and share the id's component where their sets do. Keys of more than ``part``
+    members are compared inside tasks, every two blocks of about ``spread`` members in one.
     """
     spark = docs.sparkSession
     signed, _ = write_table(signatures(docs, size, tensor), "signatures")
@@ -175,7 +222,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tensor: T
 
     tested, _ = write_table(keyed.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links, _ = write_table(confirmed(tested), "links")
-    labels, quiet = components(links), 0
+    labels = components(links)
 
     def mixed(keys: DataFrame) -> DataFrame:
         """The members of keys that hold more than one component."""
@@ -192,23 +239,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tensor: T
     tested = tested.union(fresh)
     links = links.union(write_table(confirmed(fresh), "links")[0])
     labels = components(links)
-    for turn in range(1, most_rounds if large.limit(1).count() else 1):
-        band = classes.select("rep", F.element_at("bands", (turn - 1) % (2 * tensor.side) + 1).alias("band"))
-        members = mixed(large).join(band, "rep").withColumn("order", F.xxhash64("rep", F.lit(turn)))
-        near = Window.partitionBy("key", F.pmod("order", F.ceil(F.col("n") / spread))).orderBy("band", "order")
-        beside = F.struct(F.lag("rep").over(near).alias("rep"), F.lag("component").over(near).alias("component"))
-        others = members.select("rep", "component", beside.alias("o")).filter("o.component <> component")
-        pairs = others.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    # Keys of the same members are one.
+    held = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    large, large_at = write_table(large.join(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "large")
+    turns = [True, False] if large.limit(1).count() else []
+    while turns:
+        every = turns.pop()
+        blocks = F.ceil(F.col("n") / spread)
+        members = mixed(large).withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        blocked = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component").join(sets, "rep")
+        pairs = blocked.groupBy("key", "i", "j").applyInArrow(_may_link_within(percent, every), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         fresh, _ = write_table(pairs, "pairs")
         more, _ = write_table(confirmed(fresh), "links")
         tested = tested.union(fresh)
-        quiet = 0 if more.limit(1).count() else quiet + 1
-        if quiet == 2:
-            break
-        if not quiet:
+        if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
-    for path in (classes_at, keyed_at, texts_at):
+            if not every:
+                turns.append(False)
+    for path in (classes_at, keyed_at, texts_at, large_at):
         drop_table(spark, path)
     of_rep = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_rep, "digest", "left")
