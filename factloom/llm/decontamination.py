@@ -1,13 +1,15 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Items are grouped by length. A group has one window size, a little less than its shortest item, and
-every item gives the fingerprints of its first windows; a document's windows of that size start at
-every ``stride``-th word, so a passage that equals an item has a window equal to one of the item's,
-wherever it stands. Fingerprints are 64-bit SimHashes of word pairs. Four blocks of 16 bits index the
+Items are grouped by length. A group has one window size, a little less than its shortest item or
+``MOST_WORDS``. An item gives the fingerprints of windows along all its words, one behind the other and
+one at its end, each from ``stride`` neighbouring starts; items longer than a window also give those of
+half the size or less. A document's windows start at every ``stride``-th word, so each of an item's places
+that a passage holds unchanged has a window equal to one of the item's, and edits gathered in one place
+leave others as they were. Fingerprints are 64-bit SimHashes of word pairs. Four blocks of 16 bits index the
 item fingerprints, each with all values up to a quarter of the radius away: by the pigeonhole
 principle every fingerprint within the radius shares a block with the index, so the lookup is complete.
-Candidates are verified on words: the passage as long as the item, at the aligned place and around it,
-must reach the similarity of weighted 5-word shingles (a shingle's weight is its number of
+Candidates are verified on words: a passage as long as the item, at the aligned place or as far from it
+as words may be missing or added, must reach the similarity of weighted 5-word shingles (a shingle's weight is its number of
 occurrences; sum of minima over sum of maxima).
 """
 
@@ -107,13 +109,16 @@ class Index:
         by_width: dict[int, list[int]] = {}
         for k, words in enumerate(self.words):
             if len(words) > 1:
-                by_width.setdefault(self._width(len(words)), []).append(k)
+                for width in {self._width(len(words)), self._width(len(words) // 2 if len(words) > MOST_WORDS else len(words))}:
+                    by_width.setdefault(width, []).append(k)
         self.groups = []
         for width, own in sorted(by_width.items()):
             members, marks = [], []
             for k in own:
                 pairs = features(word_hashes([" ".join(self.words[k])])[0])
-                offsets = np.arange(min(rule.stride, len(pairs) - (width - 1) + 1))
+                room = len(pairs) - (width - 1) + 1
+                bases = np.append(np.arange(0, max(room - rule.stride, 0), width), max(room - rule.stride, 0))
+                offsets = np.unique(bases[:, None] + np.arange(min(rule.stride, room)))
                 members += [(k, int(o)) for o in offsets]
                 marks.append(fingerprints(_lane_sums(pairs), offsets, width - 1))
             self.groups.append(_Group(width, members, np.concatenate(marks), rule.radius))
@@ -144,6 +149,25 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / either if either else 0.0
 
 
+def best_passage(words: list[str], low: int, high: int, n: int, wanted: Counter, rule: Rule) -> float:
+    """The best similarity to ``wanted`` of the ``n`` words from a start of ``low`` to ``high``."""
+    size, whole = min(rule.size, n), sum(wanted.values())
+    runs = [" ".join(words[k : k + size]) for k in range(low, min(high + n, len(words)) - size + 1)]
+    if sum(x in wanted for x in runs) < rule.similarity * whole:
+        return 0.0
+    have: Counter = Counter()
+    both, stop, best = 0, 0, 0.0
+    for start in range(min(high - low + 1, len(runs))):
+        for x in runs[stop : start + n - size + 1]:
+            both += have[x] < wanted[x]
+            have[x] += 1
+        stop = min(start + n - size + 1, len(runs))
+        best = max(best, both / (whole + stop - start - both))
+        have[runs[start]] -= 1
+        both -= have[runs[start]] < wanted[runs[start]]
+    return best
+
+
 def find(texts: list[str], index: Index) -> list[tuple[int, int, float]]:
     """(text, item, best similarity) of every item that some passage of a text reaches."""
     rule = index.rule
@@ -152,7 +176,7 @@ def find(texts: list[str], index: Index) -> list[tuple[int, int, float]]:
     pairs = shingle_hashes(np.append(hashes, np.uint64(0)), np.array([len(hashes) + 1]), 2, short=False)[0]
     sums = _lane_sums(pairs)
     best: dict[tuple[int, int], float] = {}
-    places: dict[int, set[tuple[int, int]]] = {}
+    places: dict[int, dict[int, set[int]]] = {}
     for group in index.groups:
         # Of texts with enough words: every stride-th start, and the last possible one.
         room = np.where(counts >= group.width, (counts - group.width) // rule.stride + 1, 0)
@@ -162,20 +186,23 @@ def find(texts: list[str], index: Index) -> list[tuple[int, int, float]]:
         for w, m in zip(window.tolist(), member.tolist()):
             item, offset = group.members[m]
             doc = int(owner[w])
-            places.setdefault(doc, set()).add((item, int(firsts[w] - (ends[doc] - counts[doc])) - offset))
+            places.setdefault(doc, {}).setdefault(item, set()).add(int(firsts[w] - (ends[doc] - counts[doc])) - offset)
     for doc, found in places.items():
         words = words_of(texts[doc])
-        for item, at in found:
+        for item, starts in found.items():
             n = len(index.words[item])
-            wanted = index.shingles[item]
-            size = min(rule.size, n)
-            last = min(at + n + rule.slack, len(words)) - size
-            if not any(" ".join(words[k : k + size]) in wanted for k in range(max(at - rule.slack, 0), last + 1)):
-                continue
-            for start in range(max(at - rule.slack, 0), max(at + rule.slack, 0) + 1):
-                s = similarity(wanted, weighted(words[start : start + n], rule.size))
-                if s >= rule.similarity and s > best.get((doc, item), 0.0):
-                    best[doc, item] = s
+            reach = rule.slack + int(np.ceil(n * (1 - rule.similarity)))
+            spans: list[list[int]] = []
+            for at in sorted(starts):
+                # Past the last start of a full passage, only near the aligned place.
+                low, high = max(at - reach, 0), max(at + rule.slack, min(at + reach, len(words) - n), 0)
+                if spans and low <= spans[-1][1] + 1:
+                    spans[-1][1] = max(spans[-1][1], high)
+                else:
+                    spans.append([low, high])
+            s = max(best_passage(words, low, high, n, index.shingles[item], rule) for low, high in spans)
+            if s >= rule.similarity:
+                best[doc, item] = s
     return sorted((d, i, s) for (d, i), s in best.items())
 
 

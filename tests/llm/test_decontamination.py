@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from factloom.llm.decontamination import Index, Rule, contaminated, features, find, fingerprints, op9_simhash_decontamination, similarity, weighted, _lane_sums
+from factloom.llm.decontamination import Index, Rule, best_passage, contaminated, features, find, fingerprints, op9_simhash_decontamination, similarity, weighted, _lane_sums
 from factloom.llm.words import word_hashes, words_of
 
 
@@ -34,6 +34,34 @@ def test_finds_equal_brute_force():
     assert found == wanted and len(found) >= 20
 
 
+def test_long_items_with_edits_gathered_at_the_start():
+    r = random.Random(8)
+    items, docs = [], []
+    for n in (140, 170, 220, 300, 500, 1000):
+        for _ in range(6):
+            words = [f"t{r.randrange(400)}" for _ in range(n)]
+            around = [[f"t{r.randrange(400)}" for _ in range(r.randrange(100, 200))] for _ in range(2)]
+            run = n // 12
+            at = r.randrange(max(1, 113 - run))
+            new = [f"n{k}" for k in range(run)]
+            for own in (new + words[run:], words[:at] + new + words[at + run :], words[run:], words[:at] + words[at + run :], words[:at] + new + words[at:]):
+                docs.append(" ".join(around[0] + own + around[1]))
+            items.append(" ".join(words))
+    found = {(d, i) for d, i, _ in find(docs, Index(list(enumerate(items)), Rule()))}
+    wanted = {(d, d // 5) for d, t in enumerate(docs) if brute(t, items[d // 5]) >= 0.8}
+    assert found == wanted and len(found) >= 100
+
+
+def test_best_passage_equals_brute_force():
+    r = random.Random(9)
+    for n in (2, 4, 5, 8, 30):
+        item = [f"t{r.randrange(3)}" for _ in range(n)]
+        words = [f"t{r.randrange(3)}" for _ in range(40)]
+        wanted = weighted(item, 5)
+        s = max(similarity(wanted, weighted(words[k : k + n], 5)) for k in range(41))
+        assert best_passage(words, 0, 40, n, wanted, Rule(similarity=0.0)) == s
+
+
 def test_fingerprints_equal_plain_simhash():
     words = word_hashes(["a b c d e f g h i j k l m"])[0]
     pairs = features(words)
