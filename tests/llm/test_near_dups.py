@@ -64,7 +64,7 @@ def test_large_group_of_near_copies(spark, make_docs):
     assert {x.doc_id: x.component_id for x in found} == brute(rows, 4, 80)
 
 
-def family(first=0, members=300, pairs=20, seed=4):
+def family(members=300, pairs=20, seed=4, own=4):
     """A template's members, about 0.7 alike, with pairs among them just above 0.8."""
     r = random.Random(seed)
     base = [f"v{r.randrange(900)}" for _ in range(300)]
@@ -77,11 +77,11 @@ def family(first=0, members=300, pairs=20, seed=4):
 
     rows = [edited(base, r.sample(range(300), 7)) for _ in range(members - 2 * pairs)]
     for _ in range(pairs):
-        places = r.sample(range(300), 11)
+        places = r.sample(range(300), 3 + 2 * own)
         shared = edited(base, places[:3])
-        rows += [edited(shared, places[3:7]), edited(shared, places[7:])]
+        rows += [edited(shared, places[3 : 3 + own]), edited(shared, places[3 + own :])]
     r.shuffle(rows)
-    return [(first + k, " ".join(words)) for k, words in enumerate(rows)]
+    return [(k, " ".join(words)) for k, words in enumerate(rows)]
 
 
 def test_copies_hidden_in_a_template_family(spark, make_docs):

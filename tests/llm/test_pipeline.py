@@ -8,6 +8,7 @@ from factloom.llm.decontamination import Index, Rule, find
 from factloom.llm.secrets import RULES
 
 from .test_near_dups import brute as components_of
+from .test_near_dups import family
 
 
 def test_stages_equal_brute_force(spark, sf):
@@ -59,3 +60,11 @@ def test_stages_take_edges(spark, edge, sf, number):
 def test_one_of_each_group_stays(spark, edge, sf):
     kept = [r.doc_id for r in corpus_pipeline.without_copies(spark, edge, sf).collect()]
     assert sorted(kept, key=lambda i: (i is not None, i)) == [None, 1, 2, 3, 4, 5, 6, 7, 9]
+
+
+def test_no_copy_hidden_in_a_template_family_stays(spark, make_docs, sf):
+    rows = family(members=400, pairs=60, seed=6, own=3)
+    groups = components_of(rows, 5, 80)
+    assert sum(i != c for i, c in groups.items()) >= 10
+    kept = [r.doc_id for r in corpus_pipeline.without_copies(spark, make_docs(rows), sf).collect()]
+    assert sorted(kept) == sorted(set(groups.values()))
