@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from factloom.llm.packing import pack_documents, plan_bins
+from factloom.llm.packing import op10_best_fit_packing, pack_documents, plan_bins
 from factloom.llm.segments import SegmentEncoder
 from factloom.llm.token_files import op1_token_files, pack_values, rank_by_frequency, token_index, unpack_values, write_token_files
 
@@ -15,18 +15,17 @@ BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def plain(name):
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", [BYTE, WORD])
 def test_segments_give_the_ids_of_whole_texts(name):
     own, whole = SegmentEncoder(public_tokenizers.path(name), "word" in name, capacity=500), plain(name)
-    letters = "abcXYZ é'ß.,!?  \n\t09²_-—…ıİΣς́\xa0　'sd't世界🙂&<|endoftext|>"
+    letters = "abcXYZ é'ß.,!?  \n\t09²_-—…ıİΣς́\xa0　'sd't世界🙂&<|endoftext|>\0\x1c\x1f\u200b"
+    pieces = ["<|endoftext|>", "<|ENDOFTEXT|>", "word", " word", "Word's.", "\n", "\n\n", "  ", "x" * 40, "***", "a|b", " |", "--", "3.5,", "é.", "I\u0307", "A\u030a"]
 
-    @settings(max_examples=60, deadline=None)
-    @given(st.lists(st.text(alphabet=letters) | st.text(), max_size=8))
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.text(alphabet=letters) | st.text() | st.lists(st.sampled_from(pieces)).map("".join), max_size=8))
     def check(texts):
         texts = [t.encode("utf-8", "ignore").decode() for t in texts]
         ids, sizes = own.encode(texts)
@@ -65,8 +64,48 @@ def test_empty_table(spark, make_docs):
     assert pack_documents(make_docs([]), public_tokenizers.path(WORD), 1).count() == 0
 
 
-def test_query_covers_the_table(spark, sf):
-    assert op1_token_files(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+def test_token_file_query_equals_the_library(spark, sf):
+    rows = {r.doc_id: r for r in op1_token_files(spark, sf).collect()}
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    assert len(rows) == len(docs)
+    whole, at = plain(BYTE), 0
+    for doc, text in docs:
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        r = rows[doc]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_packing_query_equals_the_library(spark, sf):
+    rows = op10_best_fit_packing(spark, sf).collect()
+    whole, wanted = plain(WORD), {}
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = np.array([*whole.encode(d.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            wanted[d.doc_id, piece] = (at, len(part), zlib.crc32(part.tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == wanted and len(rows) == len(wanted)
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        ends = [0, *(a + n for a, n in sorted(own))]
+        assert [a for a, _ in sorted(own)] == ends[:-1] and ends[-1] <= 4096
+    assert len(places) == -(-sum(n for _, n, _ in wanted.values()) // 4096)  # as few as any packing can have here
+
+
+def test_ties_and_repeated_rows_are_packed_apart(spark, make_docs):
+    rows = pack_documents(make_docs([(1, "same words here")] * 7 + [(2, "same words here"), (None, "same words here")]), public_tokenizers.path(WORD), 1, capacity=8).collect()
+    assert len(rows) == 9 and len({(r.sequence_id, r.offset) for r in rows}) == 9
+
+
+def test_memory_of_the_encoder_is_bounded():
+    own, whole = SegmentEncoder(public_tokenizers.path(BYTE), capacity=200), plain(BYTE)
+    for k in range(40):
+        text = " ".join(f"w{k}x{j} again{j % 7} " + "long" * 10 + str(j) for j in range(60)).replace("  ", " ")
+        ids, _ = own.encode([text])
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert own.known <= 200 + 200 and len(own.others) <= 200
 
 
 @settings(max_examples=80, deadline=None)
