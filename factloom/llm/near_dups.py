@@ -3,20 +3,19 @@
 Two collections of ``side`` short bands each (``rows`` minhashes a band) are computed. A table key joins
 one band of the first with one of the second, so ``side`` squared tables cost 2 x ``side`` x ``rows``
 minhashes instead of ``side`` squared x 2 x ``rows``. A pair of Jaccard similarity s shares no key with
-probability at most 2 (1 - s**rows)**side: below 1e-5 at s = 0.8 with the defaults.
+probability at most 2 (1 - s**rows)**side: below 1e-5 at s = 0.8 with the defaults. Every pair that does
+share a key is tested, unless its documents are already connected. Links are confirmed on whole sets of
+shingles made of words; hashes only rule pairs out.
 
-Links are confirmed on whole shingle sets:
-
-1. Documents with equal sets form one class; all further work is on classes.
+1. Documents with equal sequences of words form one class; all further work is on classes.
 2. Bands that no other class has are dropped before keys are formed; keys of one class are dropped.
-3. Each class is compared with the smallest class of each of its keys. In keys that then still hold more
-   than one component, and have few members, all pairs that are not connected yet are compared.
-   The members of larger keys meet in blocks inside tasks, all pairs of different components against
-   the bound of step 4: first each member goes on with its likeliest partner, until that finds no more
-   links; then every pair goes on that the bound lets pass. So a group of n near copies costs O(n) rows,
-   and no pair with a shared key is left out.
-4. A parity bitmap of each set gives an upper bound of the overlap; only pairs that the bound lets pass
-   are compared on their texts. The bound is exact, so it drops no link.
+3. Keys of few classes give all their pairs. Of keys with more, each class meets two pivots, so a group of
+   n near copies costs O(n) pairs. A parity bitmap of each set bounds the overlap from above and rules
+   pairs out; first each class's smallest partner is confirmed on texts, then what isn't connected yet.
+4. A large key that still holds several components is compared completely, inside tasks. All large keys of
+   one first band are one group. Each class outside the group's main component meets every class of the
+   group, in a grid of cells of bounded size, and a cell gives at most one link per class. Pairs inside the
+   main component need no test.
 """
 
 from __future__ import annotations
@@ -24,15 +23,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
 from factloom.llm.segments import chunks
-from factloom.llm.words import mix, shingle_hashes, word_hashes, words_of
+from factloom.llm.words import mix, shingle_hashes, word_bytes, word_hashes
 from factloom.llm.workspace import drop_table, write_table
 
 
@@ -48,6 +48,15 @@ class Tensor:
         return drawn[::2] | np.uint64(1), drawn[1::2]
 
 
+@dataclass(frozen=True)
+class Cells:
+    """few: most members of a key that gives all its pairs. members, shingles: of one side of a cell."""
+
+    few: int = 6
+    members: int = 4096
+    shingles: int = 2_000_000
+
+
 def parity_bitmap(shingles: np.ndarray) -> bytes:
     """Bit i is the parity of the number of shingles that fall on i; about two bits a shingle, a power of two."""
     bits = max(256, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else 256
@@ -57,7 +66,7 @@ def parity_bitmap(shingles: np.ndarray) -> bytes:
 
 def overlap_bound(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
     """At least the size of the intersection: shingles in one set only are at least the differing bits."""
-    x, y = np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)
+    x, y = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
     if len(x) > len(y):
         x, y = y, x
     y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)
@@ -65,12 +74,12 @@ def overlap_bound(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
 
 
 def signatures(docs: DataFrame, size: int, tensor: Tensor) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), bands (2 x side hashes), bits, of every row of ``docs``."""
+    """doc_id, text_hash, n_shingles, digest (of the words in a row), bands (2 x side hashes), bits, of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, addends = tensor.constants()
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in chunks(texts, map(len, texts), 1_000_000):
                 words, counts = word_hashes(texts[a:b])
                 hashes, sizes = shingle_hashes(words, counts, size)
@@ -83,17 +92,24 @@ def signatures(docs: DataFrame, size: int, tensor: Tensor) -> DataFrame:
                 bands = np.zeros((len(sizes), 2 * tensor.side), np.uint64)
                 for r in range(tensor.rows):
                     bands = mix(bands * np.uint64(7) + low[:, r :: tensor.rows])
-                n, digests, bits = [], [], []
+                n, bits = [], []
                 for first, stop in zip(starts.tolist(), stops.tolist()):
                     own = np.unique(hashes[first:stop])
                     n.append(len(own))
-                    digests.append(f"{len(own)}:{int(mix(own).sum(dtype=np.uint64)):016x}{int(mix(own ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64)):016x}")
                     bits.append(parity_bitmap(own))
+                digests = [blake2b(b" ".join(word_bytes(t)), digest_size=16).digest() for t in texts[a:b]]
                 flat = pa.array(bands.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * tensor.side), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digests), lists, pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "bits"])
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "digest", "bands", "bits"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, digest string, bands array<bigint>, bits binary")
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<bigint>, bits binary")
+
+
+def text_hash():
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _may_link(percent: int):
@@ -113,159 +129,193 @@ def _may_link(percent: int):
     return check
 
 
-def _folded(bits: list[bytes], width: int) -> np.ndarray:
-    """Bitmaps of one length as rows of words, folded to ``width`` bytes."""
-    return np.bitwise_xor.reduce(np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1, width // 8), 1)
-
-
-def _may_link_within(percent: int, every: bool):
-    """Of two blocks of a key, the pairs of different components that the bound lets pass; if not ``every``,
-    only each member's likeliest."""
-
-    def check(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rep, component, n, block = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "block"))
-        bits = table.column("bits").to_pylist()
-        length = np.array([len(x) for x in bits])
-        i, j = key[1].as_py(), key[2].as_py()
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for long_a in np.unique(length[block == i]).tolist():
-            rows = np.flatnonzero((block == i) & (length == long_a))
-            for long_b in np.unique(length[block == j]).tolist():
-                cols = np.flatnonzero((block == j) & (length == long_b))
-                if 100 * min(n[rows].max(), n[cols].max()) < percent * max(n[rows].min(), n[cols].min()):
-                    continue
-                width = min(long_a, long_b)
-                x, y = _folded([bits[k] for k in rows], width), _folded([bits[k] for k in cols], width)
-                step = max(1, 8_000_000 // (width * len(cols)))
-                for at in range(0, len(rows), step):
-                    own = rows[at : at + step]
-                    least, most = np.minimum(n[own][:, None], n[cols]), np.maximum(n[own][:, None], n[cols])
-                    fits = (component[own][:, None] != component[cols]) & (100 * least >= percent * most)
-                    if i == j:
-                        fits &= own[:, None] < cols
-                    p, q = np.nonzero(fits)
-                    differing = np.bitwise_count(x[at + p] ^ y[q]).sum(1, dtype=np.int64)
-                    both = least[p, q] + most[p, q]
-                    over = np.minimum(least[p, q], (both - differing) // 2)
-                    passed = np.flatnonzero(100 * over >= percent * (both - over))
-                    found.append((own[p[passed]], cols[q[passed]], over[passed] / (both - over)[passed]))
-        a, b, likely = (np.concatenate(part) for part in zip(*found))
-        if not every:
-            ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-            order = np.lexsort((-likely[pair], ends))
-            chosen = np.unique(pair[order[np.unique(ends[order], return_index=True)[1]]])
-            a, b = a[chosen], b[chosen]
-        return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
-
-    return check
+def shingle_set(text: str, size: int) -> frozenset[bytes]:
+    words = word_bytes(text)
+    return frozenset(b" ".join(words[k : k + size]) for k in range(max(len(words) - size + 1, 1))) if words else frozenset()
 
 
-def shingle_set(text: str, size: int) -> frozenset[str]:
-    words = words_of(text)
-    return frozenset(" ".join(words[k : k + size]) for k in range(max(len(words) - size + 1, 1))) if words else frozenset()
+def alike(a: frozenset, b: frozenset, percent: int) -> bool:
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _do_link(percent: int, size: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(64)(lambda text: shingle_set(text, size))
         for batch in batches:
-            keep = []
-            for text_a, text_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = known(text_a), known(text_b)
-                both = len(a & b)
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            keep = [alike(known(a), known(b), percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return check
 
 
+def _compare_cell(percent: int, size: int):
+    """Links between the visitors and the members of one cell (node, component, visitor, main, text)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, component, visitor, main = (table.column(c).to_numpy().copy() for c in ("node", "component", "visitor", "main"))
+        texts = table.column("text").to_pylist()
+        found = []
+        for a, b in chunks(texts, map(len, texts), 1_000_000):
+            hashes, sizes = shingle_hashes(*word_hashes(texts[a:b]), size)
+            ends = np.cumsum(sizes)
+            found += [np.unique(hashes[stop - n : stop]) for stop, n in zip(ends.tolist(), sizes.tolist())]
+        n = np.array([len(x) for x in found])
+        values, ids, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        mark = np.zeros(len(values), np.int32)
+        first = np.cumsum(n) - n
+        members = np.flatnonzero(~visitor)
+        held = np.concatenate([ids[first[k] : first[k] + n[k]] for k in members]) if len(members) else ids[:0]
+        heads = np.cumsum(n[members]) - n[members]
+        known = lru_cache(256)(lambda k: shingle_set(texts[k], size))
+        links = []
+        for u in np.flatnonzero(visitor).tolist():
+            least, most = np.minimum(n[members], n[u]), np.maximum(n[members], n[u])
+            # Two classes outside the main component visit each other; the smaller node's visit counts.
+            fits = (component[members] != component[u]) & (100 * least >= percent * most) & ((component[members] == main[members]) | (node[members] > node[u]))
+            if not fits.any():
+                continue
+            own = ids[first[u] : first[u] + n[u]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[held], heads)
+            mark[own] = 0
+            near = members[fits & (100 * both >= percent * (n[members] + n[u] - both))]
+            for c in np.unique(component[near]).tolist():
+                for k in near[component[near] == c].tolist():
+                    if alike(known(u), known(k), percent):
+                        links.append((min(node[u], node[k]), max(node[u], node[k])))
+                        # The main component keeps its name, by which its members are known.
+                        keep, gone = (component[k], component[u]) if component[k] == main[k] else (component[u], component[k])
+                        component[component == gone] = keep
+                        break
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return compare
+
+
 def shared_keys(classes: DataFrame, tensor: Tensor) -> DataFrame:
-    """``key, rep`` of every table key that more than one class has."""
-    bands = classes.select("rep", F.posexplode("bands").alias("band", "value"))
+    """``key, home (its first band), node, n, pivot, other`` of every table key that more than one class has.
+
+    pivot: of the key's classes the one that holds most keys; other: one drawn by hash.
+    """
+    bands = classes.select("node", F.posexplode("bands").alias("band", "value"))
     common = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = bands.join(common, ["band", "value"], "left_semi").groupBy("rep").agg(F.collect_list(F.struct("band", "value")).alias("bands"))
+    live = bands.join(common, ["band", "value"], "left_semi").groupBy("node").agg(F.collect_list(F.struct("band", "value")).alias("bands"))
     first, second = F.filter("bands", lambda x: x["band"] < tensor.side), F.filter("bands", lambda x: x["band"] >= tensor.side)
-    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["band"], a["value"], b["band"], b["value"]))))
-    keyed = live.select("rep", F.explode(keys).alias("key"))
-    held = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1")
-    return keyed.join(held, "key")
+    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.struct(F.xxhash64(a["band"], a["value"], b["band"], b["value"]).alias("key"), F.xxhash64(a["band"], a["value"]).alias("home")))))
+    keyed = live.select("node", (-F.size(first) * F.size(second)).alias("__w"), F.explode(keys).alias("k")).select("node", "__w", "k.key", "k.home")
+    pivot, other = F.min(F.struct("__w", "node"))["node"], F.min(F.struct(F.xxhash64("node"), F.col("node").alias("node")))["node"]
+    held = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), pivot.alias("pivot"), other.alias("other")).filter("n > 1")
+    return keyed.drop("__w").join(held, "key")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor = Tensor(), part: int = 8, spread: int = 1000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; others are ignored).
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor = Tensor(), cells: Cells = Cells()) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, chosen for every row of ``docs``; see :func:`near_duplicates`.
 
-    Links hold where 100 x intersection >= ``percent`` x union of the sets of ``size``-word shingles. A
-    text of fewer words counts as one shingle; a null, empty or blank text has none and links with
-    nothing. A null doc_id links with nothing and has a null component. Rows that repeat a doc_id are
-    documents of their own and share the id's component where their sets do. Keys of more than ``part``
-    members are compared inside tasks, every two blocks of about ``spread`` members in one.
+    chosen: whether the row's doc_id and text are the one pair that stands for its component.
     """
     spark = docs.sparkSession
-    signed, _ = write_table(signatures(docs, size, tensor), "signatures")
+    written: list[str] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        table, at = write_table(df, name)
+        written.append(at)
+        return table
+
+    signed = write_table(signatures(docs, size, tensor), "signatures")[0]
     real = signed.filter("n_shingles > 0 and doc_id is not null")
-    reps = real.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    leading = real.join(reps, "digest").filter("doc_id = rep").select("rep", "digest", "n_shingles", "bands", "bits").dropDuplicates(["rep", "digest"])
-    classes, classes_at = write_table(leading, "classes")
-    keyed, keyed_at = write_table(shared_keys(classes, tensor), "keys")
-    some = keyed.select(F.col("rep").alias("doc_id")).distinct()
-    texts, texts_at = write_table(docs.select("doc_id", "text").filter("text is not null").join(some, "doc_id", "left_semi"), "texts")
-    sets = classes.select("rep", "n_shingles", "bits")
+    own = real.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "bits")])
+    # Ids are drawn once, as the table is written.
+    classes = write_table(own.select(F.monotonically_increasing_id().alias("node"), "digest", "own", "n_shingles", "bands", "bits"), "classes")[0]
+    keyed = write(shared_keys(classes, tensor), "keys")
+    some = keyed.select("node").distinct().join(classes.select("node", "own.*"), "node")
+    texts = docs.select("doc_id", text_hash().alias("text_hash"), "text").join(some, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"])
+    texts = write(texts.select("node", "text"), "texts")
+    sets = classes.select("node", "n_shingles", "bits")
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(name if c in ("rep", "doc_id") else {"n_shingles": "n", "bits": "bits", "text": "text"}[c] + "_" + name) for c in df.columns])
+        return df.select(*[F.col(c).alias(name if c == "node" else f"{c[0] if c == 'n_shingles' else c}_{name}") for c in df.columns])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wide = pairs.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-        likely, _ = write_table(wide.mapInArrow(_may_link(percent), "a long, b long").distinct(), "likely")
-        full = likely.join(side(texts, "a"), "a").join(side(texts, "b"), "b").select("a", "b", "text_a", "text_b")
-        return full.mapInArrow(_do_link(percent, size), "a long, b long").distinct()
-
-    tested, _ = write_table(keyed.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links, _ = write_table(confirmed(tested), "links")
+        full = pairs.join(side(texts, "a"), "a").join(side(texts, "b"), "b").select("a", "b", "text_a", "text_b")
+        return full.mapInArrow(_do_link(percent, size), "a long, b long")
+
+    few = keyed.filter(F.col("n") <= cells.few).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    pairs = few.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, cells.few), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    large = keyed.filter(F.col("n") > cells.few)
+    met = large.groupBy("node").agg(F.min("pivot").alias("pivot"), F.min("other").alias("other")).select("node", F.explode(F.array("pivot", "other")).alias("to"))
+    met = met.filter("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
+    wide = pairs.union(met).distinct().join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    likely = write(wide.mapInArrow(_may_link(percent), "a long, b long"), "likely")
+    nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = write(confirmed(nearest), "links")
     labels = components(links)
 
-    def mixed(keys: DataFrame) -> DataFrame:
-        """The members of keys that hold more than one component."""
-        known = keys.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        some = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        return known.join(some, "key", "left_semi")
-
-    # Of keys with two members the only pair has been tested.
-    small, large = keyed.filter(F.col("n").between(3, part)).select("key", "rep"), keyed.filter(F.col("n") > part).select("key", "rep", "n")
-    together = mixed(small).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "component"))).alias("m"))
-    later = F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y: (y["rep"] > x["rep"]) & (y["component"] != x["component"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))))
-    apart = together.select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b").distinct().join(tested, ["a", "b"], "left_anti")
-    fresh, _ = write_table(apart, "pairs")
-    tested = tested.union(fresh)
-    links = links.union(write_table(confirmed(fresh), "links")[0])
+    def labelled(df: DataFrame, at: str, name: str) -> DataFrame:
+        return df.join(labels.select(F.col("id").alias(at), F.col("component").alias(name)), at, "left").withColumn(name, F.coalesce(name, at))
+
+    apart = labelled(labelled(likely, "a", "of_a"), "b", "of_b").filter("of_a <> of_b").select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    links = links.union(write(confirmed(apart), "links"))
+    labels = components(links)
+    # The groups of large keys that hold more than one component, and each group's main component.
+    members = labelled(large.select("home", "node").distinct().join(classes.select("node", "n_shingles"), "node"), "node", "component")
+    held = members.groupBy("home", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    held = held.groupBy("home").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "w", "component")).alias("main"), *[F.sum(c).alias(c) for c in ("n", "w")], *[F.bit_xor(c).alias(c) for c in ("x", "y")]).filter("parts > 1")
+    # Groups of the same classes are one.
+    held = held.groupBy("n", "x", "y").agg(F.min(F.struct("home", "main", "w")).alias("g")).select("n", "g.*")
+
+    def blocks(n, w):
+        return F.ceil(F.greatest(n / cells.members, w / cells.shingles)).cast("long")
+
+    held = held.select("home", F.col("main.component").alias("main"), blocks(F.col("n"), F.col("w")).alias("rows"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("cols"))
+    dealt = members.join(held, "home")
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    row, col = F.pmod(F.xxhash64("node"), F.col("rows")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("cols"))
+    stay = dealt.withColumn("row", row).withColumn("col", every("cols")).withColumn("visitor", F.lit(False))
+    go = dealt.filter("component <> main").withColumn("col", col).withColumn("row", every("rows")).withColumn("visitor", F.lit(True))
+    grid = stay.unionByName(go).select("home", "row", "col", "node", "component", "main", "visitor").join(texts, "node")
+    links = links.union(write(grid.groupBy("home", "row", "col").applyInArrow(_compare_cell(percent, size), "a long, b long"), "links"))
     labels = components(links)
-    # Keys of the same members are one.
-    held = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    large, large_at = write_table(large.join(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "large")
-    turns = [True, False] if large.limit(1).count() else []
-    while turns:
-        every = turns.pop()
-        blocks = F.ceil(F.col("n") / spread)
-        members = mixed(large).withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        blocked = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component").join(sets, "rep")
-        pairs = blocked.groupBy("key", "i", "j").applyInArrow(_may_link_within(percent, every), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-        fresh, _ = write_table(pairs, "pairs")
-        more, _ = write_table(confirmed(fresh), "links")
-        tested = tested.union(fresh)
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = components(links)
-            if not every:
-                turns.append(False)
-    for path in (classes_at, keyed_at, texts_at, large_at):
+    named = labelled(classes.select("node", "digest", "own"), "node", "component")
+    heads = named.groupBy("component").agg(F.min("own").alias("head"))
+    out = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(named.join(heads, "component").select("digest", "head"), "digest", "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = out.select(
+        "doc_id", "text_hash", "n_shingles", F.when(linked, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~linked | ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash")))).alias("chosen"),
+    )
+    for path in written:
         drop_table(spark, path)
-    of_rep = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_rep, "digest", "left")
-    linked = F.col("n_shingles") > 0
-    named = out.withColumn("component_id", F.when(linked & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")))
+    return out
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor = Tensor(), cells: Cells = Cells()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; others are ignored).
+
+    Links hold where 100 x intersection >= ``percent`` x union of the sets of ``size``-word shingles. A
+    text of fewer words counts as one shingle; a null, empty or blank text has none and links with
+    nothing. A null doc_id links with nothing and has a null component. Rows that repeat a doc_id are
+    documents of their own: each has the smallest doc_id that its own text reaches.
+    """
+    named = grouped(docs, size, percent, tensor, cells)
     return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor = Tensor(), cells: Cells = Cells()) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: of its smallest doc_id, and there of the smallest text hash.
+
+    Rows without a doc_id or without words have no copies and stay. Of rows that repeat a doc_id and a text one
+    stays, by the order of the other columns; rows of one doc_id and unrelated texts both stay.
+    """
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    columns = docs.columns
+    chosen = grouped(docs.filter(~alone), size, percent, tensor, cells).filter("chosen").select("doc_id", F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.filter(~alone).withColumn("__hash", text_hash()).join(chosen, ["doc_id", "__hash"], "left_semi")
+    rest = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]
+    first = Window.partitionBy("doc_id", "__hash").orderBy(*(rest or [F.lit(0)]))  # as the join has dealt and sorted them
+    return rows.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(*columns).union(docs.filter(alone))
+
+
 def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all ``documents``: 4-word shingles, similarity of at least 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4)

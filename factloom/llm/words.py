@@ -6,25 +6,26 @@ are 64 bits; whoever links documents by them confirms on the words themselves.
 
 from __future__ import annotations
 
-import re
+from hashlib import blake2b
 
 import numpy as np
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+
+
+def word_bytes(text: str) -> list[bytes]:
+    """The words of one text; ``bytes.split`` splits at just the bytes that words end at."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
 def words_of(text: str) -> list[str]:
     """The words of one text, as strings."""
-    return WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass"))
+    return [w.decode("utf-8", "surrogatepass") for w in word_bytes(text)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,15 +35,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        base = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
-        base[0] = 1
-        _powers = np.multiply.accumulate(base)
-        base[1:] = pow(_BASE, -1, 1 << 64)
-        _inverses = np.multiply.accumulate(base)
-    return _powers[:n], _inverses[:n]
+_PLACES = 64
+#: A number for each byte at each of the first places of a word; a hash adds up those of its bytes.
+_NUMBERS = mix(np.arange(1, 1 + 256 * _PLACES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,14 +46,17 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     buffer = _FOLD[np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)]
     solid = ~_SPACE[buffer]
     edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
-    starts, stops = edges[::2], edges[1::2]
-    powers, inverses = _power_tables(len(buffer))
-    sums = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-    hashes = mix((sums[stops] - sums[starts]) * inverses[starts])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    heads = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(heads, sizes)
+    numbers = _NUMBERS[np.minimum(place, _PLACES - 1) << 8 | buffer[solid]]
+    hashes = mix(np.add.reduceat(numbers, heads) + sizes.astype(np.uint64))
+    for k in np.flatnonzero(sizes > _PLACES).tolist():
+        hashes[k] = int.from_bytes(blake2b(buffer[starts[k] : starts[k] + sizes[k]].tobytes(), digest_size=8).digest(), "little")
     ends = np.cumsum(np.array([len(r) + 1 for r in raw], np.int64))
-    upto = np.searchsorted(starts, ends)
-    return hashes, np.diff(upto, prepend=0)
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 import random
 
 from factloom.llm.components import components
-from factloom.llm.near_dups import near_duplicates, op4_tensored_minhash, overlap_bound, parity_bitmap, shingle_set
+from factloom.llm.near_dups import Cells, near_duplicates, one_of_each, op4_tensored_minhash, overlap_bound, parity_bitmap, shingle_set
 
 
 def brute(rows, size, percent):
@@ -88,8 +88,8 @@ def test_copies_hidden_in_a_template_family(spark, make_docs):
     rows = family()
     wanted = brute(rows, 4, 80)
     assert sum(i != c for i, c in wanted.items()) >= 10
-    for spread in (1000, 40):
-        found = near_duplicates(make_docs(rows), 4, spread=spread).collect()
+    for cells in (Cells(), Cells(members=40), Cells(shingles=9000), Cells(few=2, members=70)):
+        found = near_duplicates(make_docs(rows), 4, cells=cells).collect()
         assert {x.doc_id: x.component_id for x in found} == wanted
 
 
@@ -114,6 +114,38 @@ def test_edges_have_results(spark, edge, make_docs):
     assert near_duplicates(make_docs([])).count() == 0
 
 
+def test_no_link_rests_on_hashes_alone(spark, make_docs):
+    # Two long words that polynomial hashes modulo a power of two can't tell apart.
+    a = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    found = near_duplicates(make_docs([(1, a), (2, b), (3, f"x {a} y z q"), (4, f"x {b} y z q")]), 4).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_copies_of_other_word_order_and_repeats(spark, make_docs):
+    # Equal sets from different sequences of words.
+    rows = [(k, " ".join(["a b c d e"] * (2 + k))) for k in range(40)] + [(50, "a b c d e a b c d f")]
+    found = near_duplicates(make_docs(rows), 4).collect()
+    assert {x.doc_id: x.component_id for x in found} == brute(rows, 4, 80)
+
+
+def test_rows_of_one_id_and_other_texts(spark, make_docs):
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (2, "seven eight nine ten eleven twelve"), (0, "one two three four five six")]
+    found = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(make_docs(rows)).collect()}
+    assert found == {(1, 0, False), (1, 1, True), (2, 1, False), (0, 0, True)}
+
+
+def test_one_row_of_each_group_stays(spark, make_docs):
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (2, "seven eight nine ten eleven twelve"), (0, "one two three four five six"),
+            (0, "one two three four five six"), (3, None), (3, None), (4, " "), (None, "one two three four five six"), (5, "alone here")]
+    docs = make_docs(rows).selectExpr("*", "1 as __row", "'x' as component_id")
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted(
+        [(-1, rows[0][1]), (1, rows[1][1]), (3, ""), (3, ""), (4, " "), (-1, rows[0][1]), (5, "alone here")]
+    )
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     assert {r.id: r.component for r in components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
