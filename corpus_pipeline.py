@@ -24,14 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; of repeated rows, one.
-
-    Documents without a doc_id or without words have no copies and stay.
-    """
-    marked = near_dups.near_duplicates(docs)
-    kept = marked.filter("kept and doc_id is not null").select("doc_id").distinct()
-    lone = docs.filter("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(lone)
+    """One document of each group of near copies: the row of the smallest doc_id; see ``one_of_each``."""
+    return near_dups.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
