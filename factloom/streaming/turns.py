@@ -8,8 +8,10 @@ batch, which is the queue's bound: nothing is dropped, a backlog waits.
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Callable
 from datetime import datetime, timezone
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,33 @@ def read_turns(spark: SparkSession, folder: str, files_per_batch: int = 128) ->
     return spark.readStream.schema(TURN).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
+class TurnQueue:
+    """Turns of one host that wait for retention: at most ``most``, the newest are refused and counted beyond."""
+
+    def __init__(self, most: int = 128) -> None:
+        self.most, self.dropped = most, 0
+        self._waiting: deque[tuple[str, str, str]] = deque()
+        self._lock = Lock()
+
+    def __len__(self) -> int:
+        return len(self._waiting)
+
+    def offer(self, session: str, user: str, assistant: str) -> bool:
+        with self._lock:
+            if len(self._waiting) >= self.most:
+                self.dropped += 1
+                return False
+            self._waiting.append((session, user, assistant))
+            return True
+
+    def take(self) -> list[tuple[str, str, str]]:
+        """All that wait, which then wait no more."""
+        with self._lock:
+            taken = list(self._waiting)
+            self._waiting.clear()
+            return taken
+
+
 def worthwhile(turns: DataFrame) -> DataFrame:
     """Turns that say something, with the text to extract from; stateless."""
     return retention.turn_texts(turns.withColumns({"user": F.coalesce("user", F.lit("")), "assistant": F.coalesce("assistant", F.lit(""))}))
