@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factloom.llm.workspace import drop_table, write_table
 
 
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.select("a", "b").union(links.select("b", "a")).distinct()
+
+
+def neighbourhoods(both: DataFrame) -> DataFrame:
+    """``id, component``: the smallest id within two links. Ids of one value are connected, not the reverse."""
+    near = both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("component"))
+    return both.join(near.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min(F.least("component", "a")).alias("component"))
+
+
+def rough_components(links: DataFrame) -> DataFrame:
+    """``id, component`` where equal components mean connected ids; a component may have several names."""
+    return neighbourhoods(_both_ways(links))
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``id, component``: for each id in ``links`` (columns a, b) the smallest id it can reach.
 
@@ -15,18 +30,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     chains; it ends when nothing changes. Labels are written between rounds, so lineage stays short.
     """
     spark = links.sparkSession
-    both, both_at = write_table(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels, at = write_table(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
+    both, both_at = write_table(_both_ways(links), "links")
+    labels, at = write_table(neighbourhoods(both), "labels")
     for _ in range(most_rounds):
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         passed = labels.join(seen, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("over"))
         jumped = passed.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("over", "component")).alias("component"))
-        new, new_at = write_table(jumped, "labels")
-        changed = new.filter("was <> component").limit(1).count()
+        counted = Observation()
+        new, new_at = write_table(jumped.observe(counted, F.count_if(F.col("was") != F.col("component")).alias("changed")).drop("was"), "labels")
         drop_table(spark, at)
-        labels, at = new.select("id", "component"), new_at
-        if not changed:
+        labels, at = new, new_at
+        if not counted.get["changed"]:
             drop_table(spark, both_at)
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -4,14 +4,14 @@ Two collections of ``side`` short bands each (``rows`` minhashes a band) are com
 one band of the first with one of the second, so ``side`` squared tables cost 2 x ``side`` x ``rows``
 minhashes instead of ``side`` squared x 2 x ``rows``. A pair of Jaccard similarity s shares no key with
 probability at most 2 (1 - s**rows)**side: below 1e-5 at s = 0.8 with the defaults. Every pair that does
-share a key is tested, unless its documents are already connected. Links are confirmed on whole sets of
+share a key is tested, unless it joins documents of a large key that are already connected. Links are confirmed on whole sets of
 shingles made of words; hashes only rule pairs out.
 
 1. Documents with equal sequences of words form one class; all further work is on classes.
 2. Bands that no other class has are dropped before keys are formed; keys of one class are dropped.
 3. Keys of few classes give all their pairs. Of keys with more, each class meets two pivots, so a group of
    n near copies costs O(n) pairs. A parity bitmap of each set bounds the overlap from above and rules
-   pairs out; first each class's smallest partner is confirmed on texts, then what isn't connected yet.
+   pairs out; what it lets pass is confirmed on texts.
 4. A large key that still holds several components is compared completely, inside tasks. All large keys of
    one first band are one group. Each class outside the group's main component meets every class of the
    group, in a grid of cells of bounded size, and a cell gives at most one link per class. Pairs inside the
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.components import components
+from factloom.llm.components import components, rough_components
 from factloom.llm.segments import chunks
 from factloom.llm.words import mix, shingle_hashes, word_bytes, word_hashes
 from factloom.llm.workspace import drop_table, write_table
@@ -247,16 +247,12 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor =
     met = met.filter("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
     wide = pairs.union(met).distinct().join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     likely = write(wide.mapInArrow(_may_link(percent), "a long, b long"), "likely")
-    nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = write(confirmed(nearest), "links")
-    labels = components(links)
+    links = write(confirmed(likely), "links")
+    labels = write(rough_components(links), "labels")  # enough to leave out most of the grid
 
     def labelled(df: DataFrame, at: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("id").alias(at), F.col("component").alias(name)), at, "left").withColumn(name, F.coalesce(name, at))
 
-    apart = labelled(labelled(likely, "a", "of_a"), "b", "of_b").filter("of_a <> of_b").select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    links = links.union(write(confirmed(apart), "links"))
-    labels = components(links)
     # The groups of large keys that hold more than one component, and each group's main component.
     members = labelled(large.select("home", "node").distinct().join(classes.select("node", "n_shingles"), "node"), "node", "component")
     held = members.groupBy("home", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
@@ -274,8 +270,8 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor =
     stay = dealt.withColumn("row", row).withColumn("col", every("cols")).withColumn("visitor", F.lit(False))
     go = dealt.filter("component <> main").withColumn("col", col).withColumn("row", every("rows")).withColumn("visitor", F.lit(True))
     grid = stay.unionByName(go).select("home", "row", "col", "node", "component", "main", "visitor").join(texts, "node")
-    links = links.union(write(grid.groupBy("home", "row", "col").applyInArrow(_compare_cell(percent, size), "a long, b long"), "links"))
-    labels = components(links)
+    every_link = links.union(write(grid.groupBy("home", "row", "col").applyInArrow(_compare_cell(percent, size), "a long, b long"), "links"))
+    labels = components(every_link)
     named = labelled(classes.select("node", "digest", "own"), "node", "component")
     heads = named.groupBy("component").agg(F.min("own").alias("head"))
     out = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(named.join(heads, "component").select("digest", "head"), "digest", "left")
