@@ -95,7 +95,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give every piece a ``sequence_id`` and an ``offset``.
 
-    ``pieces`` is read three times and should be a written table. The histogram and the plan on the
+    ``pieces`` is a written table; it is read three times. The histogram and the plan on the
     driver are bounded by ``capacity``, whatever the number of pieces.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -120,7 +120,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns = [batch.column(k) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(own[:, 2] + rank - own[:, 1], pa.int64()), pa.array(own[:, 3], pa.int64())], [f.name for f in list(batch.schema)[:5]] + ["sequence_id", "offset"])
 
-    ranked = gapless_rank(pieces, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    ranked = gapless_rank(pieces, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
     return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 

@@ -1,9 +1,11 @@
 """Secret scans over a trigram inverted index, in DataFrame operations only.
 
-Each rule's regular expression gives a Boolean trigram query (:mod:`factloom.llm.trigrams`). The index
-holds the postings (trigram, document) of all trigrams that some query names; a document's postings
-are brought together, each query is answered by intersecting and uniting them, and only candidates are
-searched with the rule itself. Rules without a mandatory trigram search every text.
+Each rule's regular expression gives a Boolean trigram query (:mod:`factloom.llm.trigrams`). The index is a
+written table of postings: for each trigram that some query names, and each bucket of doc_ids, the sorted
+ids of the documents that hold it. Queries are answered bucket by bucket by intersecting and uniting
+postings, and only candidates are searched with the rule itself; the index holds no texts, and candidates
+go to the texts, not the reverse, as long as their table is small enough to be broadcast. Rules without a
+mandatory trigram search every text.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.trigrams import Query, trigram_query, trigrams_of
+from factloom.llm.workspace import partitions, write_table
 
 
 @dataclass(frozen=True)
@@ -51,24 +54,35 @@ MORE = (
 RULES = BASE + MORE
 
 
-def _holds(query: Query, postings: str) -> Column:
-    """The query as intersections and unions over the posted trigrams of a document."""
+BUCKETS = 16  # of doc_ids, for each shuffle partition
+MOST_BROADCAST = 100_000  # candidate rows, of some 60 bytes each
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """bucket, trigram and ids (sorted): the inverted index of the trigrams that the rules' queries name."""
+    wanted = sorted(set().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
+    low = docs.filter("doc_id is not null and text is not null").select("doc_id", F.lower("text").alias("low"))
+    present = F.filter(F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>"), lambda t: F.contains(F.col("low"), t))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS * partitions(docs.sparkSession))).cast("int")
+    each = low.select(bucket.alias("bucket"), "doc_id", F.explode(present).alias("trigram"))
+    return each.groupBy("bucket", "trigram").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
+
+
+def _answer(query: Query, lists: str) -> Column:
+    """The ids that a query leaves, from a bucket's map of trigrams to ids."""
     if isinstance(query, str):
-        return F.array_contains(postings, query)
-    parts = [_holds(q, postings) for q in sorted(query[1], key=str)]
-    return reduce(lambda a, b: a & b if query[0] == "and" else a | b, parts)
+        return F.coalesce(F.try_element_at(lists, F.lit(query)), F.array().cast("array<bigint>"))
+    parts = [_answer(q, lists) for q in sorted(query[1], key=str)]
+    return reduce(F.array_intersect if query[0] == "and" else F.array_union, parts)
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and kinds: the rules whose trigram query the document's postings satisfy."""
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id and kinds: the rules whose trigram query the postings satisfy."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
-    wanted = sorted(set().union(*map(trigrams_of, queries.values())))
-    low = docs.filter("doc_id is not null and text is not null").select("doc_id", F.lower("text").alias("low"))
-    present = F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(F.col("low"), t))
-    postings = low.select("doc_id", F.explode(present).alias("trigram"))
-    by_doc = postings.groupBy("doc_id").agg(F.collect_set("trigram").alias("trigrams"))
-    kinds = F.array_compact(F.array(*[F.when(_holds(q, "trigrams"), F.lit(kind)) for kind, q in queries.items()]))
-    return by_doc.select("doc_id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    lists = index.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("trigram", F.col("ids").cast("array<bigint>")))).alias("lists"))
+    left = [F.struct(F.lit(kind).alias("kind"), _answer(q, "lists").alias("ids")) for kind, q in queries.items()]
+    found = lists.select(F.explode(F.array(*left)).alias("x")).select("x.kind", F.explode("x.ids").alias("doc_id"))
+    return found.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -80,7 +94,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     kept = [c for c in docs.columns if c != "secrets" and not c.startswith("__")]
     indexed = {r.kind for r in rules if trigram_query(r.pattern) is not True}
-    found = candidates(docs, rules).select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
+    found, _ = write_table(candidates(write_table(postings(docs, rules), "postings")[0], rules), "candidates")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
+    if found.count() <= MOST_BROADCAST:
+        found = F.broadcast(found)
     rows = docs.select(*kept).join(found, F.col("doc_id") == F.col("__id"), "left")
     none = F.array().cast("array<string>")
     text = F.coalesce("text", F.lit(""))

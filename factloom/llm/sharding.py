@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.workspace import gapless_rank
+from factloom.llm.workspace import gapless_rank, write_table
 
 
 @dataclass(frozen=True)
@@ -25,10 +25,17 @@ class Leaf:
     weight: float = 1.0
 
 
-def tree(shards: int, regions: int = 3, racks: int = 2) -> list[Leaf]:
-    """``shards`` dealt evenly to ``regions`` of ``racks`` each, in runs."""
+def tree(shards: int, regions: int = 3, racks: int = 2, founded: int = 24) -> list[Leaf]:
+    """The tree of a number of shards: the first ``founded`` of them (or all, if there are fewer) dealt evenly
+    to ``regions`` of ``racks`` each, in runs, and every later one added as :func:`grown` does. So from
+    ``founded`` on the tree of one more shard takes rows only into that shard.
+    """
+    first = min(shards, founded)
     racks_all = [(r, k) for r in range(regions) for k in range(racks)]
-    return [Leaf(f"region{r}", f"rack{k}", s) for s in range(shards) for r, k in [racks_all[s * len(racks_all) // shards]]]
+    leaves = [Leaf(f"region{r}", f"rack{k}", s) for s in range(first) for r, k in [racks_all[s * len(racks_all) // first]]]
+    while len(leaves) < shards:
+        leaves = grown(leaves)
+    return leaves
 
 
 def grown(leaves: list[Leaf], weight: float = 1.0) -> list[Leaf]:
@@ -72,18 +79,20 @@ def place(key: Column, leaves: list[Leaf]) -> Column:
     return descend((), [x for x in leaves if x.weight > 0])
 
 
-def shard_documents(docs: DataFrame, leaves: list[Leaf]) -> DataFrame:
-    """doc_id, size, text_crc32, shard, grown_shard, slot of every row of ``docs`` (doc_id, text).
+def shard_documents(docs: DataFrame, leaves: list[Leaf], more: list[Leaf] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, grown_shard, slot of every row of ``docs`` (doc_id, text; others are ignored).
 
-    A null text has no bytes. Repeated rows share a shard and get slots of their own. Only short
-    columns are shuffled, and no shard is gathered in one task.
+    more: the tree of ``grown_shard``, by default with one shard added. A null text has no bytes. Repeated
+    rows share a shard and get slots of their own; an empty table gives no rows. Texts are read once and
+    never shuffled: their sizes and places are written, and rows are dealt out by where they stand there,
+    so neither a null nor a repeated doc_id gathers in one task.
     """
     sized = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = sized.withColumn("shard", place(F.col("doc_id"), leaves)).withColumn("grown_shard", place(F.col("doc_id"), grown(leaves)))
-    return gapless_rank(placed, "shard", [F.col("doc_id"), F.col("text_crc32")], "slot", F.xxhash64("doc_id"))
+    placed = sized.withColumn("shard", place(F.col("doc_id"), leaves)).withColumn("grown_shard", place(F.col("doc_id"), more or grown(leaves)))
+    return gapless_rank(write_table(placed, "placed")[0], "shard", [F.col("doc_id"), F.col("text_crc32")], "slot")
 
 
 def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in shards 0 to 23 by the ``key`` law."""
-    placed = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tree(24))
+    placed = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tree(24), tree(25))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

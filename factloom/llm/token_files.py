@@ -71,7 +71,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, block_t
     """Encode ``doc_id, text`` of every row and write the blocks; gives the table of blocks read back.
 
     Null texts count as empty, every document ends in ``end_id``; rows of one doc_id stay separate
-    documents, by text; a null doc_id stands first. A document longer than a block has a block of its own. Other columns are
+    documents, in the order of their texts' hashes, and may stand in several files; a null doc_id stands first. A document longer than a block has a block of its own. Other columns are
     ignored. Memory of a task is bounded by ``block_tokens`` and the longest text.
     """
 
@@ -110,7 +110,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, block_t
             yield block()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     return write_table(ordered.mapInArrow(encode, BLOCK_SCHEMA), "tokens", compression="uncompressed")[0]
 
 

@@ -6,6 +6,7 @@ most the tasks that were running on it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset (tests, one machine)."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset: on one machine a temporary folder, on a
+    cluster an error, since executors don't see each other's folders."""
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -44,15 +48,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def gapless_rank(df: DataFrame, key: str, order: list[Column], out: str, spread: Column) -> DataFrame:
-    """Number the rows of each ``key`` from 0 without gaps, never holding a whole key in one task.
+def gapless_rank(table: DataFrame, key: str, order: list[Column], out: str) -> DataFrame:
+    """Number the rows of each ``key`` of a written table from 0 without gaps, never holding a whole key in one task.
 
-    ``spread`` deals the rows of a key into as many parts as there are shuffle partitions. Rows are
-    numbered inside a part; a part starts where the ones before it end. The table of part sizes has
-    at most (distinct keys x partitions) rows.
+    Rows are dealt by their file and place in it, whatever they hold, into as many parts of a key as there
+    are shuffle partitions, and numbered by ``order`` inside a part; a part starts where the ones before it
+    end. The table of part sizes has at most (distinct keys x partitions) rows.
     """
-    n = partitions(df.sparkSession)
-    dealt = df.withColumn("__part", F.pmod(spread, F.lit(n)).cast("int"))
+    n = partitions(table.sparkSession)
+    stands = F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    dealt = table.select("*", F.pmod(stands, F.lit(n)).cast("int").alias("__part"))
     sizes = dealt.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))

@@ -50,7 +50,8 @@ def test_rare_ids_get_high_ranks():
 
 def test_token_files_hold_every_document(spark, edge):
     rows = token_index(spark, write_token_files(edge, public_tokenizers.path(BYTE), 0, block_tokens=16)).collect()
-    texts, whole = sorted(((r.doc_id, r.text or "") for r in edge.collect()), key=lambda x: (x[0] is not None, x)), plain(BYTE)
+    hashed = edge.selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").collect()
+    texts, whole = [(r.doc_id, r.text) for r in sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))], plain(BYTE)
     assert len(rows) == len(texts)
     at = 0
     for row, (doc, text) in zip(sorted(rows, key=lambda r: r.start), texts):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm.licences import NOTICES, TEXTS, normalised, op6_licence_digests, scan
-from factloom.llm.url_filter import RULES, Settings, host_reputation, judge, op5_host_reputation, url_parts
+from factloom.llm.url_filter import RULES, Settings, host_reputation, judge, op5_host_reputation, registered_domain, suffix, url_parts
 
 
 def plain_parts(url):
@@ -22,13 +22,39 @@ def plain_rule(host, path):
     return max(fits, key=lambda r: len(r.name), default=None)
 
 
+SECOND = "ac co com edu gob gov govt go gouv mil ne net nom or org sch".split()
+
+
+def plain_domain(host):
+    name = re.sub(r":\d*$", "", host.rsplit("@", 1)[-1]).rstrip(".")
+    labels = name.split(".")
+    if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", name) or ":" in name:
+        return name
+    return ".".join(labels[-(3 if len(labels) > 1 and labels[-2] in SECOND and re.fullmatch("[a-z]{2}", labels[-1]) else 2) :])
+
+
+def plain_suffix(host):
+    domain = plain_domain(host)
+    return domain if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", domain) or ":" in domain or "." not in domain else domain.split(".", 1)[1]
+
+
+def drawn_quantile(p, a, b):
+    """By summing the density on a fine grid."""
+    import numpy as np
+
+    x = (np.arange(400_000) + 0.5) / 400_000
+    w = (a - 1) * np.log(x) + (b - 1) * np.log1p(-x)
+    w = np.cumsum(np.exp(w - w.max()))
+    return float(x[np.searchsorted(w, p * w[-1])])
+
+
 def plain_reputation(outcomes, s=Settings()):
     """Posterior (rate, upper) by (level, name), over (host, good) pairs."""
     hosts = defaultdict(lambda: [0.0, 0.0])
     for host, good in outcomes:
         hosts[host][0] += good
         hosts[host][1] += 1
-    key = {"host": lambda h: h, "domain": lambda h: ".".join(h.split(".")[-2:]), "suffix": lambda h: h.split(".")[-1]}
+    key = {"host": lambda h: h, "domain": plain_domain, "suffix": plain_suffix}
     counts = {level: defaultdict(lambda: [0.0, 0.0]) for level in key}
     for h, (g, n) in hosts.items():
         for level in key:
@@ -55,7 +81,7 @@ def plain_reputation(outcomes, s=Settings()):
             k = strength(children)
             a, b = parent * k + g, (1 - parent) * k + n - g
             rate = a / (a + b)
-            out[level, name] = (rate, min(rate + s.z * (rate * (1 - rate) / (a + b + 1)) ** 0.5, 1.0))
+            out[level, name] = (rate, a, b)
     return out
 
 
@@ -80,10 +106,39 @@ def test_reputation_equals_plain_computation(spark):
     wanted, found = plain_reputation(outcomes), {(r.level, r.host): (r.rate, r.upper) for r in host_reputation(df).collect()}
     assert set(found) == set(wanted)
     for key, value in wanted.items():
-        assert found[key] == pytest.approx(value, abs=1e-9), key
+        assert found[key][0] == pytest.approx(value[0], abs=1e-9), key
+        assert found[key][1] == pytest.approx(drawn_quantile(Settings().certainty, *value[1:]), abs=2e-5), key
     assert found["host", "bad.d0.com"][1] < Settings().least_good
 
 
+def test_domains_and_suffixes(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "x.com:8080": ("x.com", "com"), "me:pw@www.x.org": ("x.org", "org"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "localhost": ("localhost", "localhost"), "a.b.c.de.": ("c.de", "de"), "": ("", ""), "[::1]": ("[::1]", "[::1]"), "x.com.au": ("x.com.au", "com.au")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", registered_domain(F.col("host")).alias("d"), suffix(F.col("host")).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in rows} == hosts
+    assert all((plain_domain(h), plain_suffix(h)) == hosts[h] for h in hosts if h != "co.uk")
+
+
+def test_bad_hosts_are_blocked_and_good_ones_of_bad_domains_are_not(spark):
+    pages, outcomes = [], []
+    for host, n, bad in (("spam.shop.com", 60, 55), ("blog.shop.com", 60, 2), ("new.spam.co.uk", 0, 0), ("old.spam.co.uk", 80, 80), ("news.org", 90, 3), ("few.org", 2, 2), ("good.com", 300, 10)):
+        for k in range(max(n, 1)):
+            pages.append((len(pages), f"https://{host}/p{k}"))
+            if k < n:
+                outcomes.append((len(pages) - 1, int(k >= bad)))
+    rows = judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, good int")).collect()
+    verdicts = {r.host: r.verdict for r in rows}
+    assert verdicts == {"spam.shop.com": "block", "blog.shop.com": "allow", "new.spam.co.uk": "block", "old.spam.co.uk": "block", "news.org": "allow", "few.org": "allow", "good.com": "allow"}
+
+
+def test_pages_without_rows_and_with_clashing_columns(spark):
+    none = spark.createDataFrame([], "page_id long, good int")
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert judge(empty, none).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.org/fr/x")], "page_id long, url string").selectExpr("*", "'h' as host", "'p' as path", "'v' as verdict", "1 as __rule", "2 as rate")
+    r = judge(pages, none).first()
+    assert (r.host, r.path, r.rule, r.verdict, r.rate) == ("a.org", "/fr/x", "org/fr/", "allow", None)
+
+
 def test_query_equals_plain_computation(spark, sf):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
@@ -93,9 +148,9 @@ def test_query_equals_plain_computation(spark, sf):
     for r in rows:
         assert (r.host, r.path) == plain_parts(pages[r.page_id])
         rule = plain_rule(r.host, r.path)
-        best = next((rep[k] for k in (("host", r.host), ("domain", ".".join(r.host.split(".")[-2:])), ("suffix", r.host.split(".")[-1])) if k in rep), None)
+        best = next((rep[k] for k in (("host", r.host), ("domain", plain_domain(r.host)), ("suffix", plain_suffix(r.host))) if k in rep), None)
         assert r.rule == (rule.name if rule else None)
-        assert r.verdict == (rule.verdict if rule else "block" if best and best[1] < Settings().least_good else "allow")
+        assert r.verdict == (rule.verdict if rule else "block" if best and drawn_quantile(Settings().certainty, *best[1:]) < Settings().least_good else "allow")
         assert best is None or r.rate == pytest.approx(best[0], abs=1e-8)
 
 
