@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 from collections import defaultdict
 
 import pytest
@@ -171,6 +172,26 @@ def test_all_known_texts_are_found(spark, make_docs):
     assert {r.doc_id: r.licence for r in rows} == {k: n for k, (n, _) in enumerate(TEXTS)}
 
 
+INSTALLED = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+def test_planted_installed_licences(spark, make_docs):
+    folder = Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts on this system")
+    texts = {name: (folder / file).read_text("utf-8") for file, name in INSTALLED.items()}
+    dressed = {n: "\n".join(line.upper() for line in t.replace("License", "Licence").split("\n")) + "\nCopyright (c) 2020 Some One\n" for n, t in texts.items()}
+    rows = [(k, t) for k, t in enumerate([*texts.values(), *dressed.values()])] + [(99, texts["GPL-3.0"][:-500])]
+    found = {r.doc_id: r.licence for r in scan(make_docs(rows)).collect()}
+    assert found == dict(enumerate([*texts, *dressed])) | {99: None}
+
+
+def test_empty_table_and_clashing_columns(spark, make_docs):
+    assert scan(make_docs([])).count() == 0
+    docs = make_docs([(1, TEXTS[0][1]), (2, "x\nAll Rights  Reserved\ny")]).selectExpr("*", "'d' as digest", "'n' as notices", "7 as licence")
+    assert {r.doc_id: (r.licence, r.notices) for r in scan(docs).collect()} == {1: ("MIT", []), 2: (None, ["all-rights-reserved"])}
+
+
 def test_spellings(spark, make_docs):
     texts = ["The Licence, licenced; Sub-Licence!", "WHILST organisation's favour", "copyright holders stay\n(c) 2020 goes\nAll rights reserved."]
     rows = make_docs(list(enumerate(texts))).select(normalised(F.col("text")).alias("n")).collect()
