@@ -88,16 +88,31 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
+def integral_rows(planes: np.ndarray, edges: np.ndarray, band: int = 4096) -> np.ndarray:
+    """The integral image of height x width x channels at (fractional) heights, made band by band.
+
+    Its memory is that of a band and of the heights asked for, however tall the image is."""
+    low = np.minimum(edges.astype(np.int64), planes.shape[0] - 1)
+    part = (edges - low).reshape(-1, 1, 1)
+    needed = np.unique(np.concatenate([low, low + 1]))
+    kept, above = np.zeros((len(needed), *planes.shape[1:])), np.zeros(planes.shape[1:], np.int64)
+    for at in range(0, planes.shape[0], band):
+        sums = above + np.cumsum(planes[at : at + band], 0, dtype=np.int64)
+        inside = (needed > at) & (needed <= at + len(sums))
+        kept[inside] = sums[needed[inside] - at - 1]
+        above = sums[-1]
+    rows = kept[np.searchsorted(needed, low)] * (1 - part) + kept[np.searchsorted(needed, low + 1)] * part
+    return np.concatenate([np.zeros((len(rows), 1, rows.shape[2])), np.cumsum(rows, 1)], 1)
+
+
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Each target pixel is the mean over its exact area, fractions included, from an integral image."""
     planes = pixels if pixels.ndim == 3 else pixels[:, :, None]
-    sums = np.zeros((planes.shape[0] + 1, planes.shape[1] + 1, planes.shape[2]))
-    np.cumsum(np.cumsum(planes, 0, dtype=np.float64), 1, out=sums[1:, 1:])
-    for axis, n in ((0, height), (1, width)):
-        edges = np.linspace(0, sums.shape[axis] - 1, n + 1)
-        low = np.minimum(edges.astype(np.int64), sums.shape[axis] - 2)
-        part = (edges - low).reshape((-1, 1, 1) if axis == 0 else (1, -1, 1))
-        sums = np.take(sums, low, axis) * (1 - part) + np.take(sums, low + 1, axis) * part
+    sums = integral_rows(planes, np.linspace(0, planes.shape[0], height + 1))
+    edges = np.linspace(0, planes.shape[1], width + 1)
+    low = np.minimum(edges.astype(np.int64), planes.shape[1] - 1)
+    part = (edges - low).reshape(1, -1, 1)
+    sums = np.take(sums, low, 1) * (1 - part) + np.take(sums, low + 1, 1) * part
     area = planes.shape[0] / height * planes.shape[1] / width
     means = np.diff(np.diff(sums, axis=0), axis=1) / area
     out = np.clip(np.floor(means + 0.5), 0, 255).astype(np.uint8)
@@ -162,7 +177,9 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text stored as an image, read back, and its features."""
+    """Every document's text stored as an image, read back, and its features; an empty table gives no rows.
+
+    A very long text is one tall image: a task holds it once as bytes, and what resizing needs comes in bands."""
     stored, _ = write_table(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

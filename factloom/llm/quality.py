@@ -28,9 +28,11 @@ FEATURES = _N * _N + 2
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled documents that are fitted on, at most; passage: bytes of one."""
+    """sample, sample_chars: labelled documents that are fitted on, at most, and characters of them together;
+    passage: bytes of one."""
 
     sample: int = 3000
+    sample_chars: int = 30_000_000
     passage: int = 768
     hidden: int = 24
     gate: int = 12
@@ -140,13 +142,24 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on at most ``settings.sample`` labelled documents that are not held out, chosen by a hash of
-    the id. Labels other than 0 and 1 and null ids are ignored; of an id's several labels the mean counts.
+    the id, whose texts together have at most ``settings.sample_chars`` characters: in the hash's order, what
+    would exceed them is left out whole. Labels other than 0 and 1 and null ids are ignored; of an id's
+    several labels the mean counts, and of its several texts the one whose features come first as bytes, so
+    that the model depends on the rows alone.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     each = usable.groupBy("doc_id").agg(F.avg("quality").alias("y"))
     # At most `sample` rows of two numbers: small enough to send to every task.
     chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sizes = named.groupBy("doc_id", "y").agg(F.sum(F.length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # `sample` rows
+    fitting, total = [], 0
+    for r in sizes:
+        if total + r["n"] <= settings.sample_chars:
+            total += r["n"]
+            fitting.append((r["doc_id"], r["y"]))
+    few = docs.sparkSession.createDataFrame(fitting, "doc_id long, y double")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     found = {}
     for row in rows.mapInArrow(encode, "doc_id long, y double, x binary").toLocalIterator():
-        found.setdefault(row["doc_id"], (row["y"], np.frombuffer(row["x"], np.float32).reshape(-1, FEATURES)))
+        if row["doc_id"] not in found or row["x"] < found[row["doc_id"]][1]:
+            found[row["doc_id"]] = row["y"], row["x"]
     ids = sorted(found)
-    return fit([found[i][1] for i in ids], np.array([found[i][0] for i in ids]), settings)
+    bags = [np.frombuffer(found[i][1], np.float32).reshape(-1, FEATURES) for i in ids]
+    return fit(bags, np.array([found[i][0] for i in ids]), settings)
 
 
 def score(docs: DataFrame, model: Model, settings: Settings = Settings(), out: str = "score") -> DataFrame:

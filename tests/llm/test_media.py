@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factloom.llm.media import area_resize, decode, decode_bmp, decode_netpbm, difference_hash, encode_bmp, encode_netpbm, media_features, npy_tile, op7_media_columns, text_media
+from factloom.llm.media import area_resize, decode, decode_bmp, decode_netpbm, difference_hash, encode_bmp, encode_netpbm, integral_rows, media_features, npy_tile, op7_media_columns, text_media
 
 RNG = np.random.default_rng(4)
 
@@ -59,6 +59,37 @@ def test_texts_round_trip(spark, edge):
         assert len(payload) % 192 == 0 and len(payload) > 0 and payload[row.n_bytes :].strip(b" ") == b""
 
 
+def plain_means(pixels, height, width):
+    """Area means by whole-number weights: each pixel is repeated until target areas are whole."""
+    planes = pixels.reshape(*pixels.shape[:2], -1).astype(float)
+    for axis, n in ((0, height), (1, width)):
+        size = planes.shape[axis]
+        weights = np.array([[max(0.0, min((i + 1) * size, (k + 1) * n) - max(i * size, k * n)) for k in range(size)] for i in range(n)]) / size
+        planes = np.tensordot(weights, planes, (1, axis)) if axis == 0 else np.moveaxis(np.tensordot(weights, planes, (1, 1)), 0, 1)
+    return np.floor(planes + 0.5 + 1e-9).reshape(height, width, *pixels.shape[2:])
+
+
+def plain_feature(payload):
+    pixels = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
+    luma = (pixels.astype(int) @ np.array([299, 587, 114]) + 500) // 1000
+    small = plain_means(luma, 8, 9)
+    bits = "".join("1" if small[y, x] < small[y, x + 1] else "0" for y in range(8) for x in range(8))
+    tile = io.BytesIO()
+    np.lib.format.write_array(tile, plain_means(pixels, 16, 16).clip(0, 255).astype(np.uint8), (1, 0))
+    return f"{int(bits, 2):016x}:{zlib.crc32(tile.getvalue()):08x}"
+
+
+def test_tall_images_are_resized_in_bands():
+    pixels = RNG.integers(0, 256, (10_000, 5, 3)).astype(np.uint8)
+    edges = np.linspace(0, 10_000, 17)
+    whole, banded = integral_rows(pixels, edges, 20_000), integral_rows(pixels, edges, 777)
+    assert np.array_equal(whole, banded) and (area_resize(pixels, 10, 5) == np.floor(pixels.reshape(10, 1000, 5, 3).mean(1) + 0.5)).all()
+
+
+def test_empty_table(spark, make_docs):
+    assert media_features(text_media(make_docs([]))).count() == 0
+
+
 def test_query_equals_plain_computation(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op7_media_columns(spark, sf).collect()
@@ -66,4 +97,8 @@ def test_query_equals_plain_computation(spark, sf):
     for r in rows:
         raw = docs[r.doc_id].encode()
         payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        image = b"P6\n64 %d\n255\n" % (len(payload) // 192) + payload
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        if r.doc_id % 10 == 0:
+            assert r.feature == plain_feature(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))

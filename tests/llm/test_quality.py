@@ -59,6 +59,22 @@ def test_edges(spark, edge, make_docs):
     assert score(make_docs([]), empty).count() == 0
 
 
+def test_the_fit_is_bounded_and_depends_on_rows_alone(spark, make_docs):
+    docs = make_docs([(k, f"text number {k} " * (k % 5 + 1)) for k in range(60)] + [(3, "another text of the same id"), (4, "y" * 50_000)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    settings = Settings(epochs=1, sample_chars=2000)
+    one, two = train(docs, labels, settings), train(docs.repartition(7), labels.repartition(3), settings)
+    assert all(np.array_equal(one.p[k], two.p[k]) for k in one.p)
+    assert not np.array_equal(one.p["W"], train(docs, labels, Settings(epochs=1)).p["W"])
+
+
+def test_a_very_long_text_is_scored_whole(spark, make_docs):
+    model = Model(Settings(), np.zeros(FEATURES), np.ones(FEATURES))
+    long = "word " * 300_000
+    rows = {r.doc_id: r.score for r in score(make_docs([(1, long), (2, long), (3, long + "other end " * 500)]), model).collect()}
+    assert rows[1] == rows[2] != rows[3]
+
+
 def test_held_out_rows(spark):
     rows = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
