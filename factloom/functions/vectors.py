@@ -26,7 +26,7 @@ def is_valid(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector divided by its length, rounded to float; stored at ingest, so scoring is a dot product."""
+    """The vector divided by its length, rounded to float; stored with the embeddings, so scoring is a dot product."""
     return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: (x.cast("double") / n).cast("float")))[0]
 
 

@@ -70,12 +70,18 @@ def arm_many(store: Snapshot, matched: DataFrame, limit: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit).select("q", "id", "place")
 
 
-def arm(store: Snapshot, query: str, limit: int = 20) -> DataFrame:
+def matched_now(entities: DataFrame, query: str) -> DataFrame:
+    """The same as :func:`match`, found at once and held as literal rows (25 at most), for plans that name it often."""
+    found = match(entities, query)
+    return entities.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def arm(store: Snapshot, query: str, limit: int = 20, matched: DataFrame | None = None) -> DataFrame:
     """Active facts of the matched entities: id, weight of the best entity; best first.
 
     Ties: importance falling, then updated_at rising, then id. The matched entities are 25 at most.
     """
-    matched = match(store.entities, query)
+    matched = match(store.entities, query) if matched is None else matched
     linked = store.memory_entities.join(F.broadcast(matched), "entity_id").groupBy(F.col("memory_id").alias("id")).agg(F.max("score").alias("weight"))
     found = store.memories.filter("status = 'active'").join(linked, "id")
     return found.select("id", "weight", "importance", "updated_at").orderBy(F.desc("weight"), F.desc("importance"), "updated_at", "id").limit(clamp(limit, 100))

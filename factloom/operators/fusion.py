@@ -57,7 +57,7 @@ class Backend:
 def recall(store: Snapshot, query: str, limit: int = 10, lexical_limit: int = 20, entity_limit: int = 20, graph_limit: int = 20, semantic_limit: int = 20, backend: Backend | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
     """All arms, fused. A time window is an arm of its own, not a filter. A backend's error is raised."""
     limit = clamp(limit, 100)
-    arms = _text_arms(store, query, lexical_limit, entity_limit, graph_limit)
+    arms = _text_arms(store, query, lexical.search(store, query, lexical_limit), entity_limit, graph_limit)
     if backend is not None:
         if backend.error or backend.vector is None:
             raise RuntimeError(backend.error or "no query vector")
@@ -69,11 +69,12 @@ def recall(store: Snapshot, query: str, limit: int = 10, lexical_limit: int = 20
     return fuse(store.memories, arms, limit)
 
 
-def _text_arms(store: Snapshot, query: str, lexical_limit: int, entity_limit: int, graph_limit: int) -> dict[str, DataFrame]:
+def _text_arms(store: Snapshot, query: str, lexical_hits: DataFrame, entity_limit: int, graph_limit: int) -> dict[str, DataFrame]:
+    matched = entity.matched_now(store.entities, query)
     return {
-        "lexical": ranked(lexical.search(store.memories, query, lexical_limit), F.desc("score"), F.col("id")),
-        "entity": ranked(entity.arm(store, query, entity_limit), F.desc("weight"), F.desc("importance"), F.col("updated_at"), F.col("id")),
-        "graph": ranked(graph.arm(store, query, graph_limit), F.desc("importance"), F.desc("updated_at"), F.col("id")),
+        "lexical": ranked(lexical_hits, F.desc("score"), F.col("id")),
+        "entity": ranked(entity.arm(store, query, entity_limit, matched), F.desc("weight"), F.desc("importance"), F.col("updated_at"), F.col("id")),
+        "graph": ranked(graph.arm(store, query, graph_limit, matched=matched), F.desc("importance"), F.desc("updated_at"), F.col("id")),
     }
 
 
@@ -95,13 +96,15 @@ def recall_for_context(store: Snapshot, query: str, limit: int = 6, min_semantic
     pool = max(10, limit)
     terms = lexical.query_keywords(query)
     if terms:
-        hits = lexical.search(store.memories, query, min(2 * pool, 100))
-        texts = store.memories.select("id", "content").join(F.broadcast(hits), "id")
+        found = lexical.search(store, query, min(2 * pool, 100))
+        best = found.collect()  # at most 100 ids and scores; only their texts are read then
+        hits = store.memories.sparkSession.createDataFrame(best, found.schema)
+        texts = store.memories.filter(F.col("id").isin([r["id"] for r in best])).select("id", "content").join(F.broadcast(hits), "id")
         near = texts.filter(prefix_overlap(F.array(*map(F.lit, terms)), F.col("content")) >= min(2, len(terms)))
         lexical_hits = near.select("id", "score").orderBy(F.desc("score"), "id").limit(pool)
     else:
-        lexical_hits = lexical.search(store.memories, query, pool)
-    arms = _text_arms(store, query, pool, pool, pool) | {"lexical": ranked(lexical_hits, F.desc("score"), F.col("id"))}
+        lexical_hits = lexical.search(store, query, pool)
+    arms = _text_arms(store, query, lexical_hits, pool, pool)
     error = None
     if backend is not None and (backend.error or backend.vector is None):
         error = backend.error or "no query vector"

@@ -32,9 +32,9 @@ def linked_memories(store: Snapshot, visited: DataFrame) -> DataFrame:
     return by_entity.union(by_edge).distinct()
 
 
-def arm(store: Snapshot, query: str, limit: int = 20, max_hops: int = 1) -> DataFrame:
+def arm(store: Snapshot, query: str, limit: int = 20, max_hops: int = 1, matched: DataFrame | None = None) -> DataFrame:
     """Active facts within reach: id, importance, updated_at; importance falling, then the latest, then id."""
-    visited = reach(store.relationships, match(store.entities, query), max_hops)
+    visited = reach(store.relationships, match(store.entities, query) if matched is None else matched, max_hops)
     ids = linked_memories(store, visited).withColumnRenamed("memory_id", "id")
     found = store.memories.filter("status = 'active'").join(ids, "id", "left_semi")
     return found.select("id", "importance", "updated_at").orderBy(F.desc("importance"), F.desc("updated_at"), "id").limit(clamp(limit, 100))

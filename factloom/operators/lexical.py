@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import STOPWORDS
+from factloom.operators.snapshot import Snapshot
 
 INDEXED = ("content", "normalized_content", "subtype", "source")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -79,63 +80,109 @@ def _hits(tokens: Column, term: Term) -> Column:
     return F.size(F.filter(tokens, begins))
 
 
-def search(memories: DataFrame, query: str, limit: int = 10, include_inactive: bool = False) -> DataFrame:
-    """id and score of the best ``limit`` (1 to 100) facts, best first, ties by id.
+GAP = 1 << 24  # between the positions of two columns, so that no phrase spans them
+
+
+def index_rows(memories: DataFrame) -> DataFrame:
+    """token, id, d (tokens of the fact) and positions: the postings of facts, to be made when they are written.
 
-    The corpus statistics cover the facts of every status; status is tested after matching. Two passes
-    over narrow columns: one for the counts (partial sums, one row), one for the scores (top-k, no
-    full sort). A query without keywords finds nothing.
+    Written in the order of tokens, a query reads the row groups of its own tokens alone.
     """
-    terms = query_terms(query)
-    limit = max(1, min(int(limit), 100))
-    if not terms:
-        return memories.select("id", F.lit(0.0).alias("score")).limit(0)
+    columns = [F.coalesce(F.col(c), F.lit("")) for c in INDEXED if c in memories.columns]
+    parts = memories.select("id", F.array(*[index_tokens(c) for c in columns]).alias("parts"))
+    length = F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p))
+    words = parts.select("id", length.alias("d"), F.posexplode("parts").alias("c", "words")).select("id", "d", "c", F.posexplode("words").alias("i", "token"))
+    return words.groupBy("token", "id", "d").agg(F.array_sort(F.collect_list(F.col("c") * GAP + F.col("i"))).alias("positions"))
+
+
+def in_token_order(postings: DataFrame, parts: int) -> DataFrame:
+    return postings.repartitionByRange(parts, "token", "id").sortWithinPartitions("token", "id")
+
+
+def index_totals(memories: DataFrame, postings: DataFrame) -> DataFrame:
+    """n and tokens of all facts, one row."""
+    tokens = postings.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).cast("bigint").alias("tokens"))
+    return memories.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(tokens))  # one row each
+
+
+def _from_postings(store: Snapshot, terms: list[Term]) -> tuple[DataFrame, DataFrame]:
+    """The facts that hold some term (id, status, d, tf0, ...), and the corpus counts, from one scan of the
+    terms' own postings."""
+    token = F.col("token")
+
+    def fits(t: Term, j: int) -> Column:
+        return F.startswith(token, F.lit(t.tokens[j])) if t.prefix and j == len(t.tokens) - 1 else token == t.tokens[j]
+
+    own = store.postings.filter(reduce(lambda a, b: a | b, [fits(t, j) for t in terms for j in range(len(t.tokens))]))
+    sums = [F.sum(F.when(fits(t, 0), F.size("positions")).otherwise(0)).cast("int").alias(f"tf{k}") for k, t in enumerate(terms) if len(t.tokens) == 1]
+    lists = [F.flatten(F.collect_list(F.when(fits(t, j), F.col("positions")))).alias(f"p{k}_{j}") for k, t in enumerate(terms) if len(t.tokens) > 1 for j in range(len(t.tokens))]
+    found = own.groupBy("id").agg(F.max("d").alias("d"), *sums, *lists)
+
+    def phrase(k: int, t: Term) -> Column:
+        return F.size(reduce(F.array_intersect, [F.transform(f"p{k}_{j}", lambda x, j=j: x - j) for j in range(len(t.tokens))]))
+
+    counted = found.select("id", "d", *[F.col(f"tf{k}") if len(t.tokens) == 1 else phrase(k, t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    counts = counted.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
+    totals = store.lexical_totals.select("n", (F.col("tokens") / F.col("n")).alias("avgdl")).limit(1)
+    return counted.join(store.memories.select("id", "status"), "id"), totals.crossJoin(counts)  # one row each
+
+
+def _from_texts(memories: DataFrame, terms: list[Term]) -> tuple[DataFrame, DataFrame]:
+    """The same by tokenising every fact, for a store without postings."""
     columns = [F.coalesce(F.col(c), F.lit("")) for c in INDEXED if c in memories.columns]
     arrays = memories.select("id", "status", F.array(*[index_tokens(c) for c in columns]).alias("parts"))
-    counted = arrays.select(
-        "id", "status",
-        F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p)).alias("d"),
-        *[_summed(t).alias(f"tf{k}") for k, t in enumerate(terms)],
-    )
+    counted = arrays.select("id", "status", F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p)).alias("d"), *[_summed(t).alias(f"tf{k}") for k, t in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
-    scored = counted.filter(reduce(lambda a, b: a | b, [F.col(f"tf{k}") > 0 for k in range(len(terms))]))
+    return counted, stats
+
+
+def _summed(term: Term) -> Column:
+    return F.aggregate("parts", F.lit(0), lambda a, p: a + _hits(p, term))
+
+
+def _scored(store: Snapshot | DataFrame, terms: list[Term], include_inactive: bool) -> tuple[DataFrame, list[Column]]:
+    """Facts with some term, their counts beside the corpus counts, and the score of each term."""
+    store = Snapshot(memories=store) if isinstance(store, DataFrame) else store
+    counted, stats = _from_texts(store.memories, terms) if store.postings is None else _from_postings(store, terms)
+    some = counted.filter(reduce(lambda a, b: a | b, [F.col(f"tf{k}") > 0 for k in range(len(terms))]))
     if not include_inactive:
-        scored = scored.filter(F.col("status") == "active")
-    scored = scored.crossJoin(F.broadcast(stats))  # one row
+        some = some.filter(F.col("status") == "active")
     parts = []
     for k in range(len(terms)):
         n, tf = F.col(f"n{k}"), F.col(f"tf{k}")
         idf = F.log((F.col("n") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         parts.append(idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("d") / F.col("avgdl")))))
-    score = reduce(lambda a, b: a + b, parts)
-    return scored.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    return some.crossJoin(F.broadcast(stats)), parts  # one row
 
 
-def _summed(term: Term) -> Column:
-    return F.aggregate("parts", F.lit(0), lambda a, p: a + _hits(p, term))
+def search(store: Snapshot | DataFrame, query: str, limit: int = 10, include_inactive: bool = False) -> DataFrame:
+    """id and score of the best ``limit`` (1 to 100) facts, best first, ties by id.
+
+    The corpus statistics cover the facts of every status; status is tested after matching. A store with
+    postings is asked through them; given facts alone (or a store without), their texts are tokenised.
+    A query without keywords finds nothing.
+    """
+    terms = query_terms(query)
+    limit = max(1, min(int(limit), 100))
+    if not terms:
+        memories = store if isinstance(store, DataFrame) else store.memories
+        return memories.select("id", F.lit(0.0).alias("score")).limit(0)
+    scored, parts = _scored(store, terms, include_inactive)
+    return scored.select("id", reduce(lambda a, b: a + b, parts).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def search_many(memories: DataFrame, queries: list[str], limit: int) -> DataFrame:
+def search_many(store: Snapshot | DataFrame, queries: list[str], limit: int) -> DataFrame:
     """q (the query's number), id and score: the best ``limit`` active facts of each query, all in one
     plan, scored as by :func:`search`. Ranks are cut inside each task before rows move."""
     parsed = [query_terms(q) for q in queries]
     distinct = list(dict.fromkeys(t for terms in parsed for t in terms))
     if not distinct:
-        return memories.select(F.lit(0).alias("q"), "id", F.lit(0.0).alias("score")).limit(0)
+        memories = store if isinstance(store, DataFrame) else store.memories
+        return memories.select(F.lit(0).alias("q"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
     number = {t: k for k, t in enumerate(distinct)}
-    columns = [F.coalesce(F.col(c), F.lit("")) for c in INDEXED if c in memories.columns]
-    arrays = memories.select("id", "status", F.array(*[index_tokens(c) for c in columns]).alias("parts"))
-    counted = arrays.select("id", "status", F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p)).alias("d"), *[_summed(t).alias(f"tf{k}") for t, k in number.items()])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in number.values()])
-    joined = counted.filter("status = 'active'").crossJoin(F.broadcast(stats))  # one row
-
-    def part(k: int) -> Column:
-        n, tf = F.col(f"n{k}"), F.col(f"tf{k}")
-        idf = F.log((F.col("n") - n + 0.5) / (n + 0.5))
-        return F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("d") / F.col("avgdl"))))
-
-    scores = [F.struct(F.lit(q).alias("q"), reduce(lambda a, b: a + b, [part(number[t]) for t in terms]).alias("score")) for q, terms in enumerate(parsed) if terms]
-    rows = joined.select("id", F.explode(F.array(*scores)).alias("s")).select("s.q", "id", "s.score").filter("score > 0")
+    scored, parts = _scored(store, distinct, False)
+    scores = [F.struct(F.lit(q).alias("q"), reduce(lambda a, b: a + b, [parts[number[t]] for t in terms]).alias("score")) for q, terms in enumerate(parsed) if terms]
+    rows = scored.select("id", F.explode(F.array(*scores)).alias("s")).select("s.q", "id", "s.score").filter("score > 0")
     place = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit)

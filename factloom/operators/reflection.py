@@ -53,7 +53,7 @@ def candidates(store: Snapshot, query: str, base_limit: int, per_entity: int = 8
             found.setdefault(key, (0.0, [source]))
 
     terms, few = terms_of(query), min(6, per_entity)
-    add(("reflect_term", lexical.search_many(store.memories, terms, few)), ("reflect_entity_seed", entity.arm_many(store, entity.match_many(store.entities, terms), few)))
+    add(("reflect_term", lexical.search_many(store, terms, few)), ("reflect_entity_seed", entity.arm_many(store, entity.match_many(store.entities, terms), few)))
     names = _names_of(store, list(found))[:16]
     matched = entity.match_many(store.entities, names)
     add(("reflect_entity", entity.arm_many(store, matched, per_entity)), ("reflect_graph", graph.arm_many(store, matched, per_entity)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,20 @@ from factloom.functions.vectors import checked, dot, is_valid, norm, unit
 from factloom.operators.entity import clamp
 from factloom.operators.snapshot import Snapshot
 
+BLOCK = 4096  # vectors of one side of a block of comparisons
+
 
 def active_vectors(store: Snapshot, provider: str, model: str, dimension: int) -> DataFrame:
-    """memory_id and unit vector of active facts; rows of another backend or size, or broken ones, are left out."""
+    """memory_id and unit vector of active facts; rows of another backend or size, or broken ones, are left out.
+
+    Unit vectors are stored with the embeddings when these are written; only rows without one make it here.
+    """
     own = store.memory_embeddings.filter((F.col("provider") == provider) & (F.col("model") == model) & (F.col("dimension") == dimension) & (F.size("vector") == dimension))
-    own = own.filter(is_valid(F.col("vector")))
+    stored = "unit" in own.columns
+    own = own.filter((F.col("unit").isNotNull() if stored else F.lit(False)) | is_valid(F.col("vector")))
+    made = unit(F.col("vector"))
     active = store.memories.filter("status = 'active'").select(F.col("id").alias("memory_id"))
-    return own.join(active, "memory_id", "left_semi").select("memory_id", unit(F.col("vector")).alias("unit"))
+    return own.join(active, "memory_id", "left_semi").select("memory_id", (F.when(F.col("unit").isNotNull(), F.col("unit")).otherwise(made) if stored else made).alias("unit"))
 
 
 def top(store: Snapshot, vector: list[float], provider: str, model: str, limit: int = 20, min_score: float = -1.0) -> DataFrame:
@@ -33,12 +42,29 @@ def top(store: Snapshot, vector: list[float], provider: str, model: str, limit:
 
 
 def similar_pairs(store: Snapshot, probes: DataFrame, provider: str, model: str, dimension: int, threshold: float) -> DataFrame:
-    """For each probe (memory_id): the other active facts at ``threshold`` or above. The probes are a
-    stated set against all rows; take them in blocks."""
+    """probe_id, memory_id, similarity: for each probe (memory_id) the other active facts at ``threshold`` or above.
+
+    The probes are a stated set against all rows. Both sides are dealt into a grid of blocks of about ``BLOCK``
+    vectors, and a cell is one matrix product in a task, from which only the pairs at the threshold come out.
+    """
     units = active_vectors(store, provider, model, dimension)
-    asked = units.join(probes.select("memory_id"), "memory_id", "left_semi").select(F.col("memory_id").alias("probe_id"), F.col("unit").alias("probe"))
-    pairs = units.join(asked, F.col("memory_id") != F.col("probe_id")).withColumn("similarity", dot(F.col("unit"), F.col("probe")))
-    return pairs.filter(F.col("similarity") >= threshold).select("probe_id", "memory_id", "similarity")
+    asked = units.join(probes.select("memory_id").distinct(), "memory_id", "left_semi")
+    rows, cols = (max(1, -(-df.count() // BLOCK)) for df in (asked, units))
+    left = asked.withColumn("row", F.pmod(F.xxhash64("memory_id"), F.lit(rows).cast("bigint"))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    right = units.withColumn("col", F.pmod(F.xxhash64("memory_id"), F.lit(cols)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))))
+    cells = left.select("row", "col", "memory_id", "unit", F.lit(True).alias("probe")).union(right.select("row", "col", "memory_id", "unit", F.lit(False)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        names, probe = np.array(table.column("memory_id").to_pylist(), object), table.column("probe").to_numpy()
+        flat = table.column("unit").combine_chunks()
+        vectors = flat.flatten().to_numpy().astype(np.float64).reshape(-1, dimension)
+        found = vectors[probe] @ vectors[~probe].T
+        i, j = np.nonzero(found >= threshold)
+        a, b = names[probe][i], names[~probe][j]
+        other = a != b
+        return pa.table({"probe_id": pa.array(a[other], pa.string()), "memory_id": pa.array(b[other], pa.string()), "similarity": pa.array(found[i, j][other])})
+
+    return cells.groupBy("row", "col").applyInArrow(compare, "probe_id string, memory_id string, similarity double")
 
 
 def stale(store: Snapshot, provider: str, model: str, force: bool = False, limit: int = 500) -> DataFrame:
@@ -56,7 +82,7 @@ def upsert(embeddings: DataFrame, incoming: DataFrame) -> DataFrame:
     valid = incoming.filter(is_valid(F.col("vector")))
     keys = [c for c in embeddings.columns if c != "memory_id"]
     latest = valid.groupBy("memory_id").agg(F.max_by(F.struct(*[c for c in incoming.columns if c not in ("memory_id", "seq")]), "seq").alias("r")).select("memory_id", "r.*")
-    latest = latest.withColumn("dimension", F.size("vector")).withColumn("norm", norm(F.col("vector")))
+    latest = latest.withColumn("dimension", F.size("vector")).withColumn("norm", norm(F.col("vector"))).withColumn("unit", unit(F.col("vector")))
     for c in keys:
         if c not in latest.columns:
             latest = latest.withColumn(c, F.lit(None).cast(embeddings.schema[c].dataType))

@@ -13,12 +13,18 @@ SCHEMAS = {
     "relationships": "id string, subject_entity_id string, predicate string, object_entity_id string, confidence double, created_at timestamp, updated_at timestamp",
     "memory_entities": "memory_id string, entity_id string, role string",
     "memory_relationships": "memory_id string, relationship_id string",
-    "memory_embeddings": "memory_id string, provider string, model string, dimension int, vector array<float>, norm double, created_at timestamp, updated_at timestamp",
+    "memory_embeddings": "memory_id string, provider string, model string, dimension int, vector array<float>, norm double, unit array<float>, created_at timestamp, updated_at timestamp",
     "retention_events": "id bigint, action string, memory_id string, superseded_id string, reason string, source string, created_at timestamp",
     "temporal_events": "id string, memory_id string, event_time string, end_time string, label string, created_at timestamp",
     "directives": "id string, content string, active boolean, created_at timestamp, updated_at timestamp",
 }
 
+# Tables made from others when these are written; a store may lack them.
+DERIVED = {
+    "postings": "token string, id string, d int, positions array<int>",
+    "lexical_totals": "n bigint, tokens bigint",
+}
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -33,6 +39,11 @@ class Snapshot:
     retention_events: DataFrame | None = None
     temporal_events: DataFrame | None = None
     directives: DataFrame | None = None
+    postings: DataFrame | None = None
+    lexical_totals: DataFrame | None = None
 
     def with_(self, **tables: DataFrame) -> Snapshot:
+        """With other tables; postings of facts that are replaced go, unless new ones are given."""
+        if "memories" in tables and "postings" not in tables:
+            tables |= {"postings": None, "lexical_totals": None}
         return replace(self, **tables)

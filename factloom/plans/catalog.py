@@ -156,7 +156,7 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(clauses("memories", more=d_lexical("lx", WORDS, 20)) + f"select id, round(score, 6) as score, row_number() over (order by {LEXICAL_ORDER}) as rank from lx")
 def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.search(snapshot(spark, sf_dir, "memories").memories, WORDS, 20)
+    hits = lexical.search(snapshot(spark, sf_dir, "memories"), WORDS, 20)
     return with_rank(hits, F.desc("score"), "id").select("id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -258,8 +258,8 @@ def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "select id, place, cast(used as bigint) as used from b where used <= 40000 and place <= 24"
 )
 def char_budget_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    memories = snapshot(spark, sf_dir, "memories").memories
-    hits = lexical.search(memories, WORDS, 24)
+    store = snapshot(spark, sf_dir, "memories")
+    memories, hits = store.memories, lexical.search(store, WORDS, 24)
     pool = memories.select("id", "content").join(F.broadcast(hits), "id").withColumn("n", F.octet_length("content"))
     return listing.within_budget(pool, F.col("n"), [F.desc("score"), F.col("id")], 40_000, 24).select("id", "place", F.col("used").cast("long").alias("used"))
 

@@ -3,11 +3,16 @@ with the braces taken off, on DuckDB."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import normalize
+from factloom.functions.vectors import is_valid, unit
+from factloom.operators import lexical
 from factloom.operators.snapshot import Snapshot
+from factloom.sources.folders import shared_folder
 
 PROJECTIONS = {
     "memories": """select concat('mem_',lpad(cast(doc_id as string),8,'0')) as id, text as content,
@@ -37,6 +42,7 @@ PROJECTIONS = {
  case when c_custkey % 2 = 0 then 'lives_in' else 'visited' end as predicate,
  concat('ent_n',cast((c_nationkey + c_custkey % 3) % 25 as string)) as object_entity_id from {customer} where c_custkey % 5 = 0""",
 }
+STORED = [n for n in PROJECTIONS if n not in ("turns", "incoming")]
 TABLES = ("region", "nation", "customer", "supplier", "events", "documents", "embeddings", "conversations")
 
 
@@ -47,13 +53,46 @@ def project(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.sql(sql, **frames)
     if name == "memories":
         df = df.withColumn("normalized_content", normalize("content"))
+    if name == "memory_embeddings":
+        df = df.withColumn("unit", F.when(is_valid(F.col("vector")), unit(F.col("vector"))))
     return df
 
 
+#: Folders of stores that this process has written, by session, folder of inputs and state of their files.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a store of all projections, with the facts' postings; written at the first call.
+
+    As a store does when facts come in, this makes what depends on single rows alone: normalised texts,
+    unit vectors, postings. It is written anew in each session, and where the inputs' files have changed.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = []
+    for t in TABLES:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        summary, status = fs.getContentSummary(at), fs.getFileStatus(at)
+        state.append((t, int(summary.getLength()), int(status.getModificationTime())))
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(state))
+    if key not in _WRITTEN:
+        root = f"{shared_folder(spark)}/fixtures-{uuid4().hex}"
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for name in STORED:
+            project(spark, sf_dir, name).write.parquet(f"{root}/{name}")
+        memories = spark.read.parquet(f"{root}/memories")
+        lexical.in_token_order(lexical.index_rows(memories), parts).write.parquet(f"{root}/postings")
+        lexical.index_totals(memories, spark.read.parquet(f"{root}/postings")).write.parquet(f"{root}/lexical_totals")
+        _WRITTEN[key] = root
+    return _WRITTEN[key]
+
+
 def snapshot(spark: SparkSession, sf_dir: str, *tables: str) -> Snapshot:
-    """A store with the named tables, or all."""
-    names = tables or [n for n in PROJECTIONS if n not in ("turns", "incoming")]
-    return Snapshot(**{n: project(spark, sf_dir, n) for n in names})
+    """The ingested store with the named tables, or all, and its postings."""
+    root = ingested(spark, sf_dir)
+    names = [*(tables or STORED), *(("postings", "lexical_totals") if not tables or "memories" in tables else ())]
+    return Snapshot(**{n: spark.read.parquet(f"{root}/{n}") for n in names})
 
 
 def clauses(*names: str, more: str = "") -> str:
