@@ -105,6 +105,10 @@ def index_totals(memories: DataFrame, postings: DataFrame) -> DataFrame:
     return memories.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(tokens))  # one row each
 
 
+def _moved(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda x: x - by)
+
+
 def _from_postings(store: Snapshot, terms: list[Term]) -> tuple[DataFrame, DataFrame]:
     """The facts that hold some term (id, status, d, tf0, ...), and the corpus counts, from one scan of the
     terms' own postings."""
@@ -119,7 +123,7 @@ def _from_postings(store: Snapshot, terms: list[Term]) -> tuple[DataFrame, DataF
     found = own.groupBy("id").agg(F.max("d").alias("d"), *sums, *lists)
 
     def phrase(k: int, t: Term) -> Column:
-        return F.size(reduce(F.array_intersect, [F.transform(f"p{k}_{j}", lambda x, j=j: x - j) for j in range(len(t.tokens))]))
+        return F.size(reduce(F.array_intersect, [_moved(F.col(f"p{k}_{j}"), j) for j in range(len(t.tokens))]))
 
     counted = found.select("id", "d", *[F.col(f"tf{k}") if len(t.tokens) == 1 else phrase(k, t).alias(f"tf{k}") for k, t in enumerate(terms)])
     counts = counted.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
