@@ -59,8 +59,7 @@ SENSITIVE = (
     r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{20,}",
 )
 
-TOKEN = r"[\p{L}\p{N}_@.+:/-]+"
-EDGES = ".:/-+@"
+TOKEN = r"[\p{L}\p{N}_]++(?:[@.+:/-]++[\p{L}\p{N}_]++)*+"  # marks stand inside a word only
 
 
 @F.pandas_udf(T.StringType())
@@ -88,17 +87,23 @@ def normalize(text: Column | str) -> Column:
     return F.lower(collapse(text))
 
 
+def ingested_key(text: Column | str) -> Column:
+    """:func:`normalize` of text that comes from outside, compatibility forms folded first."""
+    return normalize(nfkc(text))
+
+
 def tokenize(text: Column | str) -> Column:
     """Words with inner ``. : / - + @ _``; such marks at the ends are dropped."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.filter(F.transform(found, lambda t: F.btrim(t, F.lit(EDGES))), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def keywords(text: Column | str, limit: int = 16) -> Column:
+def keywords_of(tokens: Column | str, limit: int = 16) -> Column:
     """The first distinct tokens of two characters or more that aren't stopwords; maybe none."""
-    stop = words_array(STOPWORDS)
-    content = F.filter(tokenize(text), lambda t: ~F.array_contains(stop, t) & (F.length(t) >= 2))
-    return F.slice(F.array_distinct(content), 1, limit)
+    return F.slice(F.filter(F.array_except(tokens, words_array(STOPWORDS)), lambda t: F.length(t) >= 2), 1, limit)
+
+
+def keywords(text: Column | str, limit: int = 16) -> Column:
+    return keywords_of(tokenize(text), limit)
 
 
 def question_terms(text: Column | str, limit: int = 12) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import STOPWORDS, normalize, tokenize
+from factloom.functions.text import STOPWORDS, ingested_key, normalize, tokenize
 from factloom.operators.lexical import query_keywords, words_of
 from factloom.operators.snapshot import Snapshot
 
@@ -87,10 +89,24 @@ def arm(store: Snapshot, query: str, limit: int = 20, matched: DataFrame | None
     return found.select("id", "weight", "importance", "updated_at").orderBy(F.desc("weight"), F.desc("importance"), "updated_at", "id").limit(clamp(limit, 100))
 
 
+def name_key(name: str) -> str:
+    """The normal form of a name that the driver holds."""
+    return " ".join(unicodedata.normalize("NFKC", name).lower().split())
+
+
+def with_any_name(entities: DataFrame, names: list[str]) -> DataFrame:
+    """Entities with a name or alias of one of the normal forms. Names within ASCII are compared as they are;
+    only the others go through NFKC."""
+    wanted = sorted({name_key(n) for n in names})
+    odd = F.exists(_names(entities), lambda n: n.rlike(r"[^\x00-\x7f]"))
+    plain = F.exists(_names(entities), lambda n: normalize(n).isin(wanted))
+    folded = entities.filter(odd & ~F.coalesce(plain, F.lit(False))).select(F.col("id").alias("__id"), F.explode(_names(entities)).alias("n")).filter(ingested_key("n").isin(wanted)).select("__id")
+    return entities.filter(plain).unionByName(entities.join(folded, F.col("id") == F.col("__id"), "left_semi"))
+
+
 def find_by_name(entities: DataFrame, name: str) -> DataFrame:
     """The entity, by smallest id, with a name or alias that normalises to ``name``."""
-    wanted = normalize(F.lit(name))
-    return entities.filter(F.exists(_names(entities), lambda n: normalize(n) == wanted)).orderBy("id").limit(1)
+    return with_any_name(entities, [name]).orderBy("id").limit(1)
 
 
 def with_names(store: Snapshot) -> DataFrame:
@@ -111,8 +127,7 @@ def neighbors(store: Snapshot, entity_id: str, limit: int = 100) -> DataFrame:
 
 def memories_for_entity_names(store: Snapshot, names: list[str], subtype: str | None = None, limit: int = 50) -> DataFrame:
     """Active facts linked to an entity that has one of the names; the latest first."""
-    wanted = F.transform(F.array(*map(F.lit, names)), normalize)
-    own = store.entities.filter(F.arrays_overlap(F.transform(_names(store.entities), normalize), wanted)).select(F.col("id").alias("entity_id"))
+    own = with_any_name(store.entities, names).select(F.col("id").alias("entity_id"))
     ids = store.memory_entities.join(own, "entity_id", "left_semi").select(F.col("memory_id").alias("id"))
     found = store.memories.filter("status = 'active'").join(ids, "id", "left_semi")
     if subtype is not None:
@@ -122,7 +137,7 @@ def memories_for_entity_names(store: Snapshot, names: list[str], subtype: str |
 
 def memories_for_signature(store: Snapshot, subject: str, predicate: str) -> DataFrame:
     """Active facts that say (subject, predicate, something), with the object's name."""
-    own = store.entities.filter(F.exists(_names(store.entities), lambda n: normalize(n) == normalize(F.lit(subject)))).select(F.col("id").alias("subject_entity_id"))
+    own = with_any_name(store.entities, [subject]).select(F.col("id").alias("subject_entity_id"))
     edges = store.relationships.filter(F.col("predicate") == predicate).join(own, "subject_entity_id", "left_semi")
     objects = store.entities.select(F.col("id").alias("object_entity_id"), F.col("canonical_name").alias("relationship_object"))
     named = edges.join(objects, "object_entity_id").select(F.col("id").alias("relationship_id"), "relationship_object")

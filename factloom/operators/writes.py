@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import normalize
+from factloom.functions.text import ingested_key
 from factloom.operators.snapshot import SCHEMAS, Snapshot
 
 MEMORY_TYPES = ("world", "experience", "observation")
@@ -47,7 +47,7 @@ def shaped(df: DataFrame, table: str) -> DataFrame:
 def insert_memories(store: Snapshot, incoming: DataFrame, now: datetime) -> tuple[Snapshot, DataFrame]:
     """Append valid facts (ids are hashes of the normalised content and the time where absent); gives the rejected too."""
     at = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
-    rows = incoming.withColumn("normalized_content", normalize("content"))
+    rows = incoming.withColumn("normalized_content", ingested_key("content"))
     defaults = {"memory_type": F.lit("world"), "confidence": F.lit(0.5), "importance": F.lit(0.5), "status": F.lit("active"), "created_at": at, "updated_at": at, "recall_count": F.lit(0)}
     for name, value in defaults.items():
         rows = rows.withColumn(name, F.coalesce(F.col(name), value) if name in rows.columns else value)
@@ -65,11 +65,13 @@ def update_memories(store: Snapshot, changes: DataFrame, now: datetime) -> Snaps
     unknown = set(changes.columns) - set(CHANGEABLE) - {"id"}
     if unknown:
         raise ValueError(f"can't change {sorted(unknown)}")
+    if "content" in changes.columns:
+        changes = changes.withColumn("key", ingested_key("content"))
     new = changes.dropDuplicates(["id"]).select("id", *[F.col(c).alias(f"new_{c}") for c in changes.columns if c != "id"], F.lit(True).alias("__hit"))
     joined = store.memories.join(new, "id", "left")
-    values = {c: F.coalesce(f"new_{c}", c) for c in changes.columns if c != "id"}
+    values = {c: F.coalesce(f"new_{c}", c) for c in changes.columns if c not in ("id", "key")}
     if "content" in values:
-        values["normalized_content"] = F.when(F.col("new_content").isNotNull(), normalize("new_content")).otherwise(F.col("normalized_content"))
+        values["normalized_content"] = F.when(F.col("new_content").isNotNull(), F.col("new_key")).otherwise(F.col("normalized_content"))
     values["updated_at"] = F.when(F.col("__hit"), F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")).otherwise(F.col("updated_at"))
     out = store.with_(memories=joined.select(*[values.get(c, F.col(c)).alias(c) for c in store.memories.columns]))
     if "content" in changes.columns and store.memory_embeddings is not None:
@@ -104,22 +106,45 @@ def soft_delete(store: Snapshot, ids: DataFrame, now: datetime) -> Snapshot:
     return update_memories(store, ids.select("id", F.lit("deleted").alias("status")), now)
 
 
-def get_or_create_entities(entities: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
-    """Append entities (canonical_name, entity_type, aliases) whose normalised name is no one's name or
-    alias yet; those that exist are left as they are, and of equal new names the first in order stays."""
+def names_of(entities: DataFrame) -> Column:
+    return F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def create_entities(entities: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
+    """Append entities (canonical_name, entity_type, aliases, and seq where there is an order) of names and
+    types that aren't there together: an entity is its exact name and its type, null being a type of its
+    own. Of equal new ones the first stays, with its aliases, sorted; those that exist are left as they are."""
+    keys, seq = ["canonical_name", "entity_type"], F.col("seq") if "seq" in incoming.columns else F.lit(0)
+    new = incoming.withColumn("__seq", seq).groupBy(*keys).agg(F.min(F.struct("__seq", "aliases")).alias("e"))
+    there = (F.col("n.canonical_name") == F.col("o.canonical_name")) & F.col("n.entity_type").eqNullSafe(F.col("o.entity_type"))
+    new = new.alias("n").join(entities.select(*keys).alias("o"), there, "left_anti")
+    return _appended(entities, new, F.concat_ws("|", F.col("canonical_name"), F.coalesce("entity_type", F.lit("\u0000"))), now)
+
+
+def _appended(entities: DataFrame, new: DataFrame, key: Column, now: datetime) -> DataFrame:
     at = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
-    known = entities.select(F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).select(normalize("n").alias("key"))
-    new = incoming.withColumn("key", normalize("canonical_name")).groupBy("key").agg(F.min(F.struct("canonical_name", "entity_type", "aliases")).alias("e")).select("key", "e.*")
-    new = new.join(known, "key", "left_anti")
-    rows = new.select(F.concat(F.lit("ent_"), F.md5("key")).alias("id"), "canonical_name", "entity_type", F.array_sort(F.array_distinct("aliases")).alias("aliases"), at.alias("created_at"), at.alias("updated_at"))
+    aliases = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("e.aliases", F.array().cast("array<string>")), F.trim), lambda a: a != "")))
+    rows = new.select(F.concat(F.lit("ent_"), F.md5(key)).alias("id"), "canonical_name", "entity_type", aliases.alias("aliases"), at.alias("created_at"), at.alias("updated_at"))
     return entities.unionByName(shaped(rows, "entities").select(*entities.columns))
 
 
+def get_or_create_entities(entities: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
+    """Append entities (as for :func:`create_entities`) whose normalised name is no one's name or alias yet,
+    whatever its type; of equal new names the first stays."""
+    known = entities.select(F.explode(names_of(entities)).alias("n")).select(ingested_key("n").alias("key"))
+    seq = F.col("seq") if "seq" in incoming.columns else F.lit(0)
+    new = incoming.withColumn("__seq", seq).withColumn("key", ingested_key("canonical_name")).groupBy("key").agg(F.min(F.struct("__seq", "canonical_name", "entity_type", "aliases")).alias("e"))
+    new = new.join(known, "key", "left_anti").select("key", "e", "e.canonical_name", "e.entity_type")
+    return _appended(entities, new, F.col("key"), now)
+
+
 def get_or_create_relationships(relationships: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
-    """Append edges that aren't there; the confidence of the first stays. Predicates must be well formed."""
+    """Append edges that aren't there; the confidence of the first (by ``seq`` where there is one, else the
+    smallest) stays. Predicates must be well formed."""
     at = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
     keys = ["subject_entity_id", "predicate", "object_entity_id"]
-    new = incoming.filter(F.col("predicate").rlike(PREDICATE)).groupBy(*keys).agg(F.first("confidence").alias("confidence"))
+    seq = F.col("seq") if "seq" in incoming.columns else F.lit(0)
+    new = incoming.filter(F.col("predicate").rlike(PREDICATE)).groupBy(*keys).agg(F.min(F.struct(seq.alias("seq"), F.col("confidence")))["confidence"].alias("confidence"))
     rows = new.join(relationships.select(*keys), keys, "left_anti").withColumn("id", F.concat(F.lit("rel_"), F.md5(F.concat_ws("|", *keys))))
     return relationships.unionByName(shaped(rows.withColumn("created_at", at).withColumn("updated_at", at), "relationships").select(*relationships.columns))
 

@@ -129,7 +129,8 @@ def with_rank(df: DataFrame, *order) -> DataFrame:
 )
 def keywords_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.size(text.tokenize("text")).cast("long").alias("n_tokens"), F.array_join(text.keywords("text"), " ").alias("keywords"))
+    tokens = docs.select("doc_id", text.tokenize("text").alias("tokens"))
+    return tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join(text.keywords_of("tokens"), " ").alias("keywords"))
 
 
 OVERLAP_TERMS = ["ments", "thatins", "elle", "rewh"]
