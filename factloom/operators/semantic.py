@@ -76,6 +76,11 @@ def stale(store: Snapshot, provider: str, model: str, force: bool = False, limit
     return active.orderBy("created_at", "id").limit(clamp(limit, 5000))
 
 
+def delete(embeddings: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the vectors of the facts named by memory_id."""
+    return embeddings.join(gone.select("memory_id"), "memory_id", "left_anti").select(*embeddings.columns)
+
+
 def upsert(embeddings: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows (by memory_id, the last by ``seq``) replace those that are there. Vectors that are
     invalid raise no error here; they are left out."""

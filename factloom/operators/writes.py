@@ -45,7 +45,8 @@ def shaped(df: DataFrame, table: str) -> DataFrame:
 
 
 def insert_memories(store: Snapshot, incoming: DataFrame, now: datetime) -> tuple[Snapshot, DataFrame]:
-    """Append valid facts (ids are hashes of the normalised content and the time where absent); gives the rejected too."""
+    """Append valid facts (ids are hashes of the normalised content and the time where absent, so one
+    batch holds a content once); gives the rejected too."""
     at = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
     rows = incoming.withColumn("normalized_content", ingested_key("content"))
     defaults = {"memory_type": F.lit("world"), "confidence": F.lit(0.5), "importance": F.lit(0.5), "status": F.lit("active"), "created_at": at, "updated_at": at, "recall_count": F.lit(0)}
@@ -54,7 +55,9 @@ def insert_memories(store: Snapshot, incoming: DataFrame, now: datetime) -> tupl
     made = F.concat(F.lit("mem_"), F.md5(F.concat_ws("|", "normalized_content", at.cast("string"))))
     rows = rows.withColumn("id", F.coalesce(F.col("id"), made) if "id" in rows.columns else made)
     valid, rejected = split_valid(shaped(rows, "memories"))
-    return store.with_(memories=store.memories.unionByName(valid.join(store.memories.select("id"), "id", "left_anti").select(*valid.columns))), rejected
+    rest = [c for c in valid.columns if c != "id"]
+    once = valid.groupBy("id").agg(F.min(F.struct(*rest)).alias("r")).select("id", "r.*").select(*valid.columns)
+    return store.with_(memories=store.memories.unionByName(once.join(store.memories.select("id"), "id", "left_anti").select(*valid.columns))), rejected
 
 
 def update_memories(store: Snapshot, changes: DataFrame, now: datetime) -> Snapshot:
@@ -123,7 +126,7 @@ def create_entities(entities: DataFrame, incoming: DataFrame, now: datetime) ->
 
 def _appended(entities: DataFrame, new: DataFrame, key: Column, now: datetime) -> DataFrame:
     at = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
-    aliases = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("e.aliases", F.array().cast("array<string>")), F.trim), lambda a: a != "")))
+    aliases = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("e.aliases", F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a != "")))
     rows = new.select(F.concat(F.lit("ent_"), F.md5(key)).alias("id"), "canonical_name", "entity_type", aliases.alias("aliases"), at.alias("created_at"), at.alias("updated_at"))
     return entities.unionByName(shaped(rows, "entities").select(*entities.columns))
 
