@@ -276,11 +276,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     clauses("memories", "memory_embeddings", more="v as (select memory_id, cast(vector as double[]) as v from memory_embeddings where model = 'm1' and memory_id in (select id from memories where status = 'active'))")
-    + "select p.memory_id as probe_id, m.memory_id, round(list_cosine_similarity(p.v, m.v), 5) as similarity from v p join v m on p.memory_id <> m.memory_id where cast(substr(p.memory_id, 5) as int) % 50 = 7 and list_cosine_similarity(p.v, m.v) >= 0.25"
+    + "select p.memory_id as probe_id, m.memory_id, round(list_cosine_similarity(p.v, m.v), 5) as similarity from v p join v m on p.memory_id <> m.memory_id where cast(substr(p.memory_id, 5) as int) % 50 = 0 and list_cosine_similarity(p.v, m.v) >= 0.25"
 )
 def semantic_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = snapshot(spark, sf_dir, "memories", "memory_embeddings")
-    probes = store.memory_embeddings.filter(F.substring("memory_id", 5, 8).cast("int") % 50 == 7)
+    probes = store.memory_embeddings.filter(F.substring("memory_id", 5, 8).cast("int") % 50 == 0)
     found = semantic.similar_pairs(store, probes, "fixture", "m1", 64, 0.25)
     return found.withColumn("similarity", F.round("similarity", 5))
 
@@ -394,10 +394,10 @@ def events_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.recent_events(project(spark, sf_dir, "retention_events"), 100).select("id", "action", "memory_id")
 
 
-@query(clauses("memories") + "select strftime(coalesce(event_ts, created_at), '%Y-%m-%d') as day, count(*) as count, string_agg(id, ',' order by id) as ids from memories group by 1")
+@query(clauses("memories") + "select strftime(coalesce(event_ts, created_at), '%Y-%m-%d') as day, substr(md5(id), 1, 1) as part, count(*) as count, string_agg(id, ',' order by id) as ids from memories group by 1, 2")
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = listing.timeline(project(spark, sf_dir, "memories"), F.coalesce("event_ts", "created_at"))
-    return found.select("day", "count", F.array_join("ids", ",").alias("ids"))
+    return found.select("day", "part", "count", F.array_join("ids", ",").alias("ids"))
 
 
 @query(clauses("memories", "retention_events") + "select id, cast(recall_count + (id in (select memory_id from retention_events))::int as int) as recall_count from memories")

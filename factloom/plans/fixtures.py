@@ -35,12 +35,12 @@ PROJECTIONS = {
     "memory_entities": """select concat('mem_',lpad(cast(doc_id as string),8,'0')) as memory_id, concat('ent_n',cast(doc_id % 25 as string)) as entity_id, 'mentioned' as role from {documents} where doc_id % 5 <> 0
  union all select concat('mem_',lpad(cast(doc_id as string),8,'0')), concat('ent_c',cast(doc_id % 150 as string)), 'subject' from {documents} where doc_id % 3 = 0""",
     "memory_relationships": """select concat('mem_',lpad(cast(doc_id as string),8,'0')) as memory_id, concat('rel_cn',cast(doc_id % 150 as string)) as relationship_id from {documents} where doc_id % 3 = 0""",
-    "memory_embeddings": """select concat('mem_',lpad(cast(vec_id as string),8,'0')) as memory_id, 'fixture' as provider, case when vec_id % 5 = 0 then 'old' else 'm1' end as model, 64 as dimension, embedding as vector from {embeddings} join {documents} on doc_id = vec_id""",
+    "memory_embeddings": """select concat('mem_',lpad(cast(vec_id as string),8,'0')) as memory_id, 'fixture' as provider, case when vec_id % 5 = 3 then 'old' else 'm1' end as model, 64 as dimension, embedding as vector from {embeddings} join {documents} on doc_id = vec_id""",
     "retention_events": """select event_id as id, case event_type when 'signup' then 'created' when 'purchase' then 'updated' when 'click' then 'superseded' else 'ignored' end as action, concat('mem_',lpad(cast(user_id as string),8,'0')) as memory_id, ts as created_at from {events}""",
     "turns": """select conv_id, turn, text as user_text, nxt as assistant_text from (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) nxt, lead(role) over (partition by conv_id order by turn) nrole from {conversations}) x where role='user' and nrole='assistant'""",
     "incoming": """select concat('mem_new_',cast(c_custkey as string)) as memory_id, concat('ent_c',cast(c_custkey as string)) as subject_entity_id,
  case when c_custkey % 2 = 0 then 'lives_in' else 'visited' end as predicate,
- concat('ent_n',cast((c_nationkey + c_custkey % 3) % 25 as string)) as object_entity_id from {customer} where c_custkey % 5 = 0""",
+ concat('ent_n',cast((c_nationkey + c_custkey % 3) % 25 as string)) as object_entity_id from {customer}""",
 }
 STORED = [n for n in PROJECTIONS if n not in ("turns", "incoming")]
 TABLES = ("region", "nation", "customer", "supplier", "events", "documents", "embeddings", "conversations")

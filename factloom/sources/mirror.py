@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import html_escaped, quoted, safe_display, safe_stem
@@ -55,10 +55,34 @@ def _section(title: str, lines: Column) -> Column:
 
 
 def _listed(rows: DataFrame, key: str, order: list[Column], line: Column, out: str, most: int = 500) -> DataFrame:
-    """Lines of each key in order, at most ``most``."""
-    each = rows.select(key, F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], line.alias("line")).alias("r"))
-    sorted_ = F.slice(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), 1, most)
-    return each.groupBy(key).agg(sorted_.alias(out))
+    """Lines of each key in order, at most ``most``: cut by rank first, inside the tasks that read them, so that
+    a key of very many rows never comes together."""
+    named = [c.alias(f"o{k}") for k, c in enumerate(order)]
+    each = rows.select(key, *named, line.alias("line"))
+    rank = Window.partitionBy(key).orderBy(*[f"o{k}" for k in range(len(order))], "line")
+    few = each.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= most)
+    return few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda r: r["line"]).alias(out))
+
+
+PAGE = 2000  # lines of an index note, about
+
+
+def _index(title: str, rows: DataFrame, order: list[Column], line: Column, count: int) -> DataFrame:
+    """An index note of all rows' lines; of more than ``PAGE`` lines, pages dealt by a hash of the lines, each in
+    order, and a note that lists them."""
+    pages = max(1, -(-count // PAGE))
+    head = F.concat(F.lit("---\nfactloom: true\nkind: index\n---\n\n# "), F.col("title"), F.lit("\n\n"))
+    each = rows.select(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], line.alias("line")).alias("r"))
+    page = F.pmod(F.xxhash64("r.line"), F.lit(pages)) + 1 if pages > 1 else F.lit(0).cast("long")
+    listed = each.groupBy(page.alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("lines"))
+    if pages == 1 and not count:
+        listed = rows.sparkSession.createDataFrame([(0, "")], "page long, lines string")
+    named = listed.withColumn("title", F.when(F.col("page") > 0, F.concat(F.lit(f"{title} "), F.col("page"))).otherwise(F.lit(title)))
+    notes = named.select(F.concat(F.lit("00-Index/"), "title").alias("path"), F.concat(head, "lines", F.lit("\n")).alias("content"))
+    if pages > 1:
+        links = "\n".join(f"- [[00-Index/{title} {k}|{title} {k}]]" for k in range(1, pages + 1))
+        notes = notes.union(rows.sparkSession.createDataFrame([(f"00-Index/{title}", f"---\nfactloom: true\nkind: index\n---\n\n# {title}\n\n{links}\n")], "path string, content string"))
+    return notes
 
 
 def render(store: Snapshot, include_inactive: bool = False) -> DataFrame:
@@ -91,20 +115,18 @@ def render(store: Snapshot, include_inactive: bool = False) -> DataFrame:
     replaced = F.when(F.col("superseded_by").isNotNull(), F.concat(F.lit("\n\n## Superseded by\n\n`"), safe_display(F.col("superseded_by")), F.lit("`"))).otherwise(F.lit(""))
     memory_notes = m.select("path", F.concat(head, F.lit("\n\n# Memory\n\n## Content\n\n<pre>\n"), html_escaped(F.col("content")), F.lit("\n</pre>"), _section("Entities", F.coalesce("names", none)), _section("Relationships", F.coalesce("said", none)), replaced, F.lit("\n")).alias("content"))
 
-    def index(title: str, rows: DataFrame, order: list[Column], line: Column) -> DataFrame:
-        # An index is one note; like any note it is one value, so its list must fit a row.
-        listed = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n")
-        each = rows.select(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], line.alias("line")).alias("r"))
-        return each.agg(F.lit(f"00-Index/{title}").alias("path"), F.concat(F.lit(f"---\nfactloom: true\nkind: index\n---\n\n# {title}\n\n"), listed, F.lit("\n")).alias("content")).select("path", "content")
-
-    entity_index = index("Entities", entities, [F.lower("canonical_name"), F.col("id")], F.concat(F.lit("- "), wiki(F.col("path"), F.col("canonical_name"))))
+    many_entities, many_facts = entities.count(), memories.count()
+    entity_index = _index("Entities", entities, [F.lower("canonical_name"), F.col("id")], F.concat(F.lit("- "), wiki(F.col("path"), F.col("canonical_name"))), many_entities)
     kind = F.concat(F.lit(" — `"), F.col("memory_type"), F.lit("/"), F.coalesce("subtype", F.lit("-")), F.lit("` · `"), F.col("status"), F.lit("`"))
-    memory_index = index("Memories", memories, [-F.unix_timestamp("updated_at"), F.col("id")], F.concat(F.lit("- "), wiki(F.col("path"), F.substring("content", 1, 100)), kind))
+    memory_index = _index("Memories", memories, [-F.unix_timestamp("updated_at"), F.col("id")], F.concat(F.lit("- "), wiki(F.col("path"), F.substring("content", 1, 100)), kind), many_facts)
     when = F.coalesce(time.try_cast("timestamp"), F.col("created_at"))
-    by_day = memories.withColumn("day", F.coalesce(F.date_format(when, "yyyy-MM-dd"), F.lit("Unknown date")))
-    by_day = _listed(by_day, "day", [F.col("id")], F.concat(F.lit("- "), wiki(F.col("path"), F.substring("content", 1, 90))), "lines", 100_000)
-    timeline = index("Timeline", by_day, [F.translate("day", "0123456789", "9876543210")], F.concat(F.lit("## "), F.col("day"), F.lit("\n\n"), F.array_join("lines", "\n"), F.lit("\n")))
-    counts = entities.agg(F.count(F.lit(1)).alias("e")).crossJoin(memories.agg(F.count(F.lit(1)).alias("m")))  # one row
+    # A day's facts in parts, by a hash of the id, as few as keep a part near a page; no fact is left out.
+    parts = max(1, -(-many_facts // PAGE))
+    by_day = memories.withColumn("day", F.coalesce(F.date_format(when, "yyyy-MM-dd"), F.lit("Unknown date"))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    each = by_day.select("day", "part", F.struct("id", F.concat(F.lit("- "), wiki(F.col("path"), F.substring("content", 1, 90))).alias("line")).alias("r"))
+    by_day = each.groupBy("day", "part").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]).alias("lines"))
+    timeline = _index("Timeline", by_day, [F.translate("day", "0123456789", "9876543210"), F.col("part")], F.concat(F.lit("## "), F.col("day"), F.lit("\n\n"), F.array_join("lines", "\n"), F.lit("\n")), many_facts)
+    counts = store.memories.sparkSession.createDataFrame([(many_entities, many_facts)], "e long, m long")
     home = counts.select(F.lit("00-Index/Home").alias("path"), F.concat(F.lit("---\nfactloom: true\nkind: index\n---\n\n# Facts\n\n- Entities: **"), F.col("e").cast("string"), F.lit("**\n- Memories: **"), F.col("m").cast("string"), F.lit("**\n\n- [[00-Index/Entities|Entities]]\n- [[00-Index/Memories|Memories]]\n- [[00-Index/Timeline|Timeline]]\n\n> Generated from the store, which is authoritative; changes here are lost.\n")).alias("content"))
     notes = reduce(DataFrame.union, [entity_notes, memory_notes, entity_index, memory_index, timeline, home])
     return notes.select(F.concat("path", F.lit(".md")).alias("path"), F.concat(F.lit(MARK + "\n"), "content").alias("content"))
@@ -153,10 +175,11 @@ class MirrorFolder:
         return {k: v for k, v in data.get("files", {}).items() if isinstance(k, str)}
 
     def sync(self, notes: DataFrame, prune: bool = True) -> SyncReport:
-        """Write the notes that differ. Notes are streamed to the driver one partition at a time; those whose
-        digest is the manifest's, and whose file is there, are not written."""
-        known, seen, written = self._known(), {}, 0
-        for row in notes.withColumn("digest", F.sha2("content", 256)).toLocalIterator():
+        """Write the notes that differ. Paths and digests come to the driver first, a partition at a time; of the
+        contents only those whose digest is not that of the file that is there."""
+        known, seen, stale = self._known(), {}, []
+        digested = notes.withColumn("digest", F.sha2("content", 256))
+        for row in digested.select("path", "digest").toLocalIterator():
             at, path = self._confined(row["path"]), row["path"]
             seen[path] = row["digest"]
             if at.exists():
@@ -165,8 +188,13 @@ class MirrorFolder:
                     raise FileExistsError(f"{path} was not made by this mirror")
                 if hashlib.sha256(text.encode()).hexdigest() == row["digest"]:
                     continue
-            self._put(at, row["content"])
-            written += 1
+            stale.append(path)
+        written = 0
+        if stale:
+            wanted = notes.sparkSession.createDataFrame([(p,) for p in stale], "path string")
+            for row in (notes if len(stale) == len(seen) else notes.join(wanted, "path", "left_semi")).toLocalIterator():
+                self._put(self._confined(row["path"]), row["content"])
+                written += 1
         removed = skipped = 0
         for path in sorted(set(known) - set(seen)) if prune else []:
             try:
