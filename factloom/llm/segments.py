@@ -79,7 +79,7 @@ class SegmentEncoder:
     ``encode_special_tokens``) instead of as those tokens.
     """
 
-    def __init__(self, tokenizer_file: str, fold: bool = False, capacity: int = 1_000_000, specials_as_text: bool = False) -> None:
+    def __init__(self, tokenizer_file: str, fold: bool = False, capacity: int = 500_000, specials_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -105,14 +105,14 @@ class SegmentEncoder:
         self.known = 0
         room = self.capacity + 1
         self.hash, self.low, self.high = (np.zeros(room, np.uint64) for _ in range(3))
-        self.starts, self.sizes, self.uses = (np.zeros(room, np.int64) for _ in range(3))
+        self.starts, self.sizes, self.uses = (np.zeros(room, kind) for kind in (np.int64, np.int32, np.int32))
 
     def _grow(self, n: int) -> np.ndarray:
         """``n`` new slots."""
         new = np.arange(self.known, self.known + n)
         self.known += n
         if self.known > len(self.hash):
-            room = max(self.known, 2 * len(self.hash)) - len(self.hash)
+            room = max(self.known, len(self.hash) * 5 // 4) - len(self.hash)
             for name in ("hash", "low", "high", "starts", "sizes", "uses"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros(room, old.dtype)]))
@@ -126,7 +126,7 @@ class SegmentEncoder:
     def _store(self, slots: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         need = self.used + len(ids)
         if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(need, 2 * len(self.ids)) - len(self.ids), np.uint32)])
+            self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids) * 3 // 2) - len(self.ids), np.uint32)])
         self.ids[self.used : need] = ids
         self.starts[slots], self.sizes[slots] = starts + self.used, sizes
         self.used = need
@@ -258,8 +258,8 @@ class SegmentEncoder:
                 head, *tail = _CUT.split(texts[k])
                 parts.insert(k, np.array(self._others([head, *(" " + s for s in tail)]), np.int64))
             slots, counts = np.concatenate(parts).astype(np.int64), np.array([len(p) for p in parts], np.int64)
-        self.uses += np.bincount(slots, minlength=len(self.uses))
-        sizes = self.sizes[slots]
+        self.uses += np.bincount(slots, minlength=len(self.uses)).astype(np.int32)
+        sizes = self.sizes[slots].astype(np.int64)
         ids = self.ids[_ragged(self.starts[slots], sizes)]
         filled, ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.cumsum(counts)
         return ids, filled[ends] - filled[ends - counts]

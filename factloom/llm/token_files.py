@@ -33,12 +33,12 @@ _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     values = np.asarray(values, np.uint32)
-    sizes = 1 + (values > 0xFF) + (values > 0xFFFF).astype(np.int64) + (values > 0xFFFFFF)
+    sizes = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = sizes - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8)
-    places = np.cumsum(sizes) - sizes
-    data = np.zeros(int(sizes.sum()), np.uint8)
+    places = np.cumsum(sizes, dtype=np.int64) - sizes
+    data = np.zeros(int(sizes.sum(dtype=np.int64)), np.uint8)
     for k in range(4):
         some = sizes > k
         data[places[some] + k] = (values[some] >> np.uint32(8 * k)) & np.uint32(0xFF)
@@ -96,7 +96,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, block_t
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, map(len, texts), 2_000_000):
+            for a, b in chunks(texts, map(len, texts), 1_000_000):
                 ids, sizes = coder.encode(texts[a:b])
                 ends = np.cumsum(sizes)
                 for name, stop, size in zip(names[a:b], ends.tolist(), sizes.tolist()):
