@@ -30,15 +30,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     chains; it ends when nothing changes. Labels are written between rounds, so lineage stays short.
     """
     spark = links.sparkSession
-    both, both_at = write_table(_both_ways(links), "links")
-    labels, at = write_table(neighbourhoods(both), "labels")
+    both, both_at = write_table(_both_ways(links), "links", fewer=8)
+    labels, at = write_table(neighbourhoods(both), "labels", fewer=8)
     for _ in range(most_rounds):
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         passed = labels.join(seen, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("over"))
         jumped = passed.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("over", "component")).alias("component"))
         counted = Observation()
-        new, new_at = write_table(jumped.observe(counted, F.count_if(F.col("was") != F.col("component")).alias("changed")).drop("was"), "labels")
+        new, new_at = write_table(jumped.observe(counted, F.count_if(F.col("was") != F.col("component")).alias("changed")).drop("was"), "labels", fewer=8)
         drop_table(spark, at)
         labels, at = new, new_at
         if not counted.get["changed"]:

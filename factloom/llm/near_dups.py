@@ -217,8 +217,8 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor =
     spark = docs.sparkSession
     written: list[str] = []
 
-    def write(df: DataFrame, name: str) -> DataFrame:
-        table, at = write_table(df, name)
+    def write(df: DataFrame, name: str, fewer: int = 8) -> DataFrame:
+        table, at = write_table(df, name, fewer=fewer)
         written.append(at)
         return table
 
@@ -226,11 +226,11 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor =
     real = signed.filter("n_shingles > 0 and doc_id is not null")
     own = real.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "bits")])
     # Ids are drawn once, as the table is written.
-    classes = write_table(own.select(F.monotonically_increasing_id().alias("node"), "digest", "own", "n_shingles", "bands", "bits"), "classes")[0]
-    keyed = write(shared_keys(classes, tensor), "keys")
+    classes = write_table(own.select(F.monotonically_increasing_id().alias("node"), "digest", "own", "n_shingles", "bands", "bits"), "classes", fewer=4)[0]
+    keyed = write(shared_keys(classes, tensor), "keys", fewer=2)
     some = keyed.select("node").distinct().join(classes.select("node", "own.*"), "node")
     texts = docs.select("doc_id", text_hash().alias("text_hash"), "text").join(some, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"])
-    texts = write(texts.select("node", "text"), "texts")
+    texts = write(texts.select("node", "text"), "texts", fewer=2)
     sets = classes.select("node", "n_shingles", "bits")
 
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -246,8 +246,8 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor =
     met = large.groupBy("node").agg(F.min("pivot").alias("pivot"), F.min("other").alias("other")).select("node", F.explode(F.array("pivot", "other")).alias("to"))
     met = met.filter("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
     wide = pairs.union(met).distinct().join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    likely = write(wide.mapInArrow(_may_link(percent), "a long, b long"), "likely")
-    links = write(confirmed(likely), "links")
+    likely = write(wide.mapInArrow(_may_link(percent), "a long, b long"), "likely", fewer=4)
+    links = write(confirmed(likely), "links", fewer=2)
     labels = write(rough_components(links), "labels")  # enough to leave out most of the grid
 
     def labelled(df: DataFrame, at: str, name: str) -> DataFrame:
@@ -270,7 +270,7 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor =
     stay = dealt.withColumn("row", row).withColumn("col", every("cols")).withColumn("visitor", F.lit(False))
     go = dealt.filter("component <> main").withColumn("col", col).withColumn("row", every("rows")).withColumn("visitor", F.lit(True))
     grid = stay.unionByName(go).select("home", "row", "col", "node", "component", "main", "visitor").join(texts, "node")
-    every_link = links.union(write(grid.groupBy("home", "row", "col").applyInArrow(_compare_cell(percent, size), "a long, b long"), "links"))
+    every_link = links.union(write(grid.groupBy("home", "row", "col").applyInArrow(_compare_cell(percent, size), "a long, b long"), "links", fewer=1))
     labels = components(every_link)
     named = labelled(classes.select("node", "digest", "own"), "node", "component")
     heads = named.groupBy("component").agg(F.min("own").alias("head"))

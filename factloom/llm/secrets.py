@@ -94,7 +94,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     kept = [c for c in docs.columns if c != "secrets" and not c.startswith("__")]
     indexed = {r.kind for r in rules if trigram_query(r.pattern) is not True}
-    found, _ = write_table(candidates(write_table(postings(docs, rules), "postings")[0], rules), "candidates")
+    found, _ = write_table(candidates(write_table(postings(docs, rules), "postings", fewer=8)[0], rules), "candidates", fewer=8)
     found = found.select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
     if found.count() <= MOST_BROADCAST:
         found = F.broadcast(found)

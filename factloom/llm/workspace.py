@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}  # temporary folders, by application
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,14 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set(CHECKPOINT_KEY, found)
+        found = _OWN.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="factloom-")
+        _OWN[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
-def write_table(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
-    """Write ``df`` under a fresh path of the shared folder; gives the table read back, and its path."""
+def write_table(df: DataFrame, name: str, compression: str = "zstd", fewer: int = 1) -> tuple[DataFrame, str]:
+    """Write ``df`` under a fresh path of the shared folder; gives the table read back, and its path.
+
+    fewer: how many times smaller than the documents its rows are together, about; as many times fewer files
+    than shuffle partitions are written.
+    """
     spark = df.sparkSession
+    if fewer > 1:
+        df = df.coalesce(max(1, partitions(spark) // fewer))
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
