@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,10 +20,11 @@ def ship(spark) -> None:
     on_path = any(p and Path(p).resolve() == root.parent for p in os.environ.get("PYTHONPATH", "").split(os.pathsep))
     if application in _SHIPPED or installed or on_path:
         return
-    with tempfile.TemporaryDirectory() as folder:
-        archive = Path(folder) / "factloom.zip"
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-            for file in sorted(root.rglob("*.py")):
-                out.write(file, file.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(archive))  # the driver serves it; the folder may go then
+    folder = tempfile.mkdtemp(prefix="factloom-")  # the driver serves the archive from here as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "factloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
     _SHIPPED.add(application)
