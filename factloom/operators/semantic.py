@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.vectors import checked, dot, is_valid, norm, unit
@@ -41,6 +43,31 @@ def top(store: Snapshot, vector: list[float], provider: str, model: str, limit:
     return found.select("id", "similarity", "importance", "confidence").orderBy(F.desc("similarity"), F.desc("importance"), F.desc("confidence"), "id")
 
 
+def top_many(store: Snapshot, vectors: dict[int, list[float]], provider: str, model: str, limit: int) -> DataFrame:
+    """q, id and similarity: of each query (number -> vector, all of one dimension) the best ``limit`` active facts,
+    by similarity and then by larger id. One pass over the vectors: each batch is multiplied with all queries
+    and gives its best rows only."""
+    names, asked = list(vectors), np.array([checked(v) for v in vectors.values()], np.float64)
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    dimension = asked.shape[1]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.array(batch.column(0).to_pylist(), object)
+            order = np.argsort(ids)[::-1]
+            ids = ids[order]
+            found = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dimension)[order] @ asked.T
+            few = np.argsort(-found, axis=0, kind="stable")[:limit]
+            columns = [np.repeat([names], len(few), 0).ravel(), ids[few].ravel(), np.take_along_axis(found, few, 0).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64()))], ["q", "id", "similarity"])
+
+    rows = active_vectors(store, provider, model, dimension).mapInArrow(best, "q long, id string, similarity double")
+    place = Window.partitionBy("q").orderBy(F.desc("similarity"), F.desc("id"))
+    return rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit).drop("place")
+
+
 def similar_pairs(store: Snapshot, probes: DataFrame, provider: str, model: str, dimension: int, threshold: float) -> DataFrame:
     """probe_id, memory_id, similarity: for each probe (memory_id) the other active facts at ``threshold`` or above.
 

@@ -11,6 +11,7 @@ import json
 from collections import deque
 from collections.abc import Callable
 from datetime import datetime, timezone
+from itertools import islice
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from factloom.operators import maintenance, retention
-from factloom.plans.retain import Decision, Retention
+from factloom.plans.retain import TOGETHER, Decision, Retention
 from factloom.sources.models import Extractor, extract_rows
 from factloom.sources.store import Store
 
@@ -70,12 +71,11 @@ def retain_batch(store: Store, batch: DataFrame, batch_id: str, extractor: Extra
     payloads = extract_rows(worthwhile(batch), extractor, ["session_id", "seq"]).withColumnRenamed("seq", "turn")
     facts = retention.parse_extractions(payloads.filter("payload is not null").select("session_id", "turn", "payload"))
     engine = Retention(store.open(), at, **(options or {}))
-    decisions = []
     # At most 32 facts a turn, for the turns of one batch; they are read in order, a partition at a time.
-    for row in facts.orderBy("session_id", "turn", "seq").toLocalIterator():
-        item = row.asDict(recursive=True)
-        source = f"turn:{item.pop('session_id')}"
-        decisions += engine.retain([item], source)
+    rows = (row.asDict(recursive=True) for row in facts.orderBy("session_id", "turn", "seq").toLocalIterator())
+    decisions: list[Decision] = []
+    while some := list(islice(rows, TOGETHER)):
+        decisions += engine.retain_all([(item, f"turn:{item.pop('session_id')}") for item in some])
     new, changed = engine.result()
     store.commit(new, changed, batch=batch_id)
     clean_up(store, policy or maintenance.Policy(), at)
