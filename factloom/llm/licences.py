@@ -188,3 +188,31 @@ def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence of every document whose entire text is one, and the notices in all documents."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _sql_canonical(low: str) -> str:
+    out = f"regexp_replace({low}, {_sql_text(chr(92) + 'b(' + '|'.join(p for p, _ in SPELLINGS) + ')' + chr(92) + 'b')}, concat(chr(1), '\\1', chr(1)), 'g')"
+    for pattern, word in SPELLINGS:
+        out = f"regexp_replace({out}, concat(chr(1), {_sql_text(pattern)}, chr(1)), {_sql_text(word)}, 'g')"
+    return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def _sql_digest(text: str) -> str:
+    return f"sha256({_sql_canonical(f'regexp_replace(lower(coalesce({text}, {_sql_text("")})), {_sql_text(_COPYRIGHT_LINE)}, {_sql_text(" ")}, {_sql_text("g")})')})"
+
+
+def _sql_rows(rows: tuple[tuple[str, str], ...]) -> str:
+    return ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in rows)
+
+
+#: The query in DuckDB's SQL.
+ORACLE = f"""with known as (select digest, min(licence) as licence from (select licence, {_sql_digest("text")} as digest from (values {_sql_rows(TEXTS)}) t(licence, text) union all select licence, digest from (values {_sql_rows(DIGESTS)}) d(licence, digest)) group by 1),
+ spoken as (select distinct licence, sha256({_sql_canonical("lower(text)")}) as digest from (values {_sql_rows(NOTICES)}) t(licence, text)),
+ lines as (select doc_id, unnest(string_split_regex(text, '[\\r\\n]+')) as line from documents where text is not null),
+ named as (select doc_id, string_agg(distinct licence, ',' order by licence) as notices from (select doc_id, sha256({_sql_canonical("lower(line)")}) as digest from lines where regexp_matches(line, '(?i)licen[cs]e|rights\\W+reserved')) join spoken using (digest) group by 1),
+ digested as (select doc_id, {_sql_digest("text")} as digest from documents)
+ select doc_id, digest, licence, coalesce(notices, '') as notices from digested left join known using (digest) left join named using (doc_id)"""

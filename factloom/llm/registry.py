@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factloom.llm import licences, secrets
 from factloom.llm.decontamination import op9_simhash_decontamination
 from factloom.llm.licences import op6_licence_digests
 from factloom.llm.media import op7_media_columns
@@ -26,4 +27,5 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others lie beyond SQL: tokenizers, 64-bit hashes, learned weights, images.
+ORACLES: dict[str, str] = {"op3_secret_scan": secrets.ORACLE, "op6_licence_digests": licences.ORACLE}

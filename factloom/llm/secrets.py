@@ -159,3 +159,20 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = map(count, range(len(BASE)))
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+def _sql_hits(order: int, rule: Rule) -> str:
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    return (
+        f"select doc_id, {order} as ord, '{rule.kind}' as kind, {rule.least} as least, regexp_extract_all(text, {pattern}, 0) as m, regexp_extract_all(text, {pattern}, {rule.group}) as v, string_split_regex(text, {pattern}) as g"
+        f" from documents where regexp_matches(text, {pattern})"
+    )
+
+
+#: The query in DuckDB's SQL: places follow from the lengths of matches and of what stands between them.
+ORACLE = f"""with found as ({" union all ".join(_sql_hits(k, r) for k, r in enumerate(RULES))}),
+ each as (select doc_id, ord, kind, least, m, v, g, unnest(range(1, len(m) + 1)) as i from found),
+ spans as (select doc_id, ord, kind, cast(list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) as bigint) as a, len(m[i]) as n from each where len(v[i]) >= least),
+ joined as (select doc_id, count(*) filter (ord = 0) as n_assign, count(*) filter (ord = 1) as n_access, count(*) filter (ord = 2) as n_hex,
+  string_agg(concat(kind, ':', a, ':', a + n), ',' order by a, ord) filter (ord < {len(BASE)}) as base, string_agg(concat(kind, ':', a, ':', a + n), ',' order by a, ord) as spans from spans group by 1)
+ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents left join joined using (doc_id)"""

@@ -5,8 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factloom.llm.secrets import BASE, RULES, find_secrets, op3_secret_scan, redact
-from factloom.llm.trigrams import trigram_query
+from factloom.llm.secrets import BASE, RULES, candidates, find_secrets, op3_secret_scan, postings, redact
+from factloom.llm.trigrams import trigram_query, trigrams_of
 
 WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 PLAIN = {
@@ -86,3 +86,42 @@ def test_query_equals_plain_search_on_the_table(spark, sf):
 def test_main_path_is_native(spark, sf):
     plan = op3_secret_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_oracle_on_cases(spark, make_docs, tmp_path):
+    import duckdb
+
+    from factloom.llm.registry import ORACLES
+
+    make_docs(list(enumerate(CASES)) + [(100, None), (101, ""), (102, "x " * 5000 + CASES[9])]).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.execute(ORACLES["op3_secret_scan"])
+    columns = [c[0] for c in wanted.description]
+    found = op3_secret_scan(spark, f"file://{tmp_path}").select(*columns).collect()
+    assert sorted(map(tuple, found)) == sorted(wanted.fetchall())
+
+
+def test_postings_are_keyed_by_trigram(spark, make_docs):
+    docs = make_docs(list(enumerate(CASES)) + [(2, CASES[4]), (None, CASES[0])])
+    index = postings(docs)
+    held = {}
+    for r in index.collect():
+        assert r.ids == sorted(set(r.ids))
+        for i in r.ids:
+            held.setdefault(i, set()).add(r.trigram)
+    for i, t in enumerate(CASES):
+        own = {x for rule in RULES for x in trigrams_of(trigram_query(rule.pattern))}
+        assert held.get(i, set()) >= {x for x in own if x in t.lower()}
+    kinds = {r.doc_id: set(r.kinds) for r in candidates(index).collect()}
+    for i, t in enumerate(CASES):
+        assert {k for k, _, _ in brute(t)} - {"hex"} <= kinds.get(i, set())
+
+
+def test_more_candidates_than_are_broadcast(spark, make_docs, monkeypatch):
+    from factloom.llm import secrets
+
+    docs = make_docs(list(enumerate(CASES)))
+    small = {r.doc_id: r.secrets for r in find_secrets(docs).collect()}
+    monkeypatch.setattr(secrets, "MOST_BROADCAST", 0)
+    assert {r.doc_id: r.secrets for r in find_secrets(docs).collect()} == small and find_secrets(make_docs([])).count() == 0

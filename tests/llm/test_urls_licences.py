@@ -198,6 +198,23 @@ def test_spellings(spark, make_docs):
     assert [r.n for r in rows] == ["the license licensed sublicense", "while organization s favor", "copyright holders stay"]
 
 
+def test_licence_oracle(spark, sf, make_docs, tmp_path):
+    import duckdb
+
+    from factloom.llm.registry import ORACLES
+
+    planted = [(10**6 + k, t + "\n\nCopyright 2020 Some One") for k, (_, t) in enumerate(TEXTS)] + [(2 * 10**6, f"a\n{NOTICES[0][1].upper()}\nAll rights reserved.\n{NOTICES[1][1]}"), (3 * 10**6, None)]
+    both = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(make_docs(planted).select("doc_id", "text"))
+    both.write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.execute(ORACLES["op6_licence_digests"])
+    columns = [c[0] for c in wanted.description]
+    found = op6_licence_digests(spark, f"file://{tmp_path}").select(*columns).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(wanted.fetchall(), key=str)
+    assert sum(r.licence is not None for r in found) == len(TEXTS)
+
+
 def test_licence_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op6_licence_digests(spark, sf).collect()
