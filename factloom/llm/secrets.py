@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.trigrams import Query, trigram_query, trigrams_of
+from factloom.llm.trigrams import Query, narrowed, trigram_query, trigrams_of
 from factloom.llm.workspace import partitions, write_table
 
 
@@ -60,9 +60,9 @@ MOST_BROADCAST = 100_000  # candidate rows, of some 60 bytes each
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """bucket, trigram and ids (sorted): the inverted index of the trigrams that the rules' queries name."""
-    wanted = sorted(set().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
+    wanted = sorted(set().union(*(trigrams_of(narrowed(trigram_query(r.pattern))) for r in rules)))
     low = docs.filter("doc_id is not null and text is not null").select("doc_id", F.lower("text").alias("low"))
-    present = F.filter(F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>"), lambda t: F.contains(F.col("low"), t))
+    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted])) if wanted else F.array().cast("array<string>")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS * partitions(docs.sparkSession))).cast("int")
     each = low.select(bucket.alias("bucket"), "doc_id", F.explode(present).alias("trigram"))
     return each.groupBy("bucket", "trigram").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
@@ -78,7 +78,7 @@ def _answer(query: Query, lists: str) -> Column:
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and kinds: the rules whose trigram query the postings satisfy."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
+    queries = {r.kind: narrowed(q) for r in rules if (q := trigram_query(r.pattern)) is not True}
     lists = index.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("trigram", F.col("ids").cast("array<bigint>")))).alias("lists"))
     left = [F.struct(F.lit(kind).alias("kind"), _answer(q, "lists").alias("ids")) for kind, q in queries.items()]
     found = lists.select(F.explode(F.array(*left)).alias("x")).select("x.kind", F.explode("x.ids").alias("doc_id"))

@@ -131,3 +131,23 @@ def trigrams_of(query: Query) -> set[str]:
     if query is True:
         return set()
     return {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1]))
+
+_COMMON = "etaoinshrdlucmfwypvbgkjqxz "
+
+
+def narrowed(query: Query, most: int = 2) -> Query:
+    """A weaker query of fewer trigrams: of what must all hold, the ``most`` parts of the rarest letters stay.
+
+    What satisfies the query satisfies this one too, and the index holds fewer postings.
+    """
+    if not isinstance(query, tuple):
+        return query
+    parts = [narrowed(q, most) for q in query[1]]
+    if query[0] == "or":
+        return either(*parts)
+
+    def rarity(q: Query) -> tuple[int, str]:
+        found = sorted(trigrams_of(q))
+        return -min((sum(_COMMON.find(c) if c in _COMMON else 30 for c in t) for t in found), default=0), str(found)
+
+    return both(*sorted(parts, key=rarity)[:most])
