@@ -27,6 +27,7 @@ RANGES = {
 
 @dataclass(frozen=True)
 class Config:
+    # The settings' names, and their defaults.
     llm_base_url: str = "http://127.0.0.1:20128/v1"
     llm_model: str = ""
     llm_api_key_env: str = ""
@@ -48,9 +49,9 @@ class Config:
     def __post_init__(self) -> None:
         for name, value in asdict(self).items():
             if isinstance(getattr(Config, name), str) and not isinstance(value, str):
-                raise ValueError(f"{name} must be a string")
+                raise ValueError(f"{name}: text expected")
         if not isinstance(self.keep_change_history, bool):
-            raise ValueError("keep_change_history must be true or false")
+            raise ValueError("keep_change_history: a truth value expected")
         for name, (low, high) in RANGES.items():
             value = getattr(self, name)
             try:
@@ -58,7 +59,7 @@ class Config:
             except (TypeError, ValueError):
                 fits = False
             if not fits:
-                raise ValueError(f"{name} must be a number from {low} to {high}")
+                raise ValueError(f"{name}: {low} to {high} expected")
         for name in ("llm_api_key_env", "embedding_api_key_env"):
             if (value := getattr(self, name)) and not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]{0,127}", value):
                 raise ValueError(f"{name} is no name of an environment variable")
@@ -70,13 +71,13 @@ class Config:
         if not path.exists():
             return cls()
         if path.stat().st_size > MOST_BYTES:
-            raise ValueError("the settings exceed the size limit")
+            raise ValueError(f"more than {MOST_BYTES} bytes of settings")
         try:
             raw = json.loads(path.read_text("utf-8"))
         except (ValueError, RecursionError) as e:
-            raise ValueError("the settings are no valid JSON") from e
+            raise ValueError("settings that can't be parsed") from e
         if not isinstance(raw, dict):
-            raise ValueError("the settings must be a JSON object")
+            raise ValueError("settings without names")
         known = {f.name for f in fields(cls)}
         return cls(**{k: "" if isinstance(v, str) and v.strip().upper().startswith("YOUR_") else v for k, v in raw.items() if k in known})
 
