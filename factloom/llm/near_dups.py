@@ -261,7 +261,8 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor =
     held = held.groupBy("n", "x", "y").agg(F.min(F.struct("home", "main", "w")).alias("g")).select("n", "g.*")
 
     def blocks(n, w):
-        return F.ceil(F.greatest(n / cells.members, w / cells.shingles)).cast("long")
+        side = F.least(F.greatest(n / 2, F.lit(cells.members / 4)), F.lit(cells.members))  # more, smaller cells for groups of middle size
+        return F.ceil(F.greatest(n / side, w / cells.shingles)).cast("long")
 
     held = held.select("home", F.col("main.component").alias("main"), blocks(F.col("n"), F.col("w")).alias("rows"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("cols"))
     dealt = members.join(held, "home")
