@@ -460,5 +460,5 @@ QUERIES["reflection_bundle"] = reflection_bundle
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall over all arms, with the facts' texts."""
-    memories = project(spark, sf_dir, "memories").select("id", F.substring("content", 1, 200).alias("content"), "memory_type", "subtype")
+    memories = snapshot(spark, sf_dir, "memories").memories.select("id", "content", "memory_type", "subtype")
     return memories.join(F.broadcast(rrf_recall(spark, sf_dir)), "id").orderBy(F.desc("score"), "id")
