@@ -227,10 +227,10 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor =
     own = real.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "bits")])
     # Ids are drawn once, as the table is written.
     classes = write_table(own.select(F.monotonically_increasing_id().alias("node"), "digest", "own", "n_shingles", "bands", "bits"), "classes", fewer=4)[0]
-    keyed = write(shared_keys(classes, tensor), "keys", fewer=2)
+    keyed = write(shared_keys(classes, tensor), "keys", fewer=1)
     some = keyed.select("node").distinct().join(classes.select("node", "own.*"), "node")
     texts = docs.select("doc_id", text_hash().alias("text_hash"), "text").join(some, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"])
-    texts = write(texts.select("node", "text"), "texts", fewer=2)
+    texts = write(texts.select("node", "text"), "texts", fewer=1)
     sets = classes.select("node", "n_shingles", "bits")
 
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -247,7 +247,7 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, tensor: Tensor =
     met = met.filter("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
     wide = pairs.union(met).distinct().join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     likely = write(wide.mapInArrow(_may_link(percent), "a long, b long"), "likely", fewer=4)
-    links = write(confirmed(likely), "links", fewer=2)
+    links = write(confirmed(likely), "links", fewer=1)
     labels = write(rough_components(links), "labels")  # enough to leave out most of the grid
 
     def labelled(df: DataFrame, at: str, name: str) -> DataFrame:
