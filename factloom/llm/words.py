@@ -40,10 +40,16 @@ _PLACES = 64
 _NUMBERS = mix(np.arange(1, 1 + 256 * _PLACES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of all texts in a row, and the number of words of each text."""
+def plain_word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`word_hashes`, of words as they are."""
+    return word_hashes(texts, fold=False)
+
+
+def word_hashes(texts: list[str], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts in a row, and the number of words of each text; fold: A-Z count as a-z."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    buffer = _FOLD[np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)]
+    buffer = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
+    buffer = _FOLD[buffer] if fold else buffer
     solid = ~_SPACE[buffer]
     edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     starts, sizes = edges[::2], edges[1::2] - edges[::2]

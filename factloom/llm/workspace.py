@@ -43,6 +43,24 @@ def write_table(df: DataFrame, name: str, compression: str = "zstd", fewer: int
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def write_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """Write ``df`` under the shared folder in buckets of ``key``, as many as there are shuffle partitions: a join on
+    the key then shuffles only the other side. Gives the table read back, and its name in the catalog. ``df`` should
+    come out of a shuffle by the key, so that each bucket is one file.
+    """
+    spark = df.sparkSession
+    table = f"factloom_{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/factloom/{table}")
+    writer.bucketBy(partitions(spark), key).saveAsTable(table)
+    return spark.table(table), table
+
+
+def drop_bucketed(spark: SparkSession, table: str) -> None:
+    """Forget a table of :func:`write_bucketed` and delete its files."""
+    spark.sql(f"drop table if exists {table}")
+    drop_table(spark, f"{shared_dir(spark)}/factloom/{table}")
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table of :func:`write_table` that no pending plan reads any more."""
     jvm = spark._jvm
