@@ -7,6 +7,7 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,3 +191,46 @@ def search_many(store: Snapshot | DataFrame, queries: list[str], limit: int) ->
     rows = scored.select("id", F.explode(F.array(*scores)).alias("s")).select("s.q", "id", "s.score").filter("score > 0")
     place = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit)
+
+
+def search_for(store: Snapshot | DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """q, id, score, place: the best ``limit`` active facts for each row of ``asked`` (q, text), as :func:`search` finds
+    them; the questions are a table, not a list. Of the index only tokens that some term names, or begins, are read on.
+    """
+    store = Snapshot(memories=store) if isinstance(store, DataFrame) else store
+    shape = "array<struct<tokens: array<string>, prefix: boolean>>"
+
+    @F.pandas_udf(shape)
+    def parsed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"tokens": list(x.tokens), "prefix": x.prefix} for x in query_terms(t or "")])
+
+    wanted = asked.select("q", F.explode(parsed("text")).alias("term")).select("q", "term", F.to_json("term").alias("t")).distinct()
+    terms = wanted.select("t", "term").dropDuplicates(["t"])
+    words = terms.select("t", F.size("term.tokens").alias("size"), "term.prefix", F.posexplode("term.tokens").alias("j", "word"))
+    words = words.select("t", "size", "j", "word", (F.col("prefix") & (F.col("j") == F.col("size") - 1)).alias("begins"))
+    postings = store.postings if store.postings is not None else index_rows(store.memories)
+    lengths = sorted(r[0] for r in words.filter("begins").select(F.length("word")).distinct().collect())  # a few numbers
+    vocabulary = postings.select("token").distinct()
+    starts = vocabulary.select("token", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("token"))).alias("n"))
+    named = words.filter("not begins").select("t", "size", "j", F.col("word").alias("token"))
+    begun = starts.select("token", F.expr("substr(token, 1, n)").alias("word")).join(words.filter("begins"), "word").select("t", "size", "j", "token")
+    hits = postings.join(named.unionByName(begun), "token")
+    places = hits.groupBy("t", "size", "id", "d", "j").agg(F.flatten(F.collect_list("positions")).alias("p"))
+    moved = F.transform("p", lambda x: x - F.col("j"))
+    phrases = places.groupBy("t", "size", "id", "d").agg(F.collect_list(moved).alias("ps"))
+    common = F.aggregate(F.slice("ps", 2, F.size("ps")), F.col("ps")[0], lambda a, p: F.array_intersect(a, p))
+    tf = F.when(F.col("size") == 1, F.size(F.col("ps")[0])).when(F.size("ps") == F.col("size"), F.size(common)).otherwise(0)
+    counted = phrases.select("t", "id", "d", tf.alias("tf")).filter("tf > 0")
+    held = counted.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    if store.lexical_totals is not None and store.postings is not None:
+        totals = store.lexical_totals.select("n", (F.col("tokens") / F.col("n")).alias("avgdl")).limit(1)
+    else:
+        totals = index_totals(store.memories, postings).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
+    idf = F.log((F.col("n") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
+    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+    part = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / F.col("avgdl"))))
+    scored = counted.join(held, "t").crossJoin(F.broadcast(totals)).select("t", "id", part.alias("part"))  # one row
+    rows = wanted.select("q", "t").join(scored, "t").groupBy("q", "id").agg(F.sum("part").alias("score"))
+    rows = rows.join(store.memories.filter("status = 'active'").select("id"), "id", "left_semi")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    return rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)

@@ -94,6 +94,65 @@ def similar_pairs(store: Snapshot, probes: DataFrame, provider: str, model: str,
     return cells.groupBy("row", "col").applyInArrow(compare, "probe_id string, memory_id string, similarity double")
 
 
+def _grid(asked: DataFrame, units: DataFrame) -> DataFrame:
+    """Both sides (name, unit) dealt into cells of about ``BLOCK`` by ``BLOCK`` vectors; asked: whether a row asks."""
+    rows, cols = (max(1, -(-df.count() // BLOCK)) for df in (asked, units))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")
+    left = asked.select(F.lit(True).alias("asks"), "name", "unit", place(rows).alias("row"), spread(cols).alias("col"))
+    right = units.select(F.lit(False).alias("asks"), "name", "unit", spread(rows).alias("row"), place(cols).alias("col"))
+    return left.union(right.select(*left.columns))
+
+
+def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    names, asks = np.array(cell["name"].to_pylist(), object), cell["asks"].to_numpy()
+    vectors = np.array(cell["unit"].to_pylist(), np.float64).reshape(len(names), -1)
+    return names[asks], names[~asks], vectors[asks], vectors[~asks]
+
+
+def best_for(store: Snapshot, asked: DataFrame, provider: str, model: str, dimension: int, limit: int) -> DataFrame:
+    """name, id, similarity: for each row of ``asked`` (name, unit) the best ``limit`` active facts, as for
+    :func:`top_many`. A cell gives its best rows for each name, so what leaves the cells grows with both sides' blocks,
+    not with their product."""
+
+    def best(cell: pa.Table) -> pa.Table:
+        names, others, a, b = _sides(cell)
+        order = np.argsort(others)[::-1]
+        found = a @ b[order].T if len(a) and len(b) else np.zeros((0, 0))
+        few = np.argsort(-found, axis=1, kind="stable")[:, :limit]
+        rows = np.repeat(np.arange(len(few)), few.shape[1] if len(few) else 0)
+        return pa.table({"name": pa.array(names[rows], pa.string()), "id": pa.array(others[order][few.ravel()], pa.string()), "similarity": pa.array(np.take_along_axis(found, few, 1).ravel() if len(few) else [], pa.float64())})
+
+    units = active_vectors(store, provider, model, dimension).withColumnRenamed("memory_id", "name")
+    rows = _grid(asked, units).groupBy("row", "col").applyInArrow(best, "name string, id string, similarity double")
+    place = Window.partitionBy("name").orderBy(F.desc("similarity"), F.desc("id"))
+    return rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit).drop("place")
+
+
+def near_groups(asked: DataFrame, threshold: float) -> DataFrame:
+    """name, link: rows of ``asked`` (name, unit) at ``threshold`` or above share links, directly or through others.
+
+    A cell of the grid connects its own rows and names each group by one of them: a row a name and cell, however
+    many are alike.
+    """
+
+    def groups(cell: pa.Table) -> pa.Table:
+        names, others, a, b = _sides(cell)
+        alike = a @ b.T >= threshold if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
+        alike &= names[:, None] != others[None, :] if alike.size else True
+        rows, cols = np.flatnonzero(alike.any(1)), np.flatnonzero(alike.any(0))
+        alike = alike[np.ix_(rows, cols)]
+        label, before = np.arange(len(cols)), None
+        while len(rows) and (before is None or (label != before).any()):
+            before = label
+            own = np.where(alike, label[None, :], len(cols)).min(1)
+            label = np.where(alike, own[:, None], len(cols)).min(0)
+        found = [(names[r], others[cols[k]]) for r, k in zip(rows, own)] + [(others[c], others[cols[k]]) for c, k in zip(cols, label)] if len(rows) else []
+        return pa.table({"name": pa.array([x for x, _ in found], pa.string()), "link": pa.array([x for _, x in found], pa.string())})
+
+    return _grid(asked, asked).groupBy("row", "col").applyInArrow(groups, "name string, link string").distinct()
+
+
 def stale(store: Snapshot, provider: str, model: str, force: bool = False, limit: int = 500) -> DataFrame:
     """id of active facts without a vector of this backend, the oldest first; all with ``force``."""
     active = store.memories.filter("status = 'active'").select("id", "content", "created_at")

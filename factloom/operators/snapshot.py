@@ -19,6 +19,9 @@ SCHEMAS = {
     "directives": "id string, content string, active boolean, created_at timestamp, updated_at timestamp",
 }
 
+# Recalls since the facts were last written; a store sums them when it is opened.
+RECALLS = "id string, at timestamp"
+
 # Tables made from others when these are written; a store may lack them.
 DERIVED = {
     "postings": "token string, id string, d int, positions array<int>",
@@ -41,6 +44,7 @@ class Snapshot:
     directives: DataFrame | None = None
     postings: DataFrame | None = None
     lexical_totals: DataFrame | None = None
+    version: int | None = None  # of the store that it was opened from; a commit checks it
 
     def with_(self, **tables: DataFrame) -> Snapshot:
         """With other tables; postings of facts that are replaced go, unless new ones are given."""

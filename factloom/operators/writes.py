@@ -94,6 +94,15 @@ def touch_recalled(memories: DataFrame, ids: DataFrame, now: datetime) -> DataFr
     return joined.select(*[values.get(c, F.col(c)).alias(c) for c in memories.columns])
 
 
+def with_recalls(memories: DataFrame, recalls: DataFrame) -> DataFrame:
+    """The facts with a side table of recalls (id, at) summed in: each row counts once, the latest time stays. Unknown
+    ids do nothing. Recalls are few beside the facts, so they are summed first."""
+    summed = recalls.groupBy("id").agg(F.count(F.lit(1)).alias("__n"), F.max("at").alias("__at"))
+    joined = memories.join(summed, "id", "left")
+    values = {"recall_count": (F.coalesce("recall_count", F.lit(0)) + F.coalesce("__n", F.lit(0))).cast("int"), "last_recalled_at": F.greatest("last_recalled_at", "__at")}
+    return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in memories.columns])
+
+
 def supersede(store: Snapshot, pairs: DataFrame, now: datetime) -> Snapshot:
     """Mark ``old_id`` as superseded by ``new_id``. ValueError where they are one, KeyError where either is missing."""
     rows = pairs.select("old_id", "new_id").dropDuplicates(["old_id"])

@@ -11,7 +11,6 @@ import json
 from collections import deque
 from collections.abc import Callable
 from datetime import datetime, timezone
-from itertools import islice
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from factloom.operators import maintenance, retention
-from factloom.plans.retain import TOGETHER, Decision, Retention
+from factloom.operators.folding import NOT_DURABLE
+from factloom.operators.snapshot import Snapshot
+from factloom.plans.retain import Batch, Decision, decisions, in_order, with_keys
 from factloom.sources.models import Extractor, extract_rows
 from factloom.sources.store import Store
 
@@ -64,22 +65,35 @@ def worthwhile(turns: DataFrame) -> DataFrame:
 
 
 def retain_batch(store: Store, batch: DataFrame, batch_id: str, extractor: Extractor, options: dict | None = None, policy: maintenance.Policy | None = None, now: Callable[[], datetime] | None = None) -> list[Decision]:
-    """Extract on the executors, decide in the order of (session, seq, place), commit, then clean up if due."""
-    if batch_id in store.manifest()["batches"]:
+    """Extract and decide on the executors, in the order of (session, seq, place), commit, then clean up if due; the
+    decisions, for a host whose queue bounds them. A stream uses :func:`retained` and collects nothing."""
+    if store.has_batch(batch_id):
         return []
+    told, engine = retained(store, batch, batch_id, extractor, options, policy, now)
+    try:
+        return decisions(told)
+    finally:
+        engine.discard()
+
+
+def retained(store: Store, batch: DataFrame, batch_id: str, extractor: Extractor, options: dict | None = None, policy: maintenance.Policy | None = None, now: Callable[[], datetime] | None = None) -> tuple[DataFrame, Batch]:
+    """The outcomes as a table, after the commit; whoever has read it discards the batch's tables. If another writer
+    commits meanwhile, the extracted facts are decided again on its version."""
     at = (now or (lambda: datetime.now(timezone.utc)))()
     payloads = extract_rows(worthwhile(batch), extractor, ["session_id", "seq"]).withColumnRenamed("seq", "turn")
     facts = retention.parse_extractions(payloads.filter("payload is not null").select("session_id", "turn", "payload"))
-    engine = Retention(store.open(), at, **(options or {}))
-    # At most 32 facts a turn, for the turns of one batch; they are read in order, a partition at a time.
-    rows = (row.asDict(recursive=True) for row in facts.orderBy("session_id", "turn", "seq").toLocalIterator())
-    decisions: list[Decision] = []
-    while some := list(islice(rows, TOGETHER)):
-        decisions += engine.retain_all([(item, f"turn:{item.pop('session_id')}") for item in some])
-    new, changed = engine.result()
-    store.commit(new, changed, batch=batch_id)
+    engine = Batch(store.open(), at, **(options or {}))
+    shaped = facts.withColumn("source", F.concat(F.lit("turn:"), "session_id")).withColumn("refused", F.when(~F.col("durable"), F.lit(NOT_DURABLE)))
+    placed = with_keys(in_order(shaped, engine.keep, "session_id", "turn", "seq"))
+
+    def decided(now: Snapshot) -> tuple[DataFrame, Snapshot, list[str]]:
+        engine.store = now
+        told = engine.outcomes(placed)
+        return told, *engine.applied(placed, told)
+
+    told = store.change(decided, batch=batch_id)
     clean_up(store, policy or maintenance.Policy(), at)
-    return decisions
+    return told, engine
 
 
 def clean_up(store: Store, policy: maintenance.Policy, now: datetime, min_interval_hours: float = 6.0, force: bool = False) -> dict | None:
@@ -99,7 +113,9 @@ def retain_stream(turns: DataFrame, store: Store, extractor: Extractor, checkpoi
     """A writer that retains each micro-batch; ``start()`` it."""
 
     def each(batch: DataFrame, number: int) -> None:
-        retain_batch(store, batch, f"{checkpoint}#{number}", extractor, options, policy)
+        name = f"{checkpoint}#{number}"
+        if not store.has_batch(name):
+            retained(store, batch, name, extractor, options, policy)[1].discard()
 
     return turns.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 

@@ -7,7 +7,7 @@ import re
 from datetime import datetime, timezone
 
 from factloom.operators.snapshot import SCHEMAS, Snapshot
-from factloom.sources.judging import Judgement, Verdict
+from factloom.sources.judging import Ruling
 
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
@@ -61,7 +61,7 @@ class ScriptedJudge:
         self.seen.append([c["content"] for c in candidates])
         if self.error:
             raise self.error
-        return Judgement(tuple(Verdict(c["id"], self.relation) for c in candidates), self.merged)
+        return Ruling.of({c["id"]: self.relation for c in candidates}, self.merged)
 
 
 def fact(content, **more):
