@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.plans import retain
 from factloom.operators import entity, fusion, listing, maintenance, retention, semantic, writes
 from factloom.plans.catalog import ALL, KEYWORDS, NOW, QUESTION, RECALL_TABLES, VECTOR, _arms, d_overlap, d_semantic, d_tokens, query, strings, with_rank
 from factloom.plans.fixtures import clauses, project, query_vector, snapshot
@@ -139,6 +140,59 @@ def dropped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.delete(table, table.filter(F.substring("memory_id", 5, 8).cast("int") % 4 == 0)).select("memory_id", "model")
 
 
+# -- retention ----------------------------------------------------------------
+
+NEW_FACTS = f"""select doc_id as place, 'doc' as source, text as content, cast(null as string) as refused, cast(null as string) as subject, cast(null as string) as predicate, cast(null as string) as object from {{documents}} where doc_id % 4 = 1
+ union all select 1000000000 + c_custkey, 'customer', concat('Statement ', cast(c_custkey as string)), case when c_custkey % 9 = 4 then 'not durable' end, c_name, case when c_custkey % 2 = 0 then 'lives_in' else 'visited' end,
+ concat('NATION_', cast((c_nationkey + c_custkey % 3) % 25 as string)) from {{customer}}"""
+
+
+def new_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sql_on(spark, sf_dir, NEW_FACTS, "documents", "customer")
+    shaped = rows.selectExpr(
+        "cast(place as long) place", "source", "content", "'world' memory_type", "'fact' subtype", "0.5D confidence", "0.5D importance", "cast(null as string) event_time", "refused",
+        f"cast(array() as array<{retain.ENTITY}>) entities", f"case when subject is null then cast(array() as array<{retain.EDGE}>) else array(named_struct('subject', subject, 'predicate', predicate, 'object', object, 'confidence', 0.5D)) end relationships",
+    )
+    return retain.with_keys(shaped)
+
+
+D_FACTS = f"f as (select *, {D_KEY.replace('text', 'content')} as key from ({plain(NEW_FACTS)}) t)"
+
+
+@query(
+    clauses("memories", "entities", "relationships", "memory_relationships", more=D_FACTS)
+    + f""", live as (select *, row_number() over (partition by normalized_content order by updated_at desc, id) as k from memories where status = 'active'),
+ docs as (select f.place, f.key, l.id, l.confidence < 0.5 or l.importance < 0.5 as poor, row_number() over (partition by f.key order by f.place) as k, min(f.place) over (partition by f.key) as first from f left join live l on l.normalized_content = f.key and l.k = 1 where f.source = 'doc'),
+ told as (select s.canonical_name as subject, r.predicate, o.canonical_name as object, m.id, m.updated_at from relationships r join entities s on s.id = subject_entity_id join entities o on o.id = object_entity_id
+  join memory_relationships on relationship_id = r.id join memories m on m.id = memory_id and m.status = 'active'),
+ clash as (select f.place, arg_min(told.id, (-epoch_us(updated_at), told.id)) as old from f join told on told.subject = f.subject and told.predicate = f.predicate and lower(told.object) <> lower(f.object) where f.predicate = 'lives_in' group by f.place)
+ select place, case when id is null and k = 1 then 'created' when id is not null and k = 1 and poor then 'updated' else 'ignored' end as action, case when id is null and k = 1 then 'new durable memory' else 'exact duplicate' end as reason,
+  coalesce(id, concat('mem_', md5(concat(key, '|{NOW:%Y-%m-%d %H:%M:%S}|', first)))) as memory_id, null as superseded_id from docs
+ union all select f.place, case when refused is not null then 'ignored' when old is null then 'created' else 'superseded' end, coalesce(refused, case when old is null then 'new durable memory' else 'replaces outdated memory' end),
+  case when refused is null then concat('mem_', md5(concat(key, '|{NOW:%Y-%m-%d %H:%M:%S}|', f.place))) end, case when refused is null then old end from f left join clash using (place) where source = 'customer'"""
+)
+def retention_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each fact of a batch does: a quarter of the documents said again, and a statement of every customer."""
+    store = snapshot(spark, sf_dir, "memories", "entities", "relationships", "memory_entities", "memory_relationships")
+    shaped = store.with_(entities=writes.shaped(store.entities, "entities"), memories=writes.shaped(store.memories, "memories"))
+    told = retain.Batch(shaped, NOW).outcomes(new_facts(spark, sf_dir))
+    return told.filter("kind = 'fact'").select("place", "action", "reason", "memory_id", F.get("replaced", F.lit(0)).alias("superseded_id"))
+
+
+RECALLED = "select concat('mem_', lpad(cast(user_id as string), 8, '0')) as id, ts from {events} where event_type = 'view'"
+
+
+@query(
+    clauses("memories", more=f"r as (select id, count(*) as n, max(ts) as latest from ({plain(RECALLED)}) t group by id)")
+    + "select m.id, cast(recall_count + coalesce(n, 0) as int) as recall_count, strftime(latest, '%Y-%m-%d %H:%M:%S') as recalled from memories m left join r on r.id = m.id"
+)
+def recalls_summed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts with a side table of recalls summed in, as a store is opened."""
+    base = writes.shaped(project(spark, sf_dir, "memories"), "memories")
+    summed = writes.with_recalls(base, sql_on(spark, sf_dir, RECALLED, "events").withColumnRenamed("ts", "at"))
+    return summed.select("id", "recall_count", F.date_format("last_recalled_at", "yyyy-MM-dd HH:mm:ss").alias("recalled"))
+
+
 # -- entities and edges -------------------------------------------------------
 
 NAMES = """select case c_custkey % 4 when 0 then translate('nation_3', 'nation_', 'ｎａｔｉｏｎ_') when 1 then ' Nation_5' when 2 then concat('Person ', cast(c_custkey % 50 as string)) else concat('PERSON  ', cast(c_custkey % 50 as string)) end as canonical_name,
