@@ -49,20 +49,27 @@ def purge(store: Snapshot, ids: DataFrame) -> Snapshot:
     gone_id = gone.withColumnRenamed("memory_id", "id")
     kept = store.memories.join(gone_id, "id", "left_anti")
     if "superseded_by" in kept.columns:
-        named = gone.select(F.col("memory_id").alias("superseded_by"), F.lit(True).alias("__gone"))
-        kept = kept.join(named, "superseded_by", "left").withColumn("superseded_by", F.when(F.col("__gone").isNull(), F.col("superseded_by"))).select(*store.memories.columns)
+        kept = _without_names(kept, "superseded_by", gone)
     out["memories"] = kept
     for table in ("memory_entities", "memory_relationships", "memory_embeddings", "temporal_events"):
         if (df := getattr(store, table)) is not None:
             out[table] = df.join(gone, "memory_id", "left_anti").select(*df.columns)
     if (events := store.retention_events) is not None:
         for column in [c for c in ("memory_id", "superseded_id") if c in events.columns]:
-            named = gone.select(F.col("memory_id").alias(column), F.lit(True).alias("__gone"))
-            events = events.join(named, column, "left").withColumn(column, F.when(F.col("__gone").isNull(), F.col(column))).select(*store.retention_events.columns)
+            events = _without_names(events, column, gone)
         out["retention_events"] = events
     return store.with_(**out)
 
 
+def _without_names(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """``df`` with null where ``column`` names a fact that goes. Rows that name none, often most, are dealt by their own
+    id and meet nothing, so they don't gather in one task."""
+    key = F.coalesce(F.col(column), F.concat(F.lit("\u0000"), F.col("id").cast("string")))
+    named = gone.select(F.col("memory_id").alias("__key"), F.lit(True).alias("__gone"))
+    joined = df.withColumn("__key", key).join(named, "__key", "left")
+    return joined.withColumn(column, F.when(F.col("__gone").isNull(), F.col(column))).select(*df.columns)
+
+
 def orphan_relationships(store: Snapshot) -> DataFrame:
     held = store.memory_relationships.select(F.col("relationship_id").alias("id"))
     return store.relationships.join(held, "id", "left_anti").select("id")

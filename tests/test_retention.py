@@ -187,3 +187,21 @@ def test_an_old_replay_of_a_stream_is_known(spark, tmp_path):
         store.commit(filled(spark, store.open(), f"f{number}"), ["memories"], batch=f"stream#{number}")
     assert [store.has_batch(f"stream#{k}") for k in range(4)] == [True, True, True, False] and not store.has_batch("other#0")
     assert store.commit(filled(spark, store.open(), "again"), ["memories"], batch="stream#0") == 3
+
+
+def test_rows_that_name_no_fact_are_dealt_out(spark):
+    """Most pointers are null; the join of a purge must not bring them together."""
+    from factloom.operators import maintenance
+
+    rows = [{"id": f"m{k}", "content": "c", "superseded_by": "m1" if k % 50 == 2 else None} for k in range(400)]
+    store = store_of(spark, memories=rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = maintenance.purge(store, spark.createDataFrame([("m1",), ("m7",)], "id string")).memories
+        dealt = left.select("superseded_by", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [sum(r.p == p for r in dealt) for p in {r.p for r in dealt}]
+    assert len(dealt) == 398 and all(r.superseded_by is None for r in dealt) and max(sizes) < 200
