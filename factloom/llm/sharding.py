@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.workspace import gapless_rank, write_table
+from factloom.llm.ranks import digits_of, radix_ranks
+from factloom.llm.workspace import write_table
 
 
 @dataclass(frozen=True)
@@ -84,12 +85,13 @@ def shard_documents(docs: DataFrame, leaves: list[Leaf], more: list[Leaf] | None
 
     more: the tree of ``grown_shard``, by default with one shard added. A null text has no bytes. Repeated
     rows share a shard and get slots of their own; an empty table gives no rows. Texts are read once and
-    never shuffled: their sizes and places are written, and rows are dealt out by where they stand there,
-    so neither a null nor a repeated doc_id gathers in one task.
+    never shuffled: their sizes and places are written. A slot is the row's rank in its shard by doc_id and text_crc32,
+    from histograms of digits, so the rows alone decide it and neither a null nor a repeated doc_id gathers in one task.
     """
     sized = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     placed = sized.withColumn("shard", place(F.col("doc_id"), leaves)).withColumn("grown_shard", place(F.col("doc_id"), more or grown(leaves)))
-    return gapless_rank(write_table(placed, "placed")[0], "shard", [F.col("doc_id"), F.col("text_crc32")], "slot")
+    digits = F.concat(digits_of(F.col("doc_id")), F.lpad(F.hex("text_crc32"), 8, "0"), digits_of(F.col("size")))
+    return radix_ranks(write_table(placed, "placed")[0], "shard", digits, "slot")
 
 
 def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,11 @@ def test_query_equals_plain_descent(spark, sf):
     assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
     assert {r.law for r in rows} == {"key"} and {r.shard for r in rows} <= set(range(24))
     assert all(r.grown_shard in (r.shard, 24) for r in rows)
+
+
+def test_two_runs_give_equal_slots(spark, sf, make_docs):
+    runs = [sorted(map(tuple, op2_hash_tree_shards(spark, sf).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
+    docs = make_docs([(None, f"t{k % 9}") for k in range(60)] + [(k % 5, "same") for k in range(60)])
+    again = [sorted(map(repr, shard_documents(d, tree(3, 1, 1)).collect())) for d in (docs, docs.repartition(3))]
+    assert again[0] == again[1]
