@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.segments import chunks, encoder
-from factloom.llm.workspace import gapless_rank, write_table
+from factloom.llm.ranks import digits_of, radix_ranks
+from factloom.llm.workspace import write_table
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -120,7 +121,9 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns = [batch.column(k) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(own[:, 2] + rank - own[:, 1], pa.int64()), pa.array(own[:, 3], pa.int64())], [f.name for f in list(batch.schema)[:5]] + ["sequence_id", "offset"])
 
-    ranked = gapless_rank(pieces, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank")
+    # Ranks by what a piece is, not by where it stands, so every run places it alike.
+    digits = F.concat(digits_of(F.col("doc_id")), digits_of(F.col("piece")), F.lpad(F.hex("ids_crc32"), 8, "0"), digits_of(F.col("start")))
+    ranked = radix_ranks(pieces, "length", digits, "rank")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
     return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 

@@ -145,3 +145,8 @@ def test_packed_sequences_are_gapless(spark, edge):
             assert any((r.length, r.ids_crc32) == (len(part), zlib.crc32(part.tobytes())) for r in by_doc[row.doc_id, piece, at])
             seen += 1
     assert seen == len(rows)
+
+
+def test_two_runs_place_pieces_alike(spark, sf):
+    runs = [sorted(map(tuple, op10_best_fit_packing(spark, sf).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
