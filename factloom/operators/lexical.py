@@ -96,6 +96,12 @@ def index_rows(memories: DataFrame) -> DataFrame:
     return words.groupBy("token", "id", "d").agg(F.array_sort(F.collect_list(F.col("c") * GAP + F.col("i"))).alias("positions"))
 
 
+def token_count(memories: DataFrame) -> Column:
+    """The index tokens of a fact, as ``d`` of its postings."""
+    columns = [F.size(index_tokens(F.coalesce(F.col(c), F.lit("")))) for c in INDEXED if c in memories.columns]
+    return reduce(lambda a, b: a + b, columns)
+
+
 def in_token_order(postings: DataFrame, parts: int) -> DataFrame:
     return postings.repartitionByRange(parts, "token", "id").sortWithinPartitions("token", "id")
 
@@ -128,7 +134,7 @@ def _from_postings(store: Snapshot, terms: list[Term]) -> tuple[DataFrame, DataF
 
     counted = found.select("id", "d", *[F.col(f"tf{k}") if len(t.tokens) == 1 else phrase(k, t).alias(f"tf{k}") for k, t in enumerate(terms)])
     counts = counted.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
-    totals = store.lexical_totals.select("n", (F.col("tokens") / F.col("n")).alias("avgdl")).limit(1)
+    totals = store.lexical_totals.select("n", F.try_divide("tokens", "n").alias("avgdl")).limit(1)
     return counted.join(store.memories.select("id", "status"), "id"), totals.crossJoin(counts)  # one row each
 
 
@@ -223,9 +229,9 @@ def search_for(store: Snapshot | DataFrame, asked: DataFrame, limit: int) -> Dat
     counted = phrases.select("t", "id", "d", tf.alias("tf")).filter("tf > 0")
     held = counted.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     if store.lexical_totals is not None and store.postings is not None:
-        totals = store.lexical_totals.select("n", (F.col("tokens") / F.col("n")).alias("avgdl")).limit(1)
+        totals = store.lexical_totals.select("n", F.try_divide("tokens", "n").alias("avgdl")).limit(1)
     else:
-        totals = index_totals(store.memories, postings).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
+        totals = index_totals(store.memories, postings).select("n", F.try_divide("tokens", "n").alias("avgdl"))
     idf = F.log((F.col("n") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     part = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / F.col("avgdl"))))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.plans import retain
-from factloom.operators import entity, fusion, listing, maintenance, retention, semantic, writes
-from factloom.plans.catalog import ALL, KEYWORDS, NOW, QUESTION, RECALL_TABLES, VECTOR, _arms, d_overlap, d_semantic, d_tokens, query, strings, with_rank
+from factloom.operators import entity, fusion, lexical, listing, maintenance, retention, semantic, writes
+from factloom.plans.catalog import ALL, KEYWORDS, NOW, QUESTION, RECALL_TABLES, VECTOR, WORDS, _arms, d_lexical, d_overlap, d_semantic, d_tokens, query, strings, with_rank
 from factloom.plans.fixtures import clauses, project, query_vector, snapshot
+from factloom.sources.folders import shared_folder
+from factloom.sources.store import Store
 
 AT = f"timestamp '{NOW:%Y-%m-%d %H:%M:%S}'"
 NARROW = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -193,6 +197,32 @@ def recalls_summed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.select("id", "recall_count", F.date_format("last_recalled_at", "yyyy-MM-dd HH:mm:ss").alias("recalled"))
 
 
+# -- postings -----------------------------------------------------------------
+
+# The facts after three commits: all of them, then a new text for those that others have taken the place of, then
+# without the deleted ones.
+REWORDED = "case when status = 'superseded' then concat('elle was here: ', content) else content end"
+
+
+@query(
+    clauses("memories").replace("memories as (", "memories_0 as (", 1).rstrip()
+    + f", memories as (select * replace ({REWORDED} as content, case when status = 'superseded' then concat('elle was here: ', normalized_content) else normalized_content end as normalized_content) from memories_0 where status <> 'deleted'), "
+    + d_lexical("lx", WORDS, 50).replace("where status = 'active' and (", "where (")
+    + " select id, round(score, 6) as score from lx"
+)
+def lexical_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over facts of every status, from the segments and the log that three commits have left."""
+    store = Store(spark, f"{shared_folder(spark)}/segments-{uuid4().hex}")
+    facts = writes.shaped(snapshot(spark, sf_dir, "memories").memories, "memories")
+    store.commit(store.open().with_(memories=facts), ["memories"])
+    now = store.open()
+    reworded = now.memories.withColumns({c: F.when(F.col("status") == "superseded", F.concat(F.lit("elle was here: "), F.col(c))).otherwise(F.col(c)) for c in ("content", "normalized_content")})
+    store.commit(now.with_(memories=reworded), ["memories"])
+    now = store.open()
+    store.commit(now.with_(memories=now.memories.filter("status <> 'deleted'")), ["memories"])
+    return lexical.search(store.open(), WORDS, 50, include_inactive=True).select("id", F.round("score", 6).alias("score"))
+
+
 # -- entities and edges -------------------------------------------------------
 
 NAMES = """select case c_custkey % 4 when 0 then translate('nation_3', 'nation_', 'ｎａｔｉｏｎ_') when 1 then ' Nation_5' when 2 then concat('Person ', cast(c_custkey % 50 as string)) else concat('PERSON  ', cast(c_custkey % 50 as string)) end as canonical_name,
