@@ -94,19 +94,36 @@ def name_key(name: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", name).lower().split())
 
 
-def with_any_name(entities: DataFrame, names: list[str]) -> DataFrame:
-    """Entities with a name or alias of one of the normal forms. Names within ASCII are compared as they are;
-    only the others go through NFKC."""
+def key_rows(entities: DataFrame) -> DataFrame:
+    """key, id: the normal forms of all names and aliases of entities, to be made when they are written. Only names
+    beyond ASCII go through NFKC."""
+    names = entities.select("id", F.explode(_names(entities)).alias("n")).filter("n is not null")
+    folded = names.filter(F.col("n").rlike(r"[^\x00-\x7f]")).select(ingested_key("n").alias("key"), "id")
+    return names.select(normalize("n").alias("key"), "id").unionByName(folded).distinct()
+
+
+def in_key_order(keys: DataFrame, parts: int) -> DataFrame:
+    """Written like this, a lookup reads the row groups of its own keys alone."""
+    return keys.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
+
+
+def keys_of(store: Snapshot | DataFrame) -> DataFrame:
+    """key and id: the written keys of a store that has them; else made from the names."""
+    if isinstance(store, DataFrame):
+        return key_rows(store)
+    return key_rows(store.entities) if store.entity_keys is None else store.entity_keys
+
+
+def with_any_name(store: Snapshot | DataFrame, names: list[str]) -> DataFrame:
+    """Entities of a store (or a table of them) with a name or alias of one of the normal forms."""
     wanted = sorted({name_key(n) for n in names})
-    odd = F.exists(_names(entities), lambda n: n.rlike(r"[^\x00-\x7f]"))
-    plain = F.exists(_names(entities), lambda n: normalize(n).isin(wanted))
-    folded = entities.filter(odd & ~F.coalesce(plain, F.lit(False))).select(F.col("id").alias("__id"), F.explode(_names(entities)).alias("n")).filter(ingested_key("n").isin(wanted)).select("__id")
-    return entities.filter(plain).unionByName(entities.join(folded, F.col("id") == F.col("__id"), "left_semi"))
+    own = keys_of(store).filter(F.col("key").isin(wanted)).select("id")
+    return (store if isinstance(store, DataFrame) else store.entities).join(own, "id", "left_semi")
 
 
-def find_by_name(entities: DataFrame, name: str) -> DataFrame:
+def find_by_name(store: Snapshot | DataFrame, name: str) -> DataFrame:
     """The entity, by smallest id, with a name or alias that normalises to ``name``."""
-    return with_any_name(entities, [name]).orderBy("id").limit(1)
+    return with_any_name(store, [name]).orderBy("id").limit(1)
 
 
 def with_names(store: Snapshot) -> DataFrame:
@@ -127,7 +144,7 @@ def neighbors(store: Snapshot, entity_id: str, limit: int = 100) -> DataFrame:
 
 def memories_for_entity_names(store: Snapshot, names: list[str], subtype: str | None = None, limit: int = 50) -> DataFrame:
     """Active facts linked to an entity that has one of the names; the latest first."""
-    own = with_any_name(store.entities, names).select(F.col("id").alias("entity_id"))
+    own = with_any_name(store, names).select(F.col("id").alias("entity_id"))
     ids = store.memory_entities.join(own, "entity_id", "left_semi").select(F.col("memory_id").alias("id"))
     found = store.memories.filter("status = 'active'").join(ids, "id", "left_semi")
     if subtype is not None:
@@ -137,7 +154,7 @@ def memories_for_entity_names(store: Snapshot, names: list[str], subtype: str |
 
 def memories_for_signature(store: Snapshot, subject: str, predicate: str) -> DataFrame:
     """Active facts that say (subject, predicate, something), with the object's name."""
-    own = with_any_name(store.entities, [subject]).select(F.col("id").alias("subject_entity_id"))
+    own = with_any_name(store, [subject]).select(F.col("id").alias("subject_entity_id"))
     edges = store.relationships.filter(F.col("predicate") == predicate).join(own, "subject_entity_id", "left_semi")
     objects = store.entities.select(F.col("id").alias("object_entity_id"), F.col("canonical_name").alias("relationship_object"))
     named = edges.join(objects, "object_entity_id").select(F.col("id").alias("relationship_id"), "relationship_object")

@@ -26,6 +26,7 @@ RECALLS = "id string, at timestamp"
 DERIVED = {
     "postings": "token string, id string, d int, positions array<int>",
     "lexical_totals": "n bigint, tokens bigint",
+    "entity_keys": "key string, id string",
 }
 
 
@@ -44,10 +45,13 @@ class Snapshot:
     directives: DataFrame | None = None
     postings: DataFrame | None = None
     lexical_totals: DataFrame | None = None
+    entity_keys: DataFrame | None = None
     version: int | None = None  # of the store that it was opened from; a commit checks it
 
     def with_(self, **tables: DataFrame) -> Snapshot:
-        """With other tables; postings of facts that are replaced go, unless new ones are given."""
+        """With other tables; postings of facts and keys of entities that are replaced go, unless new ones are given."""
         if "memories" in tables and "postings" not in tables:
             tables |= {"postings": None, "lexical_totals": None}
+        if "entities" in tables and "entity_keys" not in tables:
+            tables |= {"entity_keys": None}
         return replace(self, **tables)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import normalize
 from factloom.functions.vectors import is_valid, unit
-from factloom.operators import lexical
+from factloom.operators import entity, lexical
 from factloom.operators.snapshot import Snapshot
 from factloom.sources.folders import shared_folder
 
@@ -63,10 +63,10 @@ _WRITTEN: dict[tuple, str] = {}
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of a store of all projections, with the facts' postings; written at the first call.
+    """The folder of a store of all projections, with the facts' postings and the entities' keys; written at the first call.
 
     As a store does when facts come in, this makes what depends on single rows alone: normalised texts,
-    unit vectors, postings. It is written anew in each session, and where the inputs' files have changed.
+    unit vectors, postings, keys of names. It is written anew in each session, and where the inputs' files have changed.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -83,15 +83,16 @@ def ingested(spark: SparkSession, sf_dir: str) -> str:
             project(spark, sf_dir, name).write.parquet(f"{root}/{name}")
         memories = spark.read.parquet(f"{root}/memories")
         lexical.in_token_order(lexical.index_rows(memories), parts).write.parquet(f"{root}/postings")
+        entity.in_key_order(entity.key_rows(spark.read.parquet(f"{root}/entities")), parts).write.parquet(f"{root}/entity_keys")
         lexical.index_totals(memories, spark.read.parquet(f"{root}/postings")).write.parquet(f"{root}/lexical_totals")
         _WRITTEN[key] = root
     return _WRITTEN[key]
 
 
 def snapshot(spark: SparkSession, sf_dir: str, *tables: str) -> Snapshot:
-    """The ingested store with the named tables, or all, and its postings."""
+    """The ingested store with the named tables, or all, with its postings and keys."""
     root = ingested(spark, sf_dir)
-    names = [*(tables or STORED), *(("postings", "lexical_totals") if not tables or "memories" in tables else ())]
+    names = [*(tables or STORED), *(("postings", "lexical_totals") if not tables or "memories" in tables else ()), *(("entity_keys",) if not tables or "entities" in tables else ())]
     return Snapshot(**{n: spark.read.parquet(f"{root}/{n}") for n in names})
 
 

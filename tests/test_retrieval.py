@@ -51,7 +51,7 @@ def test_entities(store):
     assert found == {"e1": 12, "e2": 11}
     assert ids(entity.arm(store, "obsidian settings")) == ["m0"]
     assert {(r.q, r.entity_id): r.score for r in entity.match_many(store.entities, ["acme", "the", "pune india"]).collect()} == {(0, "e1"): 11, (2, "e2"): 11, (2, "e4"): 11}
-    assert ids(entity.find_by_name(store.entities, "  ACME ")) == ["e1"]
+    assert ids(entity.find_by_name(store, "  ACME ")) == ids(entity.find_by_name(store.entities, "  ACME ")) == ["e1"]
     assert [r.object_name for r in entity.neighbors(store, "e2").collect()] == ["Pune", "India"]
     assert ids(entity.memories_for_entity_names(store, ["acme"])) == ["m4"]
 
