@@ -67,6 +67,16 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _case_folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+
+def sort_key(name: Column | str) -> Column:
+    """What names are ordered by, whatever their case and compatibility forms."""
+    return _case_folded(name)
+
+
 @F.pandas_udf(T.StringType())
 def strip_marks(texts: pd.Series) -> pd.Series:
     """Lower case without combining marks, the folding of the lexical index."""

@@ -16,8 +16,8 @@ from factloom.operators.snapshot import Snapshot
 BLOCK = 4096  # vectors of one side of a block of comparisons
 
 
-def active_vectors(store: Snapshot, provider: str, model: str, dimension: int) -> DataFrame:
-    """memory_id and unit vector of active facts; rows of another backend or size, or broken ones, are left out.
+def stored_vectors(store: Snapshot, provider: str, model: str, dimension: int, include_inactive: bool = False) -> DataFrame:
+    """memory_id and unit vector of active facts, or of all; rows of another backend or size, or broken ones, are left out.
 
     Unit vectors are stored with the embeddings when these are written; only rows without one make it here.
     """
@@ -25,19 +25,19 @@ def active_vectors(store: Snapshot, provider: str, model: str, dimension: int) -
     stored = "unit" in own.columns
     own = own.filter((F.col("unit").isNotNull() if stored else F.lit(False)) | is_valid(F.col("vector")))
     made = unit(F.col("vector"))
-    active = store.memories.filter("status = 'active'").select(F.col("id").alias("memory_id"))
-    return own.join(active, "memory_id", "left_semi").select("memory_id", (F.when(F.col("unit").isNotNull(), F.col("unit")).otherwise(made) if stored else made).alias("unit"))
+    facts = store.memories if include_inactive else store.memories.filter("status = 'active'")
+    return own.join(facts.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("memory_id", (F.when(F.col("unit").isNotNull(), F.col("unit")).otherwise(made) if stored else made).alias("unit"))
 
 
-def top(store: Snapshot, vector: list[float], provider: str, model: str, limit: int = 20, min_score: float = -1.0) -> DataFrame:
-    """id and similarity of the best facts. The cut at ``limit`` (1 to 200) prefers larger ids among
+def top(store: Snapshot, vector: list[float], provider: str, model: str, limit: int = 20, min_score: float = -1.0, include_inactive: bool = False) -> DataFrame:
+    """id and similarity of the best active facts, or of facts of every status. The cut at ``limit`` (1 to 200) prefers larger ids among
     equals; what is left is ordered by similarity, importance, confidence (falling) and id.
 
     Ids and scores alone go through the top-k; the facts' columns are joined to its few rows.
     """
     query = checked(vector)
     literal = unit(F.array(*map(F.lit, query)))
-    scored = active_vectors(store, provider, model, len(query)).select(F.col("memory_id").alias("id"), dot(F.col("unit"), literal).alias("similarity"))
+    scored = stored_vectors(store, provider, model, len(query), include_inactive).select(F.col("memory_id").alias("id"), dot(F.col("unit"), literal).alias("similarity"))
     best = scored.orderBy(F.desc("similarity"), F.desc("id")).limit(clamp(limit, 200)).filter(F.col("similarity") >= min_score)
     found = store.memories.join(F.broadcast(best), "id")  # at most 200 rows
     return found.select("id", "similarity", "importance", "confidence").orderBy(F.desc("similarity"), F.desc("importance"), F.desc("confidence"), "id")
@@ -63,7 +63,7 @@ def top_many(store: Snapshot, vectors: dict[int, list[float]], provider: str, mo
             columns = [np.repeat([names], len(few), 0).ravel(), ids[few].ravel(), np.take_along_axis(found, few, 0).ravel()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64()))], ["q", "id", "similarity"])
 
-    rows = active_vectors(store, provider, model, dimension).mapInArrow(best, "q long, id string, similarity double")
+    rows = stored_vectors(store, provider, model, dimension).mapInArrow(best, "q long, id string, similarity double")
     place = Window.partitionBy("q").orderBy(F.desc("similarity"), F.desc("id"))
     return rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit).drop("place")
 
@@ -74,7 +74,7 @@ def similar_pairs(store: Snapshot, probes: DataFrame, provider: str, model: str,
     The probes are a stated set against all rows. Both sides are dealt into a grid of blocks of about ``BLOCK``
     vectors, and a cell is one matrix product in a task, from which only the pairs at the threshold come out.
     """
-    units = active_vectors(store, provider, model, dimension)
+    units = stored_vectors(store, provider, model, dimension)
     asked = units.join(probes.select("memory_id").distinct(), "memory_id", "left_semi")
     rows, cols = (max(1, -(-df.count() // BLOCK)) for df in (asked, units))
     left = asked.withColumn("row", F.pmod(F.xxhash64("memory_id"), F.lit(rows).cast("bigint"))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
@@ -123,7 +123,7 @@ def best_for(store: Snapshot, asked: DataFrame, provider: str, model: str, dimen
         rows = np.repeat(np.arange(len(few)), few.shape[1] if len(few) else 0)
         return pa.table({"name": pa.array(names[rows], pa.string()), "id": pa.array(others[order][few.ravel()], pa.string()), "similarity": pa.array(np.take_along_axis(found, few, 1).ravel() if len(few) else [], pa.float64())})
 
-    units = active_vectors(store, provider, model, dimension).withColumnRenamed("memory_id", "name")
+    units = stored_vectors(store, provider, model, dimension).withColumnRenamed("memory_id", "name")
     rows = _grid(asked, units).groupBy("row", "col").applyInArrow(best, "name string, id string, similarity double")
     place = Window.partitionBy("name").orderBy(F.desc("similarity"), F.desc("id"))
     return rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit).drop("place")

@@ -197,12 +197,14 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.neighbors(snapshot(spark, sf_dir, "entities", "relationships"), "ent_n3", 100).select("id", "predicate", "subject_name", "object_name")
 
 
-def _semantic(name: str, limit: int, floor: float):
-    sql = clauses("memories", "memory_embeddings", more=d_semantic("s", limit, floor)) + f"select id, round(similarity, 6) as similarity, row_number() over (order by {SEMANTIC_ORDER}) as rank from s"
+def _semantic(name: str, limit: int, floor: float, include_inactive: bool = False):
+    scored = d_semantic("s", limit, floor)
+    scored = scored.replace("from memories where status = 'active'", "from memories") if include_inactive else scored
+    sql = clauses("memories", "memory_embeddings", more=scored) + f"select id, round(similarity, 6) as similarity, row_number() over (order by {SEMANTIC_ORDER}) as rank from s"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         store = snapshot(spark, sf_dir, "memories", "memory_embeddings")
-        hits = semantic.top(store, query_vector(spark, sf_dir, VECTOR), "fixture", "m1", limit, floor)
+        hits = semantic.top(store, query_vector(spark, sf_dir, VECTOR), "fixture", "m1", limit, floor, include_inactive)
         return with_rank(hits, F.desc("similarity"), F.desc("importance"), F.desc("confidence"), "id").select("id", F.round("similarity", 6).alias("similarity"), "rank")
 
     run.__name__ = name
@@ -210,6 +212,7 @@ def _semantic(name: str, limit: int, floor: float):
 
 
 semantic_topk, semantic_min_score = _semantic("semantic_topk", 20, -1), _semantic("semantic_min_score", 200, 0.2)
+semantic_any_status = _semantic("semantic_any_status", 50, -1, include_inactive=True)
 
 
 @query(

@@ -229,6 +229,13 @@ NAMES = """select case c_custkey % 4 when 0 then translate('nation_3', 'nation_'
  'person' as entity_type, array(' b ', 'a', 'b', '') as aliases, c_custkey as seq from {customer}"""
 
 
+@query(clauses("entities") + "select id, lower(canonical_name) as sort_key from entities")
+def name_sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What entities' names are ordered by, from their full-width forms."""
+    names = snapshot(spark, sf_dir, "entities").entities
+    return names.select("id", text.sort_key(F.translate("canonical_name", NARROW, WIDE)).alias("sort_key"))
+
+
 @query(
     clauses("entities", more="known as (select lower(canonical_name) as k from entities), new as (select case c_custkey % 4 when 0 then 'nation_3' when 1 then 'nation_5' else concat('person ', c_custkey % 50) end as k, case c_custkey % 4 when 2 then concat('Person ', c_custkey % 50) else concat('PERSON  ', c_custkey % 50) end as n, c_custkey as seq from customer)")
     + "select id, canonical_name, entity_type, null as aliases from entities union all select concat('ent_', md5(k)), arg_min(n, seq), 'person', 'a,b' from new where k not in (select k from known) group by k"

@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import html_escaped, quoted, safe_display, safe_stem
+from factloom.functions.text import html_escaped, quoted, safe_display, safe_stem, sort_key
 from factloom.operators.entity import with_names
 from factloom.operators.snapshot import Snapshot
 
@@ -106,7 +106,7 @@ def render(store: Snapshot, include_inactive: bool = False) -> DataFrame:
     entity_notes = e.select("path", F.concat(head, alias_lines, F.lit("\n---\n\n# "), safe_display(F.col("canonical_name")), _section("Relationships", F.coalesce("edges", none)), _section("Memories", F.coalesce("facts", none)), F.lit("\n")).alias("content"))
 
     names = entities.select(F.col("id").alias("entity_id"), "canonical_name", F.col("path").alias("entity_path"))
-    own = _listed(store.memory_entities.join(names, "entity_id"), "memory_id", [F.lower("canonical_name"), F.col("entity_id")], F.concat(F.lit("- "), wiki(F.col("entity_path"), F.col("canonical_name")), F.lit(" — `"), safe_display(F.col("role")), F.lit("`")), "names").withColumnRenamed("memory_id", "id")
+    own = _listed(store.memory_entities.join(names, "entity_id"), "memory_id", [sort_key("canonical_name"), F.col("entity_id")], F.concat(F.lit("- "), wiki(F.col("entity_path"), F.col("canonical_name")), F.lit(" — `"), safe_display(F.col("role")), F.lit("`")), "names").withColumnRenamed("memory_id", "id")
     told = store.memory_relationships.join(edges.withColumnRenamed("id", "relationship_id"), "relationship_id")
     said = _listed(told, "memory_id", [F.col("subject_name"), F.col("predicate"), F.col("object_name")], F.concat(F.lit("- "), wiki(subject, F.col("subject_name")), F.lit(" `--"), safe_display(F.col("predicate")), F.lit("→` "), wiki(object_, F.col("object_name"))), "said").withColumnRenamed("memory_id", "id")
     m = memories.join(own, "id", "left").join(said, "id", "left")
@@ -116,7 +116,7 @@ def render(store: Snapshot, include_inactive: bool = False) -> DataFrame:
     memory_notes = m.select("path", F.concat(head, F.lit("\n\n# Memory\n\n## Content\n\n<pre>\n"), html_escaped(F.col("content")), F.lit("\n</pre>"), _section("Entities", F.coalesce("names", none)), _section("Relationships", F.coalesce("said", none)), replaced, F.lit("\n")).alias("content"))
 
     many_entities, many_facts = entities.count(), memories.count()
-    entity_index = _index("Entities", entities, [F.lower("canonical_name"), F.col("id")], F.concat(F.lit("- "), wiki(F.col("path"), F.col("canonical_name"))), many_entities)
+    entity_index = _index("Entities", entities, [sort_key("canonical_name"), F.col("id")], F.concat(F.lit("- "), wiki(F.col("path"), F.col("canonical_name"))), many_entities)
     kind = F.concat(F.lit(" — `"), F.col("memory_type"), F.lit("/"), F.coalesce("subtype", F.lit("-")), F.lit("` · `"), F.col("status"), F.lit("`"))
     memory_index = _index("Memories", memories, [-F.unix_timestamp("updated_at"), F.col("id")], F.concat(F.lit("- "), wiki(F.col("path"), F.substring("content", 1, 100)), kind), many_facts)
     when = F.coalesce(time.try_cast("timestamp"), F.col("created_at"))

@@ -77,3 +77,9 @@ def test_vectors(spark):
     for bad in ([], [0.0], [float("nan")], [1.0] * 16385):
         with pytest.raises(ValueError):
             vectors.checked(bad)
+
+
+def test_sort_keys_fold_case_and_forms(spark):
+    names = ["Straße", "STRASSE", "ﬁlm", "Ａsha", "", None]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").select("k", text.sort_key("n").alias("key")).orderBy("k").collect()
+    assert [r.key for r in rows] == ["strasse", "strasse", "film", "asha", "", None]
