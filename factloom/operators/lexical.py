@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import STOPWORDS
@@ -82,18 +86,79 @@ def _hits(tokens: Column, term: Term) -> Column:
 
 
 GAP = 1 << 24  # between the positions of two columns, so that no phrase spans them
+RUN = 16_000_000  # bytes of text, about, whose tokens are put in order together
+POSTINGS = "token string, id string, d int, positions array<int>"
+_LOW = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_IN_TOKEN = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 
 
 def index_rows(memories: DataFrame) -> DataFrame:
     """token, id, d (tokens of the fact) and positions: the postings of facts, to be made when they are written.
 
-    Written in the order of tokens, a query reads the row groups of its own tokens alone.
+    All tokens of a fact are in its row, so nothing is shuffled. The rows come in runs of many facts, each in the order
+    of tokens; written like this, a query reads the pages of its own tokens from each run. ASCII has nothing to fold, so
+    its tokens are found in the bytes; other texts come with theirs.
     """
-    columns = [F.coalesce(F.col(c), F.lit("")) for c in INDEXED if c in memories.columns]
-    parts = memories.select("id", F.array(*[index_tokens(c) for c in columns]).alias("parts"))
-    length = F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p))
-    words = parts.select("id", length.alias("d"), F.posexplode("parts").alias("c", "words")).select("id", "d", "c", F.posexplode("words").alias("i", "token"))
-    return words.groupBy("token", "id", "d").agg(F.array_sort(F.collect_list(F.col("c") * GAP + F.col("i"))).alias("positions"))
+    columns = {f"c{k}": F.coalesce(F.col(c), F.lit("")) for k, c in enumerate(c for c in INDEXED if c in memories.columns)}
+    plain = {c: F.octet_length(c) == F.char_length(c) for c in columns}
+    texts = memories.select("id", *[v.alias(c) for c, v in columns.items()])
+    parts = [x for c in columns for x in (F.when(plain[c], F.col(c)).alias(c), F.when(~plain[c], index_tokens(c)).alias(f"{c}_tokens"))]
+    return texts.select("id", *parts).mapInArrow(_inverted, POSTINGS)
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = np.ones(batch.num_rows, np.int64)
+        for k in range(1, batch.num_columns, 2):
+            sizes += pa.compute.binary_length(batch.column(k)).fill_null(0).to_numpy() + 8 * pa.compute.list_value_length(batch.column(k + 1)).fill_null(0).to_numpy()
+        run = (np.cumsum(sizes) - sizes) // RUN  # of each fact
+        bounds = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for at, end in zip(bounds, bounds[1:]):
+            if end > at:
+                yield _run(batch.slice(at, end - at))
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Tokens of ASCII texts, and how many each text has."""
+    texts = pa.concat_arrays([texts.fill_null("")])  # from its own start on
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8, ends[-1])
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _IN_TOKEN[data]
+    begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    edges = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(data))]  # a token never goes from one text on to the next
+    begins[edges] = inside[edges + 1]
+    stops[edges - 1] = inside[edges]
+    begins, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    offsets = np.concatenate([[0], np.cumsum(stops - begins)]).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(_LOW[data[inside[1:-1]]]))
+    return np.diff(np.searchsorted(begins, ends)), found
+
+
+def _run(facts: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of some facts by token, then as the facts come."""
+    rows, places, words, sizes = [], [], [], np.zeros(facts.num_rows, np.int64)
+    for k in range(1, facts.num_columns, 2):
+        given = facts.column(k + 1)
+        for n, found in (_tokens(facts.column(k)), (pa.compute.list_value_length(given).fill_null(0).to_numpy().astype(np.int64), given.flatten())):
+            rows.append(np.repeat(np.arange(len(n)), n))
+            places.append((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + k // 2 * GAP).astype(np.int32))
+            words.append(found.cast(pa.string()))
+            sizes += n
+    coded = pa.concat_arrays(words).dictionary_encode()
+    by_token = pa.compute.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(by_token), np.int64)
+    rank[by_token.to_numpy()] = np.arange(len(rank))
+    key = rank[coded.indices.to_numpy()] * len(sizes) + np.concatenate(rows)
+    order = np.argsort(key, kind="stable")  # the columns stand one after the other, so positions rise
+    key = key[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    starts = np.flatnonzero(first)
+    token, row = np.divmod(key[starts], len(sizes))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(np.concatenate(places)[order]))
+    found = [coded.dictionary.take(by_token).take(pa.array(token)), facts.column(0).take(pa.array(row)), pa.array(sizes[row].astype(np.int32)), positions]
+    return pa.RecordBatch.from_arrays(found, ["token", "id", "d", "positions"])
 
 
 def token_count(memories: DataFrame) -> Column:
@@ -106,8 +171,19 @@ def in_token_order(postings: DataFrame, parts: int) -> DataFrame:
     return postings.repartitionByRange(parts, "token", "id").sortWithinPartitions("token", "id")
 
 
-def index_totals(memories: DataFrame, postings: DataFrame) -> DataFrame:
+def counted(postings: DataFrame) -> tuple[DataFrame, Observation]:
+    """Postings whose rows and tokens are known once they are written."""
+    seen, tokens = Observation(), F.coalesce(F.sum(F.size("positions")), F.lit(0)).cast("bigint")
+    return postings.observe(seen, F.count(F.lit(1)).alias("rows"), tokens.alias("tokens")), seen
+
+
+def totals_of(spark: SparkSession, n: int, tokens: int) -> DataFrame:
     """n and tokens of all facts, one row."""
+    return spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(tokens).cast("bigint").alias("tokens"))
+
+
+def index_totals(memories: DataFrame, postings: DataFrame) -> DataFrame:
+    """The same, counted from the postings."""
     tokens = postings.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).cast("bigint").alias("tokens"))
     return memories.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(tokens))  # one row each
 

@@ -19,7 +19,7 @@ from factloom.operators.snapshot import DERIVED, Snapshot
 
 FAN = 4  # parts of one size are merged when there are as many
 LEAST = 10_000  # rows; smaller parts count as of one size
-POSTINGS_A_FILE, POSTINGS_A_FACT = 1_000_000, 50  # about
+POSTINGS_A_FILE, FACTS_A_FILE = 1_000_000, 5_000  # about
 LOG = "id string, upto bigint"
 
 Write = Callable[[str, DataFrame], tuple[DataFrame, str]]  # under a name; gives the table read back and its path
@@ -65,12 +65,23 @@ def _changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("id", F.col("old").isNotNull().alias("gone"), F.col("new").isNotNull().alias("added"))
 
 
-def _segment(name: str, df: DataFrame, rows: int, version: int, write: Write) -> dict:
-    """Write about so many rows in the order of tokens as a segment."""
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table, path = write(name, lexical.in_token_order(df, max(1, min(most, -(-rows // POSTINGS_A_FILE)))))
-    sizes = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("tokens")).first()
-    return {"path": path, "born": version, "rows": sizes["rows"], "tokens": sizes["tokens"]}
+def _segment(name: str, df: DataFrame, version: int, write: Write) -> dict:
+    """Write postings as a segment."""
+    rows, seen = lexical.counted(df)
+    _, path = write(name, rows)
+    return {"path": path, "born": version, **seen.get}
+
+
+def _fresh(facts: DataFrame, n: int) -> DataFrame:
+    """The postings of n facts of a join, dealt anew so that few facts make few files."""
+    most = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lexical.index_rows(facts.repartition(max(1, min(most, -(-n // FACTS_A_FILE))), "id"))
+
+
+def _merged(spark: SparkSession, parts: list[dict], gone: list[dict]) -> DataFrame:
+    """The postings of several segments as one, in the order of tokens."""
+    most, rows = int(spark.conf.get("spark.sql.shuffle.partitions")), sum(p["rows"] for p in parts)
+    return lexical.in_token_order(live(spark, parts, gone), max(1, min(most, -(-rows // POSTINGS_A_FILE))))
 
 
 def update(before: Snapshot | None, memories: DataFrame, manifest: dict, version: int, write: Write) -> tuple[list[dict], list[dict], DataFrame] | None:
@@ -78,12 +89,9 @@ def update(before: Snapshot | None, memories: DataFrame, manifest: dict, version
     spark, n = memories.sparkSession, memories.count()
     segments, gone = parts_of(manifest)
 
-    def totals(tokens: int) -> DataFrame:
-        return spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(tokens).cast("bigint").alias("tokens"))
-
     if before is None or not segments:
-        whole = _segment("postings", lexical.index_rows(memories), n * POSTINGS_A_FACT, version, write)
-        return [whole], [], totals(whole["tokens"])
+        whole = _segment("postings", lexical.index_rows(memories), version, write)
+        return [whole], [], lexical.totals_of(spark, n, whole["tokens"])
     changes, _ = write("changes", _changed(before.memories, memories))
     counts = changes.agg(F.count_if("gone").alias("gone"), F.count_if("added").alias("added")).first()
     if not counts["gone"] and not counts["added"]:
@@ -97,12 +105,12 @@ def update(before: Snapshot | None, memories: DataFrame, manifest: dict, version
         gone = [*gone, {"path": path, "born": version, "rows": counts["gone"], "tokens": lost}]
         tokens -= lost
     if counts["added"]:
-        fresh = lexical.index_rows(memories.join(changes.filter("added"), "id", "left_semi"))
-        segments = [*segments, _segment("postings", fresh, counts["added"] * POSTINGS_A_FACT, version, write)]
+        fresh = _fresh(memories.join(changes.filter("added"), "id", "left_semi"), counts["added"])
+        segments = [*segments, _segment("postings", fresh, version, write)]
         tokens += segments[-1]["tokens"]
     merge = segments if sum(g["tokens"] for g in gone) > tokens else crowded(segments)
     while merge:
-        one = _segment(f"postings-{len(segments)}", live(spark, merge, gone), sum(m["rows"] for m in merge), version, write)
+        one = _segment(f"postings-{len(segments)}", _merged(spark, merge, gone), version, write)
         segments = [*[s for s in segments if s not in merge], one]
         gone = [g for g in gone if g["born"] > min(s["born"] for s in segments)]
         merge = crowded(segments)
@@ -111,4 +119,4 @@ def update(before: Snapshot | None, memories: DataFrame, manifest: dict, version
         table, path = write("gone-merged", log)
         one = {"path": path, "born": max(g["born"] for g in many), "rows": table.count(), "tokens": sum(g["tokens"] for g in many)}
         gone = [*[g for g in gone if g not in many], one]
-    return segments, gone, totals(tokens)
+    return segments, gone, lexical.totals_of(spark, n, tokens)
