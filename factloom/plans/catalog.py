@@ -157,7 +157,7 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(clauses("memories", more=d_lexical("lx", WORDS, 20)) + f"select id, round(score, 6) as score, row_number() over (order by {LEXICAL_ORDER}) as rank from lx")
 def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.search(snapshot(spark, sf_dir, "memories"), WORDS, 20)
+    hits = lexical.search(snapshot(spark, sf_dir, "memories", "postings"), WORDS, 20)
     return with_rank(hits, F.desc("score"), "id").select("id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -240,7 +240,7 @@ def _arms(limits: tuple[int, int, int]) -> list[str]:
 )
 def rrf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     backend = fusion.Backend("fixture", "m1", query_vector(spark, sf_dir, VECTOR))
-    found = fusion.recall(snapshot(spark, sf_dir, *RECALL_TABLES), QUESTION, 10, backend=backend)
+    found = fusion.recall(snapshot(spark, sf_dir, *RECALL_TABLES, "postings"), QUESTION, 10, backend=backend)
     return found.select("id", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
 
 
@@ -253,7 +253,7 @@ KEYWORDS = lexical.query_keywords(QUESTION)
 )
 def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     backend = fusion.Backend("fixture", "m1", query_vector(spark, sf_dir, VECTOR))
-    found = fusion.recall_for_context(snapshot(spark, sf_dir, *RECALL_TABLES), QUESTION, 6, 0.1, backend)
+    found = fusion.recall_for_context(snapshot(spark, sf_dir, *RECALL_TABLES, "postings"), QUESTION, 6, 0.1, backend)
     return found.hits.select("id", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
 
 
@@ -262,7 +262,7 @@ def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "select id, place, cast(used as bigint) as used from b where used <= 40000 and place <= 24"
 )
 def char_budget_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = snapshot(spark, sf_dir, "memories")
+    store = snapshot(spark, sf_dir, "memories", "postings")
     memories, hits = store.memories, lexical.search(store, WORDS, 24)
     pool = memories.select("id", "content").join(F.broadcast(hits), "id").withColumn("n", F.octet_length("content"))
     return listing.within_budget(pool, F.col("n"), [F.desc("score"), F.col("id")], 40_000, 24).select("id", "place", F.col("used").cast("long").alias("used"))
@@ -437,7 +437,7 @@ def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "select id, row_number() over (order by updated_at desc, id) as rank from memories where status = 'active' and subtype = 'decision' and id in (select memory_id from memory_entities join entities e on e.id = entity_id where lower(canonical_name) in ('nation_7', 'customer#000000007')) order by updated_at desc, id limit 50"
 )
 def memories_for_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = snapshot(spark, sf_dir, "memories", "entities", "memory_entities")
+    store = snapshot(spark, sf_dir, "memories", "entities", "memory_entities", "entity_keys")
     found = entity.memories_for_entity_names(store, ["Nation_7", " customer#000000007"], "decision", 50)
     return with_rank(found, F.desc("updated_at"), "id").select("id", "rank")
 
@@ -447,14 +447,14 @@ def memories_for_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "select distinct m.id, o.canonical_name as relationship_object from memories m join memory_relationships mr on mr.memory_id = m.id join relationships r on r.id = mr.relationship_id join entities s on s.id = r.subject_entity_id join entities o on o.id = r.object_entity_id where m.status = 'active' and r.predicate = 'lives_in' and lower(s.canonical_name) = 'customer#000000003'"
 )
 def memories_for_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = snapshot(spark, sf_dir, "memories", "entities", "relationships", "memory_relationships")
+    store = snapshot(spark, sf_dir, "memories", "entities", "relationships", "memory_relationships", "entity_keys")
     return entity.memories_for_signature(store, "customer#000000003", "lives_in").select("id", "relationship_object")
 
 
 def reflection_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a reflective question, cut to the bundle's budget."""
     backend = fusion.Backend("fixture", "m1", query_vector(spark, sf_dir, VECTOR))
-    bundle = reflection.build_bundle(snapshot(spark, sf_dir, *RECALL_TABLES), QUESTION, backend=backend)
+    bundle = reflection.build_bundle(snapshot(spark, sf_dir, *RECALL_TABLES, "postings"), QUESTION, backend=backend)
     return bundle.items.select("id", "place", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"), "used")
 
 

@@ -41,7 +41,7 @@ def fact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(clauses("entities") + "select id, canonical_name from entities where canonical_name = 'NATION_7'")
 def find_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By a full-width, lower-case form of its name."""
-    return entity.find_by_name(snapshot(spark, sf_dir, "entities"), " ｎａｔｉｏｎ＿７ ").select("id", "canonical_name")
+    return entity.find_by_name(snapshot(spark, sf_dir, "entities", "entity_keys"), " ｎａｔｉｏｎ＿７ ").select("id", "canonical_name")
 
 
 @query(clauses("memories", "memory_entities") + "select id, status, row_number() over (order by updated_at desc, id) as rank from memories where id in (select memory_id from memory_entities where entity_id = 'ent_n7')")
@@ -67,7 +67,7 @@ def relationships_of_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def arm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     backend = fusion.Backend("fixture", "m1", query_vector(spark, sf_dir, VECTOR))
-    return fusion.recall_for_context(snapshot(spark, sf_dir, *RECALL_TABLES), QUESTION, 6, 0.1, backend).arm_counts()
+    return fusion.recall_for_context(snapshot(spark, sf_dir, *RECALL_TABLES, "postings"), QUESTION, 6, 0.1, backend).arm_counts()
 
 
 # -- facts --------------------------------------------------------------------

@@ -32,3 +32,12 @@ def test_postings_are_those_of_the_tokens_and_nothing_is_shuffled(spark, monkeyp
         got = postings.collect()
         assert {(r.token, r.id): (r.d, r.positions) for r in got} == wanted and len(got) == len(wanted)
     assert "Exchange" not in lexical.index_rows(facts)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_query_writes_the_indexes_it_reads(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(fixtures, "_WRITTEN", {})
+    monkeypatch.setattr(fixtures, "shared_folder", lambda _: str(tmp_path))
+    store = fixtures.snapshot(spark, sf, "memories", "entities", "relationships", "memory_relationships")
+    assert store.memories.count() and store.postings is None and not os.listdir(tmp_path)
+    assert fixtures.snapshot(spark, sf, "entities", "entity_keys").entity_keys.count()
+    assert [os.listdir(tmp_path / d) for d in os.listdir(tmp_path)] == [["entity_keys"]]
