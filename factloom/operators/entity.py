@@ -162,11 +162,12 @@ def memories_for_signature(store: Snapshot, subject: str, predicate: str) -> Dat
     return store.memories.filter("status = 'active'").join(linked, "id").orderBy(F.desc("updated_at"), "id")
 
 
-def memories_for_entity(store: Snapshot, entity_id: str, include_inactive: bool = False, limit: int = 500) -> DataFrame:
+def memories_for_entity(store: Snapshot, entity_id: str, include_inactive: bool = False, limit: int | None = 500) -> DataFrame:
+    """Facts linked to an entity, the latest first, up to ``limit`` (5000 at most); with None all of them, in no order."""
     ids = store.memory_entities.filter(F.col("entity_id") == entity_id).select(F.col("memory_id").alias("id"))
     found = store.memories.join(ids, "id", "left_semi")
     found = found if include_inactive else found.filter("status = 'active'")
-    return found.orderBy(F.desc("updated_at"), "id").limit(clamp(limit, 5000))
+    return found if limit is None else found.orderBy(F.desc("updated_at"), "id").limit(clamp(limit, 5000))
 
 
 def entities_for_memory(store: Snapshot, memory_id: str) -> DataFrame:

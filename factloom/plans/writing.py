@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,13 @@ def sql_on(spark: SparkSession, sf_dir: str, statement: str, *tables: str) -> Da
     return spark.sql(statement, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
+def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Written and read back."""
+    path = f"{shared_folder(spark)}/query-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def plain(statement: str) -> str:
     return statement.replace("{", "").replace("}", "")
 
@@ -46,8 +54,10 @@ def find_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(clauses("memories", "memory_entities") + "select id, status, row_number() over (order by updated_at desc, id) as rank from memories where id in (select memory_id from memory_entities where entity_id = 'ent_n7')")
 def facts_of_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = entity.memories_for_entity(snapshot(spark, sf_dir, "memories", "memory_entities"), "ent_n7", include_inactive=True, limit=5000)
-    return with_rank(found, F.desc("updated_at"), "id").select("id", "status", "rank")
+    """All of them: ranks are counted by range, not in one task."""
+    found = entity.memories_for_entity(snapshot(spark, sf_dir, "memories", "memory_entities"), "ent_n7", include_inactive=True, limit=None)
+    placed = retain.in_order(found.select("id", "status", "updated_at"), partial(_kept, spark), F.desc("updated_at"), F.col("id"))
+    return placed.select("id", "status", (F.col("place") + 1).cast("int").alias("rank"))
 
 
 @query(clauses("entities", "memory_entities") + "select id, canonical_name, role from memory_entities join entities on id = entity_id where memory_id = 'mem_00000006'")

@@ -41,3 +41,16 @@ def test_a_query_writes_the_indexes_it_reads(spark, sf, monkeypatch, tmp_path):
     assert store.memories.count() and store.postings is None and not os.listdir(tmp_path)
     assert fixtures.snapshot(spark, sf, "entities", "entity_keys").entity_keys.count()
     assert [os.listdir(tmp_path / d) for d in os.listdir(tmp_path)] == [["entity_keys"]]
+
+
+def test_all_facts_of_an_entity(spark, monkeypatch):
+    n = 6001
+    at = F.lit(datetime(2024, 1, 1)) + F.make_interval(hours=(F.col("id") % 50).cast("int"))
+    facts = spark.range(n).select(F.format_string("mem_%08d", "id").alias("id"), F.lit("active").alias("status"), at.alias("updated_at"))
+    links = facts.select(F.col("id").alias("memory_id"), F.lit("ent_n7").alias("entity_id"), F.lit("mentioned").alias("role"))
+    store = store_of(spark).with_(memories=facts, memory_entities=links)
+    assert entity.memories_for_entity(store, "ent_n7", True, 9999).count() == 5000
+    monkeypatch.setattr(writing, "snapshot", lambda *_: store)
+    got = [r.id for r in writing.facts_of_entity(spark, "").orderBy("rank").collect()]
+    first = datetime(2024, 1, 1)
+    assert got == sorted((f"mem_{k:08d}" for k in range(n)), key=lambda i: (first - timedelta(hours=int(i[4:]) % 50), i))
