@@ -131,13 +131,19 @@ def prefix_overlap(terms: Column, text: Column | str) -> Column:
 
     Only the terms lose a final s; the words of the text don't.
     """
-    words = F.array_distinct(tokenize(text))
-
-    def hit(term: Column) -> Column:
-        s = stem(term)
-        return F.exists(words, lambda w: F.startswith(w, s) | ((F.length(w) >= 4) & F.startswith(s, w)))
-
-    return F.size(F.filter(terms, hit))
+    none = F.array().cast("array<string>")
+
+    def hit(words: Column, s: Column) -> Column:
+        """words: those of the text with a space before and after each; so what begins one is found by a plain search."""
+        ends = F.when(F.length(s) > 4, F.sequence(F.lit(4), F.length(s) - 1))
+        whole = F.exists(ends, lambda k: F.contains(words, F.concat(F.lit(" "), F.substring(s, F.lit(1), k), F.lit(" "))))
+        near = F.contains(words, F.concat(F.lit(" "), F.substring(s, 1, 4)))  # else neither
+        return ~F.contains(s, F.lit(" ")) & near & (F.contains(words, F.concat(F.lit(" "), s)) | F.coalesce(whole, F.lit(False)))
+
+    stems = F.transform(terms, stem)
+    found = F.coalesce(tokenize(text), none)
+    spaced = F.transform(F.array(found), lambda w: F.when(F.size(w) > 0, F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))).otherwise(""))
+    return F.transform(spaced, lambda words: F.size(F.filter(stems, lambda s: hit(words, s))))[0]
 
 
 def looks_sensitive(text: Column | str) -> Column:

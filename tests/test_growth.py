@@ -67,3 +67,17 @@ def test_texts_of_new_facts_move_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2  # the new facts, the old ones' ids
     assert sorted(made.memories.select("normalized_content").collect()) == [("a b",), ("c",), ("old",)]
+
+
+@pytest.mark.parametrize("terms", [["ments", "thatins", "elle", "rewh", "a", "", "a b", "café", "c++", "x.yz", "abcdef"]])
+def test_prefix_overlap_is_that_of_the_words(spark, terms):
+    texts = ["", None, "ment", "men", "mentor", "that thatin", "thatins", "ell elle", "x.yz.", "x.y x.yzw", "a b", "cafés", "c++ c+", "abcd", "abc", "abcdefg", "zabcdef", "- . -"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.tokenize("t").alias("w"), text.prefix_overlap(F.array(*map(F.lit, terms)), F.col("t")).alias("n")).collect()
+    for r in rows:
+        stems = [t[:-1] if len(t) > 4 and t.endswith("s") else t for t in terms]
+        assert r.n == sum(any(w.startswith(s) or (len(w) >= 4 and s.startswith(w)) for w in r.w or []) for s in stems), r.t
+
+
+def test_prefix_overlap_finds_the_words_of_a_text_once(spark):
+    plan = spark.createDataFrame([("a",)], "t string").select(text.prefix_overlap(F.array(F.lit("ab"), F.lit("cd")), F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(coalesce(regexp_extract_all" in plan  # bound once, not found again for each term
