@@ -11,24 +11,30 @@ from factloom.functions.text import STOPWORDS, ingested_key, normalize, tokenize
 from factloom.operators.lexical import query_keywords, words_of
 from factloom.operators.snapshot import Snapshot
 
-PREFILTER_CAP = 500
+PREFILTER_CAP = 500  # of the queries whose SQL narrows entities by id
 
 
 def clamp(limit: int, most: int) -> int:
     return max(1, min(int(limit), most))
 
 
+def cut(rows: DataFrame, limit: int | None, most: int, *order: Column | str) -> DataFrame:
+    """The first rows in order; without a limit all of them, in none."""
+    return rows if limit is None else rows.orderBy(*order).limit(clamp(limit, most))
+
+
 def _names(entities: DataFrame) -> Column:
     aliases = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in entities.columns else F.array().cast("array<string>")
     return F.concat(F.array("canonical_name"), aliases)
 
 
-def match(entities: DataFrame, query: str, limit: int = 25) -> DataFrame:
-    """entity_id and score of the best entities that the query names.
+def match(entities: DataFrame, query: str, limit: int | None = 25, most: int | None = None) -> DataFrame:
+    """entity_id and score of the best entities that the query names; all of them without a limit.
 
     A name (or alias) whose words stand in the query in a row scores 10 and its number of words; else
     it scores its words among the query's keywords. Entities are first narrowed to those with a keyword
-    somewhere in a name, at most 500 by id. So a name of stopwords alone never matches.
+    somewhere in a name (and to the first ``most`` of these by id where that is asked for). So a name of
+    stopwords alone never matches.
     """
     terms = query_keywords(query, 12)
     padded = " " + " ".join(words_of(query)) + " "
@@ -36,13 +42,15 @@ def match(entities: DataFrame, query: str, limit: int = 25) -> DataFrame:
     if not terms:
         return names.select(F.col("id").alias("entity_id"), F.lit(0).alias("score")).limit(0)
     wanted = F.array(*map(F.lit, terms))
-    some = entities.filter(F.exists(_names(entities), lambda n: F.exists(wanted, lambda t: F.contains(F.lower(n), t)))).orderBy("id").limit(PREFILTER_CAP)
+    some = entities.filter(F.exists(_names(entities), lambda n: F.exists(wanted, lambda t: F.contains(F.lower(n), t))))
+    some = some if most is None else some.orderBy("id").limit(most)
     worded = some.select("id", F.explode(F.transform(_names(entities), tokenize)).alias("words"))
     whole = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     loose = F.size(F.filter("words", lambda w: F.array_contains(wanted, w)))
     score = F.when((F.size("words") > 0) & F.contains(F.lit(padded), whole), 10 + F.size("words")).otherwise(loose)
     best = worded.select("id", score.alias("score")).groupBy("id").agg(F.max("score").alias("score")).filter("score > 0")
-    return best.select(F.col("id").alias("entity_id"), "score").orderBy(F.desc("score"), "entity_id").limit(limit)
+    best = best.select(F.col("id").alias("entity_id"), "score")
+    return best if limit is None else best.orderBy(F.desc("score"), "entity_id").limit(limit)
 
 
 def match_many(entities: DataFrame, queries: list[str], limit: int = 25) -> DataFrame:
@@ -72,21 +80,16 @@ def arm_many(store: Snapshot, matched: DataFrame, limit: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit).select("q", "id", "place")
 
 
-def matched_now(entities: DataFrame, query: str) -> DataFrame:
-    """The same as :func:`match`, found at once and held as literal rows (25 at most), for plans that name it often."""
-    found = match(entities, query)
-    return entities.sparkSession.createDataFrame(found.collect(), found.schema)
-
-
-def arm(store: Snapshot, query: str, limit: int = 20, matched: DataFrame | None = None) -> DataFrame:
-    """Active facts of the matched entities: id, weight of the best entity; best first.
+def arm(store: Snapshot, query: str, limit: int | None = 20, matched: DataFrame | None = None) -> DataFrame:
+    """Active facts of the matched entities (of the best 25 where none are given): id, weight of the best entity; best
+    first, or all without a limit.
 
-    Ties: importance falling, then updated_at rising, then id. The matched entities are 25 at most.
+    Ties: importance falling, then updated_at rising, then id.
     """
-    matched = match(store.entities, query) if matched is None else matched
-    linked = store.memory_entities.join(F.broadcast(matched), "entity_id").groupBy(F.col("memory_id").alias("id")).agg(F.max("score").alias("weight"))
+    matched = F.broadcast(match(store.entities, query)) if matched is None else matched  # 25 rows at most
+    linked = store.memory_entities.join(matched, "entity_id").groupBy(F.col("memory_id").alias("id")).agg(F.max("score").alias("weight"))
     found = store.memories.filter("status = 'active'").join(linked, "id")
-    return found.select("id", "weight", "importance", "updated_at").orderBy(F.desc("weight"), F.desc("importance"), "updated_at", "id").limit(clamp(limit, 100))
+    return cut(found.select("id", "weight", "importance", "updated_at"), limit, 100, F.desc("weight"), F.desc("importance"), "updated_at", "id")
 
 
 def name_key(name: str) -> str:

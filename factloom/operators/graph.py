@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.entity import clamp, match
+from factloom.operators.entity import cut, match
 from factloom.operators.snapshot import Snapshot
 
 
@@ -32,12 +32,13 @@ def linked_memories(store: Snapshot, visited: DataFrame) -> DataFrame:
     return by_entity.union(by_edge).distinct()
 
 
-def arm(store: Snapshot, query: str, limit: int = 20, max_hops: int = 1, matched: DataFrame | None = None) -> DataFrame:
-    """Active facts within reach: id, importance, updated_at; importance falling, then the latest, then id."""
+def arm(store: Snapshot, query: str, limit: int | None = 20, max_hops: int = 1, matched: DataFrame | None = None) -> DataFrame:
+    """Active facts within reach: id, importance, updated_at; importance falling, then the latest, then id. All without
+    a limit."""
     visited = reach(store.relationships, match(store.entities, query) if matched is None else matched, max_hops)
     ids = linked_memories(store, visited).withColumnRenamed("memory_id", "id")
     found = store.memories.filter("status = 'active'").join(ids, "id", "left_semi")
-    return found.select("id", "importance", "updated_at").orderBy(F.desc("importance"), F.desc("updated_at"), "id").limit(clamp(limit, 100))
+    return cut(found.select("id", "importance", "updated_at"), limit, 100, F.desc("importance"), F.desc("updated_at"), "id")
 
 
 def arm_many(store: Snapshot, matched: DataFrame, limit: int, max_hops: int = 2) -> DataFrame:

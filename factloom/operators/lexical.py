@@ -243,20 +243,20 @@ def _scored(store: Snapshot | DataFrame, terms: list[Term], include_inactive: bo
     return some.crossJoin(F.broadcast(stats)), parts  # one row
 
 
-def search(store: Snapshot | DataFrame, query: str, limit: int = 10, include_inactive: bool = False) -> DataFrame:
-    """id and score of the best ``limit`` (1 to 100) facts, best first, ties by id.
+def search(store: Snapshot | DataFrame, query: str, limit: int | None = 10, include_inactive: bool = False) -> DataFrame:
+    """id and score of the best ``limit`` (1 to 100) facts, best first, ties by id; of all in no order without a limit.
 
     The corpus statistics cover the facts of every status; status is tested after matching. A store with
     postings is asked through them; given facts alone (or a store without), their texts are tokenised.
     A query without keywords finds nothing.
     """
     terms = query_terms(query)
-    limit = max(1, min(int(limit), 100))
     if not terms:
         memories = store if isinstance(store, DataFrame) else store.memories
         return memories.select("id", F.lit(0.0).alias("score")).limit(0)
     scored, parts = _scored(store, terms, include_inactive)
-    return scored.select("id", reduce(lambda a, b: a + b, parts).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    found = scored.select("id", reduce(lambda a, b: a + b, parts).alias("score"))
+    return found if limit is None else found.orderBy(F.desc("score"), "id").limit(max(1, min(int(limit), 100)))
 
 
 def search_many(store: Snapshot | DataFrame, queries: list[str], limit: int) -> DataFrame:

@@ -29,8 +29,8 @@ def stored_vectors(store: Snapshot, provider: str, model: str, dimension: int, i
     return own.join(facts.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("memory_id", (F.when(F.col("unit").isNotNull(), F.col("unit")).otherwise(made) if stored else made).alias("unit"))
 
 
-def top(store: Snapshot, vector: list[float], provider: str, model: str, limit: int = 20, min_score: float = -1.0, include_inactive: bool = False) -> DataFrame:
-    """id and similarity of the best active facts, or of facts of every status. The cut at ``limit`` (1 to 200) prefers larger ids among
+def top(store: Snapshot, vector: list[float], provider: str, model: str, limit: int | None = 20, min_score: float = -1.0, include_inactive: bool = False) -> DataFrame:
+    """id and similarity of the best active facts, or of facts of every status; all in no order without a limit. The cut at ``limit`` (1 to 200) prefers larger ids among
     equals; what is left is ordered by similarity, importance, confidence (falling) and id.
 
     Ids and scores alone go through the top-k; the facts' columns are joined to its few rows.
@@ -38,6 +38,8 @@ def top(store: Snapshot, vector: list[float], provider: str, model: str, limit:
     query = checked(vector)
     literal = unit(F.array(*map(F.lit, query)))
     scored = stored_vectors(store, provider, model, len(query), include_inactive).select(F.col("memory_id").alias("id"), dot(F.col("unit"), literal).alias("similarity"))
+    if limit is None:
+        return store.memories.join(scored.filter(F.col("similarity") >= min_score), "id").select("id", "similarity", "importance", "confidence")
     best = scored.orderBy(F.desc("similarity"), F.desc("id")).limit(clamp(limit, 200)).filter(F.col("similarity") >= min_score)
     found = store.memories.join(F.broadcast(best), "id")  # at most 200 rows
     return found.select("id", "similarity", "importance", "confidence").orderBy(F.desc("similarity"), F.desc("importance"), F.desc("confidence"), "id")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.entity import clamp
+from factloom.operators.entity import cut
 
 
 def when_of(memories: DataFrame) -> Column:
@@ -30,10 +30,10 @@ def checked_bound(value: str | None) -> str | None:
     return text
 
 
-def window(memories: DataFrame, start: str | None = None, end: str | None = None, recent_first: bool = True, limit: int = 20) -> DataFrame:
+def window(memories: DataFrame, start: str | None = None, end: str | None = None, recent_first: bool = True, limit: int | None = 20) -> DataFrame:
     """id and time of active facts from ``start`` to ``end``, both inclusive, at least one given.
 
-    Order: time (falling, or rising), importance falling, id.
+    Order: time (falling, or rising), importance falling, id; all in no order without a limit.
     """
     start, end = checked_bound(start), checked_bound(end)
     if start is None and end is None:
@@ -44,4 +44,4 @@ def window(memories: DataFrame, start: str | None = None, end: str | None = None
     if end is not None:
         found = found.filter(F.col("at") <= F.lit(end).try_cast("timestamp"))
     order = F.desc("at") if recent_first else F.asc("at")
-    return found.select("id", "at", "importance").orderBy(order, F.desc("importance"), "id").limit(clamp(limit, 100))
+    return cut(found.select("id", "at", "importance"), limit, 100, order, F.desc("importance"), "id")

@@ -50,8 +50,12 @@ def d_overlap(terms: list[str], words: str) -> str:
     return " + ".join(parts)
 
 
-def d_lexical(name: str, question: str, limit: int, where: str = "true") -> str:
-    """A clause ``name(id, score)``; the memories clause must stand before it."""
+def d_limit(limit: int | None) -> str:
+    return "" if limit is None else f" limit {limit}"
+
+
+def d_lexical(name: str, question: str, limit: int | None, where: str = "true") -> str:
+    """A clause ``name(id, score)``; the memories clause must stand before it. Clauses hold all rows where no limit is given."""
     terms = lexical.query_terms(question)
 
     def test(t: lexical.Term) -> str:
@@ -69,24 +73,24 @@ def d_lexical(name: str, question: str, limit: int, where: str = "true") -> str:
     return f"""{name}_t as (select id, status, content, {" || ['|'] || ".join(folded)} as toks from memories),
  {name}_c as (select id, status, content, cast(len(toks) - 3 as double) as d, {tfs} from {name}_t),
  {name}_s as (select cast(count(*) as double) as n, avg(d) as avgdl, {counts} from {name}_c),
- {name} as (select id, score from (select id, content, {score} as score from {name}_c, {name}_s where status = 'active' and ({hit})) where {where} order by score desc, id limit {limit})"""
+ {name} as (select id, score from (select id, content, {score} as score from {name}_c, {name}_s where status = 'active' and ({hit})) where {where} order by score desc, id{d_limit(limit)})"""
 
 
-def d_entities(name: str, question: str, limit: int = 25) -> str:
+def d_entities(name: str, question: str, limit: int | None = 25, most: int | None = entity.PREFILTER_CAP) -> str:
     terms, padded = lexical.query_keywords(question, 12), " " + " ".join(lexical.words_of(question)) + " "
     like = " or ".join(f"contains(lower(canonical_name), '{t}')" for t in terms)
-    return f"""{name}_p as (select id, canonical_name from entities where {like} order by id limit {entity.PREFILTER_CAP}),
+    return f"""{name}_p as (select id, canonical_name from entities where {like} order by id{d_limit(most)}),
  {name}_w as (select id, {d_tokens('canonical_name')} as ws from {name}_p),
  {name} as (select entity_id, score from (select id as entity_id, case when len(ws) > 0 and contains('{padded}', concat(' ', array_to_string(ws, ' '), ' ')) then 10 + len(ws)
-   else len(list_filter(ws, lambda w: list_contains({strings(terms)}, w))) end as score from {name}_w) where score > 0 order by score desc, entity_id limit {limit})"""
+   else len(list_filter(ws, lambda w: list_contains({strings(terms)}, w))) end as score from {name}_w) where score > 0 order by score desc, entity_id{d_limit(limit)})"""
 
 
-def d_entity_arm(name: str, matched: str, limit: int) -> str:
+def d_entity_arm(name: str, matched: str, limit: int | None) -> str:
     return f"""{name} as (select id, weight, importance, updated_at from memories join (select memory_id, max(score) as weight from memory_entities join {matched} using (entity_id) group by 1) on id = memory_id
-   where status = 'active' order by weight desc, importance desc, updated_at, id limit {limit})"""
+   where status = 'active' order by weight desc, importance desc, updated_at, id{d_limit(limit)})"""
 
 
-def d_graph_arm(name: str, matched: str, hops: int, limit: int) -> str:
+def d_graph_arm(name: str, matched: str, hops: int, limit: int | None) -> str:
     edges = "(select subject_entity_id as a, object_entity_id as b from relationships union select object_entity_id, subject_entity_id from relationships)"
     steps, last = "", matched
     for k in range(hops):
@@ -94,14 +98,14 @@ def d_graph_arm(name: str, matched: str, hops: int, limit: int) -> str:
         last = f"{name}_v{k}"
     return f"""{steps}{name}_m as (select memory_id from memory_entities where entity_id in (select entity_id from {last}) union select memory_id from memory_relationships where relationship_id in
    (select id from relationships where subject_entity_id in (select entity_id from {last}) or object_entity_id in (select entity_id from {last}))),
- {name} as (select id, importance, updated_at from memories where status = 'active' and id in (select memory_id from {name}_m) order by importance desc, updated_at desc, id limit {limit})"""
+ {name} as (select id, importance, updated_at from memories where status = 'active' and id in (select memory_id from {name}_m) order by importance desc, updated_at desc, id{d_limit(limit)})"""
 
 
 COSINE = "list_cosine_similarity(cast(vector as double[]), cast((select embedding from embeddings where vec_id = 7) as double[]))"
 
 
-def d_semantic(name: str, limit: int, floor: float) -> str:
-    return f"""{name}_a as (select memory_id as id, {COSINE} as similarity from memory_embeddings where model = 'm1' and memory_id in (select id from memories where status = 'active') order by 2 desc, 1 desc limit {limit}),
+def d_semantic(name: str, limit: int | None, floor: float) -> str:
+    return f"""{name}_a as (select memory_id as id, {COSINE} as similarity from memory_embeddings where model = 'm1' and memory_id in (select id from memories where status = 'active') order by 2 desc, 1 desc{d_limit(limit)}),
  {name} as (select id, similarity, importance, confidence from {name}_a join memories using (id) where similarity >= {floor})"""
 
 
@@ -163,12 +167,13 @@ def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(clauses("entities", more=d_entities("em", NAMES)) + "select entity_id, cast(score as int) as score from em")
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity.match(project(spark, sf_dir, "entities"), NAMES)
+    return entity.match(project(spark, sf_dir, "entities"), NAMES, most=entity.PREFILTER_CAP)
 
 
 @query(clauses("memories", "entities", "memory_entities", more=d_entities("em", NAMES) + ", " + d_entity_arm("ea", "em", 20)) + f"select id, cast(weight as int) as weight, row_number() over (order by {ENTITY_ORDER}) as rank from ea")
 def entity_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = entity.arm(snapshot(spark, sf_dir, "memories", "entities", "memory_entities"), NAMES, 20)
+    store = snapshot(spark, sf_dir, "memories", "entities", "memory_entities")
+    hits = entity.arm(store, NAMES, 20, F.broadcast(entity.match(store.entities, NAMES, most=entity.PREFILTER_CAP)))  # 25 rows at most
     return with_rank(hits, F.desc("weight"), F.desc("importance"), "updated_at", "id").select("id", "weight", "rank")
 
 
@@ -179,7 +184,8 @@ def _graph(hops: int):
     sql = clauses(*GRAPH_TABLES, more=d_entities("em", "NATION_3 NATION_12") + ", " + d_graph_arm("g", "em", hops, 20)) + f"select id, row_number() over (order by {GRAPH_ORDER}) as rank from g"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = graph.arm(snapshot(spark, sf_dir, *GRAPH_TABLES), "NATION_3 NATION_12", 20, hops)
+        store = snapshot(spark, sf_dir, *GRAPH_TABLES)
+        hits = graph.arm(store, "NATION_3 NATION_12", 20, hops, entity.match(store.entities, "NATION_3 NATION_12", most=entity.PREFILTER_CAP))
         return with_rank(hits, F.desc("importance"), F.desc("updated_at"), "id").select("id", "rank")
 
     run.__name__ = f"graph_{hops}hop"
@@ -230,12 +236,13 @@ QUESTION = WORDS + " " + NAMES
 RECALL_TABLES = (*GRAPH_TABLES, "memory_embeddings")
 
 
-def _arms(limits: tuple[int, int, int]) -> list[str]:
-    return [d_lexical("lx", QUESTION, limits[0]), d_entities("em", QUESTION), d_entity_arm("ea", "em", limits[1]), d_graph_arm("g", "em", 1, limits[2])]
+def _arms() -> list[str]:
+    """Whole: of all entities that the question names, and with all facts that an arm finds."""
+    return [d_lexical("lx", QUESTION, None), d_entities("em", QUESTION, None, None), d_entity_arm("ea", "em", None), d_graph_arm("g", "em", 1, None)]
 
 
 @query(
-    clauses(*RECALL_TABLES, more=", ".join([*_arms((20, 20, 20)), d_semantic("s", 20, -1)]) + ", ")
+    clauses(*RECALL_TABLES, more=", ".join([*_arms(), d_semantic("s", None, -1)]) + ", ")
     + d_fused({"lexical": ("lx", LEXICAL_ORDER), "entity": ("ea", ENTITY_ORDER), "graph": ("g", GRAPH_ORDER), "semantic": ("s", SEMANTIC_ORDER)}, 10)
 )
 def rrf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +254,12 @@ def rrf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYWORDS = lexical.query_keywords(QUESTION)
 
 
+def _context_arms() -> list[str]:
+    return [*_arms(), d_semantic("s", None, 0.1), f"near as (select id, score from lx join memories using (id) where {d_overlap(KEYWORDS, d_tokens('content'))} >= {min(2, len(KEYWORDS))})"]
+
+
 @query(
-    clauses(*RECALL_TABLES, more=", ".join([*_arms((20, 10, 10)), d_semantic("s", 10, 0.1), f"near as (select id, score from lx join memories using (id) where {d_overlap(KEYWORDS, d_tokens('content'))} >= {min(2, len(KEYWORDS))} order by score desc, id limit 10)"]) + ", ")
+    clauses(*RECALL_TABLES, more=", ".join(_context_arms()) + ", ")
     + d_fused({"lexical": ("near", LEXICAL_ORDER), "entity": ("ea", ENTITY_ORDER), "graph": ("g", GRAPH_ORDER), "semantic": ("s", SEMANTIC_ORDER)}, 6, True)
 )
 def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

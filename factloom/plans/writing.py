@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text
 from factloom.plans import retain
 from factloom.operators import entity, fusion, lexical, listing, maintenance, retention, semantic, writes
-from factloom.plans.catalog import ALL, KEYWORDS, NOW, QUESTION, RECALL_TABLES, VECTOR, WORDS, _arms, d_lexical, d_overlap, d_semantic, d_tokens, query, strings, with_rank
+from factloom.plans.catalog import ALL, NOW, QUESTION, RECALL_TABLES, VECTOR, WORDS, _context_arms, d_lexical, query, strings, with_rank
 from factloom.plans.fixtures import clauses, project, query_vector, snapshot
 from factloom.sources.folders import shared_folder
 from factloom.sources.store import Store
@@ -72,7 +72,7 @@ def relationships_of_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    clauses(*RECALL_TABLES, more=", ".join([*_arms((20, 10, 10)), d_semantic("s", 10, 0.1), f"near as (select id, score from lx join memories using (id) where {d_overlap(KEYWORDS, d_tokens('content'))} >= {min(2, len(KEYWORDS))} order by score desc, id limit 10)"]))
+    clauses(*RECALL_TABLES, more=", ".join(_context_arms()))
     + " union all ".join(f"select '{arm}' as arm, count(*) as count from {table}" for arm, table in (("lexical", "near"), ("entity", "ea"), ("graph", "g"), ("semantic", "s")))
 )
 def arm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import entity, lexical, writes
+from factloom.operators import entity, fusion, graph, lexical, writes
 from factloom.plans import fixtures, writing
 from tests.helpers import NOW, store_of, table
 
@@ -86,3 +86,28 @@ def test_prefix_overlap_is_that_of_the_words(spark, terms):
 def test_prefix_overlap_finds_the_words_of_a_text_once(spark):
     plan = spark.createDataFrame([("a",)], "t string").select(text.prefix_overlap(F.array(F.lit("ab"), F.lit("cd")), F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(array(coalesce(regexp_extract_all" in plan  # bound once, not found again for each term
+
+
+def customers(spark, n):
+    """Facts of which each names an entity of its own."""
+    facts = [{"id": f"m{k:04}", "content": "customer " + "tea " * (k * 37 % 50), "importance": k * 53 % 101 / 100, "updated_at": datetime(2024, 1, 1) + timedelta(hours=k % 11)} for k in range(n)]
+    links = [{"memory_id": f"m{k:04}", "entity_id": f"e{k:04}"} for k in range(n)]
+    return store_of(spark, memories=facts, entities=[{"id": f"e{k:04}", "canonical_name": f"Customer {k:04}"} for k in range(n)], memory_entities=links)
+
+
+def test_recall_ranks_all_facts_of_all_entities(spark):
+    store, question = customers(spark, 600), "which customer is 0599"
+    assert entity.match(store.entities, question, limit=None).count() == 600
+    facts = {r.id: r for r in store.memories.collect()}
+    lexical_scores = {r.id: r.score for r in lexical.search(store, question, None).collect()}
+    arms = [
+        sorted(facts, key=lambda i: (-lexical_scores[i], i)),
+        sorted(facts, key=lambda i: (-(12 if i == "m0599" else 1), -facts[i].importance, facts[i].updated_at, i)),
+        sorted(facts, key=lambda i: (-facts[i].importance, -facts[i].updated_at.timestamp(), i)),
+    ]
+    rank = [{i: k for k, i in enumerate(a, 1)} for a in arms]
+    score = {i: sum(1 / (60 + r[i]) for r in rank) + 0.001 * facts[i].importance + 0.0005 * facts[i].confidence for i in facts}
+    wanted = sorted(facts, key=lambda i: (-score[i], i))[:100]
+    got = fusion.recall(store, question, 100).collect()
+    assert [r.id for r in got] == wanted and [r.score for r in got] == pytest.approx([score[i] for i in wanted])
+    assert all(r.sources == ["entity", "graph", "lexical"] for r in got)
