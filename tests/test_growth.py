@@ -111,3 +111,10 @@ def test_recall_ranks_all_facts_of_all_entities(spark):
     got = fusion.recall(store, question, 100).collect()
     assert [r.id for r in got] == wanted and [r.score for r in got] == pytest.approx([score[i] for i in wanted])
     assert all(r.sources == ["entity", "graph", "lexical"] for r in got)
+
+
+def test_a_fact_of_two_terms_counts_however_low_it_scores(spark):
+    one = [{"id": f"a{k:02}", "content": ("alpha " if k % 2 else "beta ") * 5} for k in range(50)]
+    store = store_of(spark, memories=[*one, {"id": "both", "content": "alpha beta " + "tea " * 300}])
+    assert lexical.search(store, "alpha beta", 100).collect()[-1].id == "both"
+    assert [r.id for r in fusion.recall_for_context(store, "alpha beta").hits.collect()] == ["both"]
