@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import entity, fusion, graph, lexical, writes
+from factloom.operators import entity, fusion, lexical, writes
 from factloom.plans import fixtures, writing
 from tests.helpers import NOW, store_of, table
 
@@ -118,3 +118,8 @@ def test_a_fact_of_two_terms_counts_however_low_it_scores(spark):
     store = store_of(spark, memories=[*one, {"id": "both", "content": "alpha beta " + "tea " * 300}])
     assert lexical.search(store, "alpha beta", 100).collect()[-1].id == "both"
     assert [r.id for r in fusion.recall_for_context(store, "alpha beta").hits.collect()] == ["both"]
+
+
+def test_all_facts_of_an_arm_are_counted(spark):
+    counts = fusion.recall_for_context(customers(spark, 600), "which customer").arm_counts()
+    assert {r.arm: r["count"] for r in counts.collect()} == {"lexical": 600, "entity": 600, "graph": 600}
