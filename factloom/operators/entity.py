@@ -53,28 +53,33 @@ def match(entities: DataFrame, query: str, limit: int | None = 25, most: int | N
     return best if limit is None else best.orderBy(F.desc("score"), "entity_id").limit(limit)
 
 
-def match_many(entities: DataFrame, queries: list[str], limit: int = 25) -> DataFrame:
-    """q (the query's number), entity_id and score for a short list of queries, each as by :func:`match`."""
+def match_many(entities: DataFrame, queries: list[str], limit: int | None = None) -> DataFrame:
+    """q (the query's number), entity_id and score for a short list of queries, each as by :func:`match`: of all entities
+    that a query names, or of the best ``limit``."""
     asked = [(k, query_keywords(q, 12), " " + " ".join(words_of(q)) + " ") for k, q in enumerate(queries)]
     asked = [x for x in asked if x[1]]
     if not asked:
         return entities.select(F.lit(0).alias("q"), F.col("id").alias("entity_id"), F.lit(0).alias("score")).limit(0)
     literal = F.array(*[F.struct(F.lit(k).alias("q"), F.array(*map(F.lit, terms)).alias("terms"), F.lit(padded).alias("padded")) for k, terms, padded in asked])
-    named = entities.select("id", _names(entities).alias("names"))
+    named = entities.select("id", _names(entities).alias("names"), F.transform(_names(entities), tokenize).alias("words"))
     fits = F.filter(literal, lambda x: F.exists("names", lambda n: F.exists(x["terms"], lambda t: F.contains(F.lower(n), t))))
-    some = named.withColumn("a", F.explode(fits)).withColumn("n", F.row_number().over(Window.partitionBy("a.q").orderBy("id"))).filter(F.col("n") <= PREFILTER_CAP)
-    worded = some.select("id", "a", F.explode(F.transform("names", tokenize)).alias("words"))
-    whole = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    loose = F.size(F.filter("words", lambda w: F.array_contains(F.col("a.terms"), w)))
-    score = F.when((F.size("words") > 0) & F.contains(F.col("a.padded"), whole), 10 + F.size("words")).otherwise(loose)
-    best = worded.select("a.q", F.col("id").alias("entity_id"), score.alias("score")).groupBy("q", "entity_id").agg(F.max("score").alias("score")).filter("score > 0")
+    some = named.select("id", "words", F.explode(fits).alias("a"))
+
+    def score(words: Column) -> Column:
+        whole = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        loose = F.size(F.filter(words, lambda w: F.array_contains(F.col("a.terms"), w)))
+        return F.when((F.size(words) > 0) & F.contains(F.col("a.padded"), whole), 10 + F.size(words)).otherwise(loose)
+
+    best = some.select("a.q", F.col("id").alias("entity_id"), F.array_max(F.transform("words", score)).alias("score")).filter("score > 0")
+    if limit is None:
+        return best
     place = Window.partitionBy("q").orderBy(F.desc("score"), "entity_id")
     return best.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit).drop("place")
 
 
 def arm_many(store: Snapshot, matched: DataFrame, limit: int) -> DataFrame:
     """q, id and place of the best active facts of each query's entities, as by :func:`arm`."""
-    linked = store.memory_entities.join(F.broadcast(matched), "entity_id").groupBy("q", F.col("memory_id").alias("id")).agg(F.max("score").alias("weight"))
+    linked = store.memory_entities.join(matched, "entity_id").groupBy("q", F.col("memory_id").alias("id")).agg(F.max("score").alias("weight"))
     found = store.memories.filter("status = 'active'").select("id", "importance", "updated_at").join(linked, "id")
     place = Window.partitionBy("q").orderBy(F.desc("weight"), F.desc("importance"), "updated_at", "id")
     return found.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit).select("q", "id", "place")

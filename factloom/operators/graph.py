@@ -41,18 +41,31 @@ def arm(store: Snapshot, query: str, limit: int | None = 20, max_hops: int = 1,
     return cut(found.select("id", "importance", "updated_at"), limit, 100, F.desc("importance"), F.desc("updated_at"), "id")
 
 
+BITS = 62  # queries that one number holds
+
+
 def arm_many(store: Snapshot, matched: DataFrame, limit: int, max_hops: int = 2) -> DataFrame:
-    """q, id and place of the facts within reach of each query's entities (q, entity_id), as by :func:`arm`."""
+    """q, id and place of the facts within reach of each query's entities (q, entity_id), as by :func:`arm`.
+
+    Many queries may name the same many entities. So an entity carries the set of its queries as the bits of a number,
+    and a step joins each edge once rather than once a query.
+    """
     out = store.relationships.select(F.col("subject_entity_id").alias("entity_id"), F.col("object_entity_id").alias("other"))
     edges = out.union(out.select(F.col("other"), F.col("entity_id")))
-    seen = matched.select("q", "entity_id").distinct()
+
+    def joined(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key, "word").agg(F.bit_or("bits").alias("bits"))
+
+    seen = joined(matched.select("entity_id", F.expr(f"q div {BITS}").alias("word"), F.expr(f"shiftleft(1L, cast(q % {BITS} as int))").alias("bits")), "entity_id")
     for _ in range(max_hops):
-        seen = seen.union(edges.join(seen, "entity_id").select("q", "other")).distinct()
-    by_entity = store.memory_entities.join(seen, "entity_id").select("q", "memory_id")
+        seen = joined(seen.union(edges.join(seen, "entity_id").select("other", "word", "bits")), "entity_id")
+    by_entity = store.memory_entities.join(seen, "entity_id").select("memory_id", "word", "bits")
     ends = store.relationships.select(F.col("id").alias("relationship_id"), F.explode(F.array("subject_entity_id", "object_entity_id")).alias("entity_id"))
-    near = ends.join(seen, "entity_id").select("q", "relationship_id").distinct()
-    by_edge = store.memory_relationships.join(near, "relationship_id").select("q", "memory_id")
-    ids = by_entity.union(by_edge).distinct().withColumnRenamed("memory_id", "id")
+    near = joined(ends.join(seen, "entity_id").select("relationship_id", "word", "bits"), "relationship_id")
+    by_edge = store.memory_relationships.join(near, "relationship_id").select("memory_id", "word", "bits")
+    ids = joined(by_entity.union(by_edge), "memory_id").withColumnRenamed("memory_id", "id")
+    own = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda k: F.getbit("bits", k) == 1))
     found = store.memories.filter("status = 'active'").select("id", "importance", "updated_at").join(ids, "id")
+    found = found.withColumn("k", own).select((F.col("word") * BITS + F.col("k")).cast("int").alias("q"), "id", "importance", "updated_at")
     place = Window.partitionBy("q").orderBy(F.desc("importance"), F.desc("updated_at"), "id")
     return found.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit).select("q", "id", "place")

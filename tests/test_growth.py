@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import entity, fusion, lexical, writes
+from factloom.operators import entity, fusion, graph, lexical, writes
 from factloom.plans import fixtures, writing
 from tests.helpers import NOW, store_of, table
 
@@ -123,3 +123,17 @@ def test_a_fact_of_two_terms_counts_however_low_it_scores(spark):
 def test_all_facts_of_an_arm_are_counted(spark):
     counts = fusion.recall_for_context(customers(spark, 600), "which customer").arm_counts()
     assert {r.arm: r["count"] for r in counts.collect()} == {"lexical": 600, "entity": 600, "graph": 600}
+
+
+def test_many_queries_take_all_their_entities(spark):
+    store, queries = customers(spark, 600), [*["the"] * 61, "customer", "customer 0598", "0599"]
+    matched = entity.match_many(store.entities, queries)
+    assert {r.q: r["count"] for r in matched.groupBy("q").count().collect()} == {61: 600, 62: 600, 63: 1}
+    assert entity.match_many(store.entities, queries, 25).count() == 51
+    found = [entity.arm_many(store, matched, 600), graph.arm_many(store, matched, 600)]
+    for k, q in enumerate(queries[61:], 61):
+        own = entity.match(store.entities, q, limit=None)
+        assert {(r.entity_id, r.score) for r in own.collect()} == {(r.entity_id, r.score) for r in matched.filter(f"q = {k}").collect()}
+        wanted = [entity.arm(store, q, None, own).orderBy(F.desc("weight"), F.desc("importance"), "updated_at", "id"), graph.arm(store, q, None, 2, own).orderBy(F.desc("importance"), F.desc("updated_at"), "id")]
+        for many, one in zip(found, wanted):
+            assert [r.id for r in many.filter(f"q = {k}").orderBy("place").collect()] == [r.id for r in one.collect()]
